@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brightloom.llm.common import ascii_lower, text_or_empty
+from brightloom.llm.common import ascii_lower, scratch_table, text_or_empty
 
 #: Characters of a chunk: at least LEAST, then up to the end of a sentence or line, at most MOST.
 LEAST, MOST = 1024, 8192
@@ -62,6 +62,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **
     """
     rows = with_recipe(docs.select(F.col(id_col), F.col(text)), text, **how)
     rows = rows.select(id_col, "__recipe", F.sha2(F.col("__normal").cast("binary"), 256).alias("text_sha256"))
+    # Read twice: by the groups and by the rows that join them. A recipe is a small part of its text.
+    rows = scratch_table(rows, "recipes")
     groups = rows.groupBy("__recipe").agg(F.max(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     return rows.join(groups, "__recipe").select(id_col, "keep_id", "group_size", F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
