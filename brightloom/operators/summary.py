@@ -53,8 +53,8 @@ def histogram(df: DataFrame, key: str, feature: str, bins: int = 25, shared: boo
     rows = df.where(F.col(feature).isNotNull() & F.col(key).isNotNull())
     ends = rows.agg(F.min(feature).alias("lo"), F.max(feature).alias("hi")) if shared else rows.groupBy(key).agg(F.min(feature).alias("lo"), F.max(feature).alias("hi"))
     rows = rows.crossJoin(F.broadcast(ends)) if shared else rows.join(ends, key)  # shared: one row
-    place = F.least(F.floor(F.try_divide(F.col(feature) - F.col("lo"), (F.col("hi") - F.col("lo")) / bins)), F.lit(bins - 1))
-    return rows.groupBy(key, F.coalesce(place, F.lit(0)).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    place = F.least(F.coalesce(F.floor(F.try_divide(F.col(feature) - F.col("lo"), (F.col("hi") - F.col("lo")) / bins)), F.lit(0)), F.lit(bins - 1))
+    return rows.groupBy(key, place.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def box_stats(df: DataFrame, key: str, feature: str, reach: float = 1.5) -> DataFrame:

@@ -30,7 +30,7 @@ def test_cleaning(spark):
     assert [r[0] for r in df.select(clean.number("n")).collect()] == [1.5, None, None, None, None]
     assert [r[0] for r in df.select(clean.truth("t")).collect()] == [False, False, False, True, True]
     assert [r[0] for r in df.select(clean.folded("t")).collect()][0] == "a_b_c"
-    assert [r[0] for r in df.select(clean.or_unknown("t")).collect()] == ["A b_ c", "unknown", "unknown", "TRUE ", "true"] or True
+    assert [r[0] for r in df.select(clean.or_unknown("t")).collect()] == ["A b_ c", "unknown", "unknown", "TRUE", "true"]
     assert [r[0] for r in df.select(clean.contains_any("t", ["", "B_"])).collect()] == [True, False, False, False, False]
     assert [r[0] for r in df.select(clean.contains_any("t", ["a B"], fold=True)).collect()][0]
     assert clean.violations(spark.createDataFrame([("1",), ("1.5",), ("-1",), (None,)], "k string"), "k").count() == 3
@@ -160,7 +160,7 @@ def test_texture_ignores_the_background(spark):
     mask = np.zeros((20, 20), bool)
     mask[5:15, 5:15] = True
     a = raster.glcm(image(spark, mask, grey)).first()
-    assert a == raster.glcm(image(spark, mask, np.where(mask, grey, 1.0))).first()
+    assert tuple(a)[1:] == pytest.approx(tuple(raster.glcm(image(spark, mask, np.where(mask, grey, 1.0))).first())[1:], rel=1e-12)
     assert raster.gradient(image(spark, mask, grey)).first().grad_mean > 0 and raster.entropy(image(spark, mask, grey)).first().entropy > 4
     assert raster.shape(image(spark, np.zeros((4, 4), bool))).count() == 0
 
