@@ -41,7 +41,7 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, n
         h = np.zeros(len(padded), np.uint32)
         for k in range(n):
             h *= np.uint32(0x01000193)
-            h[: len(h) - k] += padded[k:]
+            h[: max(0, len(h) - k)] += padded[k:]
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x85EBCA6B + 2 * n)
         h ^= h >> np.uint32(13)
