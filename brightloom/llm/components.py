@@ -13,7 +13,7 @@ def _lowest(links: DataFrame, near: str, far: str) -> DataFrame:
 
 
 def _mark(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("high", "low")), F.sum("low")).first())
+    return tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("high", "low")), F.bit_xor("low")).first())
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 100) -> DataFrame:
