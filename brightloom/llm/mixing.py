@@ -14,26 +14,26 @@ SALTS, SEED = 64, "mix-1"
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """From (__s, __source, source_size), a row for each source: adds target and __rate, the copies expected of a document.
+    """From (__s, __source, __source_size), a row for each source: adds __target and __rate, the copies expected of a document.
 
     Sources at their limit are a prefix when sorted by limit over weight; the rest share what is left by weight, which
     is where resharing the excess again and again ends.
     """
     order = Window.orderBy(F.col("__source").asc_nulls_last())
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
-    t = sizes.withColumn("__w", weight).withColumn("__cap", F.col("source_size") * F.lit(float(most)))
+    t = sizes.withColumn("__w", weight).withColumn("__cap", F.col("__source_size") * F.lit(float(most)))
     level = Window.orderBy((F.col("__cap") / F.col("__w")).asc(), F.col("__source").asc_nulls_last())
     everything = Window.partitionBy()
-    left = F.sum("source_size").over(everything) * F.lit(float(share)) - F.coalesce(F.sum("__cap").over(level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    left = F.sum("__source_size").over(everything) * F.lit(float(share)) - F.coalesce(F.sum("__cap").over(level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     t = t.withColumn("__level", left / F.sum("__w").over(level.rowsBetween(0, Window.unboundedFollowing)))
     t = t.withColumn("__level", F.max(F.when(F.col("__cap") / F.col("__w") > F.col("__level"), F.col("__level"))).over(everything))
-    t = t.withColumn("target", F.coalesce(F.least("__cap", F.col("__w") * F.col("__level")), F.col("__cap")))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    return t.select("__s", "source_size", "target", rate.alias("__rate"))
+    t = t.withColumn("__target", F.coalesce(F.least("__cap", F.col("__w") * F.col("__level")), F.col("__cap")))
+    rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
+    return t.select("__s", "__source_size", "__target", rate.alias("__rate"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """Adds __size (words), source_size, target and __copies to every row of docs.
+    """Adds __size (words), __source_size, __target and __copies to every row of docs.
 
     Within a source, documents stand in the order of their sizes; each adds its expected copies (target over source
     size) to a running sum that starts at a random offset of the source, and is taken once for each whole number that
@@ -49,7 +49,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     sized = sized.withColumn("__class", F.expr("shiftleft(shiftright(__size, greatest(length(bin(__size)) - 5, 0)), greatest(length(bin(__size)) - 5, 0))"))
     sized = sized.withColumn("__salt", F.coalesce(F.pmod(F.col(id_col), F.lit(SALTS)), F.lit(0)).cast("int"))
     small = scratch_table(sized.select("__s", F.col(source).alias("__source"), "__class", "__salt", "__size", F.col(id_col).alias("__id")), "mix-sizes")
-    goals = scratch_table(targets(small.groupBy("__s").agg(F.first("__source").alias("__source"), F.sum("__size").alias("source_size")), weights, share, most), "mix-targets")
+    goals = scratch_table(targets(small.groupBy("__s").agg(F.first("__source").alias("__source"), F.sum("__size").alias("__source_size")), weights, share, most), "mix-targets")
     out = ranked(sized, ["__class", "__salt"], [F.col("__size"), F.col(id_col).asc_nulls_last()], ["__s"], "__rank", "mix-ranks", counted=small)
     # The hash's leading 52 bits, as a fraction.
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("__s"))), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))

@@ -110,14 +110,14 @@ def fill(sizes, weights, share, most):
 def test_mixing(spark, awkward):
     rng = np.random.default_rng(3)
     rows = [(i, " ".join(["w"] * int(rng.pareto(1.5) * 20)), [None, "a", "b", "ü", "z"][min(4, int(rng.exponential(1)))]) for i in range(3000)]
-    got = mixing.mix(docs(spark, rows)).select("doc_id", "source", "__size", "source_size", "target", "__copies").collect()
-    assert len(got) == len(rows) and all(len(rows[r.doc_id][1].split()) == r.__getattr__("__size") for r in got)
+    got = mixing.mix(docs(spark, rows)).select("doc_id", "source", "__size", "__source_size", "__target", "__copies").collect()
+    assert len(got) == len(rows) and all(len(rows[r.doc_id][1].split()) == r["__size"] for r in got)
     sources = sorted({s for _, _, s in rows if s}, key=lambda s: s.encode()) + [None]
     sizes = [sum(len(t.split()) for _, t, s in rows if s == x) for x in sources]
     want = dict(zip(sources, fill(sizes, [(3, 1, 2)[i % 3] for i in range(len(sources))], 1.5, 2), strict=True))
     taken, largest = Counter(), Counter()
     for r in got:
-        assert r["__copies"] in (0, 1, 2) and r.target == pytest.approx(want[r.source]) and r.source_size == sizes[sources.index(r.source)]
+        assert r["__copies"] in (0, 1, 2) and r["__target"] == pytest.approx(want[r.source]) and r["__source_size"] == sizes[sources.index(r.source)]
         taken[r.source] += r["__copies"] * r["__size"]
         largest[r.source] = max(largest[r.source], r["__size"])
     for s in sources:
@@ -126,7 +126,7 @@ def test_mixing(spark, awkward):
     assert again == {r.doc_id: r["__copies"] for r in got}
     mixed = mixing.mixture(docs(spark, rows))
     assert mixed.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ") and mixed.count() == sum(again.values())
-    assert mixing.mix(awkward.drop("target", "size", "rank")).count() == awkward.count() and mixing.mix(docs(spark, [])).count() == 0
+    assert mixing.mixture(awkward).columns == awkward.columns and mixing.mix(awkward).count() == awkward.count() and mixing.mix(docs(spark, [])).count() == 0
 
 
 def test_sharding(spark, awkward):
