@@ -22,7 +22,10 @@ def session(cores: str = "*", partitions: int = 8, **conf: str) -> SparkSession:
 
 def ship(spark: SparkSession) -> SparkSession:
     """Sends this package to the executors once for each application, for sessions whose workers don't have it on their
-    path."""
+    path, and bounds the batches that Python workers get."""
+    # Rows are whole documents, some of them very long: batches for Python workers are bounded by bytes as well.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     sc = spark.sparkContext
     if getattr(sc, "_brightloom_shipped", False):
         return spark
@@ -34,3 +37,12 @@ def ship(spark: SparkSession) -> SparkSession:
     sc.addPyFile(to)
     sc._brightloom_shipped = True
     return spark
+
+
+def checkpointed(df):
+    """Cuts the lineage of df by writing it to the shared folder of checkpoints; a folder of its own only where none is
+    set, as in tests."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="brightloom-"))
+    return df.checkpoint()
