@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from brightloom.llm.common import pieces
 
 #: Words in the lexicon; bytes of text taken up at a time; distinct words that a task counts before it hands them on.
-LEXICON, PIECE, COUNTED = 32_768, 1 << 21, 200_000
+LEXICON, PIECE, COUNTED = 32_768, 1 << 20, 100_000
 #: Longer words aren't merged in a batch but one by one, over a heap.
 BATCHED = 48
 NONE = np.iinfo(np.int32).max
@@ -82,7 +82,7 @@ def load_vocabulary(path: str) -> dict[str, np.ndarray]:
     lengths = np.array([len(w) for w in words], np.int64)
     return {
         "by_byte": by_byte, "pair_keys": table_keys, "pair_ranks": table_ranks, "merged": merged, "token_bytes": np.frombuffer(b"".join(words), np.uint8),
-        "token_starts": np.cumsum(lengths) - lengths, "token_lengths": lengths, "special_id": np.array([special["id"]], np.int64), "special_text": np.frombuffer(special["content"].encode(), np.uint8),
+        "token_starts": np.cumsum(lengths) - lengths, "token_lengths": lengths, "special_id": np.array([special["id"]], np.int64), "kinds": char_kinds(), "special_text": np.frombuffer(special["content"].encode(), np.uint8),
     }
 
 
@@ -191,37 +191,32 @@ def merge_batch(v: dict, words: list[bytes]) -> list[np.ndarray]:
 # ---- words of a text
 
 
-_kinds: np.ndarray | None = None
-
-
 def char_kinds() -> np.ndarray:
-    """The kind of each code point, as the splitting pattern of byte-level vocabularies tells them apart."""
-    global _kinds
-    if _kinds is None:
-        points = [i for i in range(0x110000) if not 0xD800 <= i < 0xE000]
-        text, at = "".join(map(chr, points)), np.array(points)
-        kinds = np.zeros(0x110000, np.uint8)
-        for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (WHITE, r"\p{White_Space}+")):
-            for m in regex.finditer(pattern, text):
-                kinds[at[m.start() : m.end()]] = kind
-        # Code points that only later versions assign belong to no kind.
-        known = np.zeros(0x110000, bool)
-        known[at] = [unicodedata.category(c) != "Cn" for c in text]
-        for low, high in NEW_IN_16:
-            known[low : high + 1] = True
-        kinds[~known], kinds[0x20] = OTHER, SPACE
-        _kinds = kinds
-    return _kinds
-
-
-def split_words(data: np.ndarray, starts: np.ndarray, special: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+    """The kind of each code point, as the splitting pattern of byte-level vocabularies tells them apart. Made once, on
+    the driver, and sent with the vocabulary."""
+    points = [i for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    text, at = "".join(map(chr, points)), np.array(points)
+    kinds = np.zeros(0x110000, np.uint8)
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (WHITE, r"\p{White_Space}+")):
+        for m in regex.finditer(pattern, text):
+            kinds[at[m.start() : m.end()]] = kind
+    # Code points that only later versions assign belong to no kind.
+    known = np.zeros(0x110000, bool)
+    known[at] = [unicodedata.category(c) != "Cn" for c in text]
+    for low, high in NEW_IN_16:
+        known[low : high + 1] = True
+    kinds[~known], kinds[0x20] = OTHER, SPACE
+    return kinds
+
+
+def split_words(kinds: np.ndarray, data: np.ndarray, starts: np.ndarray, special: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
     """Byte positions where words begin in the UTF-8 bytes of many texts, which begin at starts (those of empty texts
     left out), and for each word whether it is the special token."""
     if not len(data):
         return np.empty(0, np.int64), np.empty(0, bool)
     at = np.flatnonzero((data & 0xC0) != 0x80)
     points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-    kind = char_kinds()[points]
+    kind = kinds[points]
     is_special = np.zeros(len(kind), bool)
     begins = np.zeros(len(kind), bool)
     begins[np.searchsorted(at, starts)] = True
@@ -404,7 +399,7 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _words(v: dict, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    starts, special = split_words(data, np.unique(offsets[:-1][offsets[:-1] < offsets[1:]]), v["special_text"].tobytes())
+    starts, special = split_words(v["kinds"], data, np.unique(offsets[:-1][offsets[:-1] < offsets[1:]]), v["special_text"].tobytes())
     return starts, np.diff(np.append(starts, len(data))), special
 
 
@@ -444,6 +439,8 @@ def decode_ids(v: dict, ids: np.ndarray) -> np.ndarray:
 def frequent_words(docs: DataFrame, text: str, vocabulary: dict, most: int = LEXICON) -> list[bytes]:
     """The most frequent words of all texts, counted by all tasks; only so many come to the driver."""
 
+    sent = docs.sparkSession.sparkContext.broadcast({k: vocabulary[k] for k in ("special_text", "kinds")})
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
 
@@ -455,7 +452,7 @@ def frequent_words(docs: DataFrame, text: str, vocabulary: dict, most: int = LEX
         for batch in batches:
             for low, high in pieces(batch, 0, PIECE):
                 data, offsets = text_bytes(batch.column(0).slice(low, high - low))
-                starts, lengths, special = _words(vocabulary, data, offsets)
+                starts, lengths, special = _words(sent.value, data, offsets)
                 raw = data.tobytes()
                 counts.update([raw[s:e] for s, e in zip(starts[~special].tolist(), (starts + lengths)[~special].tolist(), strict=True)])
                 if len(counts) > COUNTED:
@@ -481,8 +478,7 @@ class Codec:
     def fit(cls, docs: DataFrame, text: str = "text", path: str | None = None, most: int = LEXICON) -> Codec:
         """Counts the words of docs and compiles the most frequent."""
         v = load_vocabulary(path or default_vocabulary())
-        slim = {k: v[k] for k in ("special_text",)}
-        return cls(docs.sparkSession, v, frequent_words(docs, text, slim, most))
+        return cls(docs.sparkSession, v, frequent_words(docs, text, v, most))
 
     def _arrays(self):
         name, packed = self.name, self.packed
