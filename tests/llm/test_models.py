@@ -73,7 +73,7 @@ def toxic_docs(n=600):
 
 def test_toxicity_held_out(spark):
     rows = toxic_docs()
-    df = docs(spark, [t for _, t, _ in rows]).unionByName(spark.createDataFrame([(9000, None, None, None, None), (9001, "", "en", "s", 0), (9002, LONG, "en", "s", 0), (None, "no id", None, None, None)], SCHEMA)).withColumn("score", F.lit("clash"))
+    df = docs(spark, [t for _, t, _ in rows]).unionByName(spark.createDataFrame([(9000, None, None, None, None), (9001, "", "en", "s", 0), (9002, LONG, "en", "s", 0), (None, "river stone paper garden", None, None, None)], SCHEMA)).withColumn("score", F.lit("clash"))
     labels = spark.createDataFrame([(i, y) for i, _, y in rows if i % 3] + [(None, 1), (9000, None), (1, 0)], "doc_id long, toxic int")
     model = toxicity.ToxicityModel.fit(df, labels)
     got = {r.doc_id: r.s for r in model.score(df.drop("score"), keep=("doc_id",), out="s").collect()}
