@@ -35,7 +35,8 @@ def composition(df: DataFrame, bag: str, cluster: str, label: str, clusters: lis
     enough bags. Bags are sorted by label and name."""
     kept = common_groups(df, [cluster], least_rows)
     require_single(kept, bag, label)
-    present = [c for c in clusters if kept.where(F.col(cluster) == c).limit(1).count()]
+    found = {r[0] for r in kept.where(F.col(cluster).isin(*clusters)).select(cluster).distinct().collect()}
+    present = [c for c in clusters if c in found]
     out = cluster_counts(kept, bag, cluster, present, label).withColumnsRenamed({f"c_{c}": f"__{i}" for i, c in enumerate(present, 1)})
     out = out.withColumnsRenamed({f"__{i}": f"c_{i}" for i in range(1, len(present) + 1)})
     return require_levels(out, label, least_bags, bag).orderBy(label, bag)

@@ -61,7 +61,8 @@ def components(px: DataFrame, rounds: int = 1000) -> DataFrame:
         own = own.withColumn(f"run_{a}", F.col(b) - F.row_number().over(step))
     own, before = checkpointed(own), None
     for _ in range(rounds):
-        for a in ("y", "x"):
+        own = own.repartition("image")  # once for all windows of a round
+        for a in ("y", "x", "y", "x"):
             own = own.withColumn("label", F.min("label").over(Window.partitionBy("image", a, f"run_{a}")))
         near = shifted(own, EIGHT, "label").groupBy("image", "y", "x").agg(F.min("label").alias("near"))
         own = checkpointed(own.join(near, ["image", "y", "x"], "left").withColumn("label", F.least("label", "near")).drop("near"))
