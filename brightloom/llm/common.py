@@ -59,6 +59,19 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
     return df.repartition(max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *cols)
 
 
+def most_frequent(df: DataFrame, n: str, most: int) -> DataFrame:
+    """The rows with the largest counts, at most so many. Only a histogram of the counts, by their five leading bits,
+    comes to the driver; rows of a class that doesn't fit whole are left out, so no task gathers candidates of all."""
+    df = scratch_table(df, "counts")
+    lead = F.expr(f"shiftleft(shiftright({n}, greatest(length(bin({n})) - 5, 0)), greatest(length(bin({n})) - 5, 0))")
+    least, kept = None, 0
+    for r in sorted(df.groupBy(lead.alias("lead")).agg(F.count(F.lit(1)).alias("rows")).collect(), key=lambda r: -r.lead):
+        if kept + r.rows > most:
+            break
+        least, kept = r.lead, kept + r.rows
+    return df.where(F.col(n) >= least) if least is not None else df.limit(0)
+
+
 def pieces(batch: pa.RecordBatch, text: int, most: int) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch with at most so many bytes of text each; a longer text has a range of its own."""
     col = batch.column(text)

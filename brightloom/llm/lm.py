@@ -22,15 +22,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brightloom.llm.common import pieces, scratch_table
+from brightloom.llm.common import most_frequent, pieces, scratch_table
 
 #: Classes and words in each; context symbols for other words; rows of hashed word pairs; weights of words in a class.
-CLASSES, PER, RARE, PAIRS, WEIGHTS = 32, 32, 1024, 1 << 13, 1 << 18
+CLASSES, PER, RARE, PAIRS, WEIGHTS = 16, 64, 1024, 1 << 13, 1 << 18
 #: Bytes of text in a block and documents at most; tokens of an update; step; partial results that one task adds up.
-BLOCK, BLOCK_DOCS, TOKENS, STEP, FAN_IN, CHUNKS = 1 << 23, 60_000, 8192, 0.15, 64, 16
+BLOCK, BLOCK_DOCS, TOKENS, STEP, FAN_IN, CHUNKS = 1 << 23, 60_000, 16_384, 0.15, 64, 16
 SIZE = CLASSES * PER
 SYMBOLS = SIZE + RARE + 1
 ROWS = 2 * SYMBOLS + PAIRS
+WORD_HASHES = (np.arange(SIZE, dtype=np.uint32) * np.uint32(0x85EBCA6B)).reshape(CLASSES, PER)
 END = b""
 
 
@@ -163,19 +164,12 @@ class Maxent:
         self.log_counts = np.log10(counts + 1)
         self.rows, self.weights = np.zeros((ROWS, CLASSES + 1), np.float32), np.zeros(WEIGHTS, np.float32)
 
-    def symbols(self):
-        """A mapping of words to context symbols: a number below SIZE is a word of a class."""
-        known = self.number
-
-        class Symbols(dict):
-            def __missing__(self, word: bytes) -> int:
-                if len(self) > 200_000:
-                    self.clear()
-                    self.update(known)
-                self[word] = n = SIZE + zlib.crc32(word) % RARE
-                return n
-
-        return Symbols(known)
+    def sequence(self, words: list[bytes]) -> np.ndarray:
+        """The symbols of a text's words and its end; a number below SIZE is a word of a class."""
+        get, crc = self.number.get, zlib.crc32
+        found = [SIZE + crc(w) % RARE if (k := get(w)) is None else k for w in words]
+        found.append(self.number[END])
+        return np.array(found, np.int64)
 
     def features(self, sequence: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each token: rows of the word before, of the word before that (a skip), and of both together. Texts begin
@@ -188,35 +182,33 @@ class Maxent:
         both = (one.astype(np.uint32) * np.uint32(0x9E3779B1) + two.astype(np.uint32) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - PAIRS.bit_length() + 1)
         return one, SYMBOLS + two, 2 * SYMBOLS + both.astype(np.int64)
 
-    def places(self, features: tuple, cls: np.ndarray) -> list[np.ndarray]:
-        """Where the weights of all words of each token's class are, for the two single-word features."""
-        word = ((cls[:, None] * PER + np.arange(PER)) * 0x85EBCA6B).astype(np.uint32)
-        out = []
-        for f in features[:2]:
-            h = (f.astype(np.uint32) * np.uint32(0x9E3779B1))[:, None] + word
-            out.append(((h ^ (h >> np.uint32(15))) & np.uint32(WEIGHTS - 1)).astype(np.int64))
-        return out
-
-    @staticmethod
-    def _log_softmax(z: np.ndarray) -> np.ndarray:
-        z = z - z.max(1, keepdims=True)
-        return z - np.log(np.exp(z).sum(1, keepdims=True))
-
-    def class_logs(self, features: tuple) -> np.ndarray:
-        return self._log_softmax(self.class_bias + self.rows[features[0]] + self.rows[features[1]] + self.rows[features[2]])
-
-    def word_logs(self, places: list[np.ndarray], cls: np.ndarray) -> np.ndarray:
-        return self._log_softmax(self.word_bias[cls] + self.weights[places[0]] + self.weights[places[1]])
+    def places(self, before: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        """Where the weights of all words of each token's class are, given the word before."""
+        h = (before.astype(np.uint32) * np.uint32(0x9E3779B1))[:, None] + WORD_HASHES[cls]
+        h ^= h >> np.uint32(15)
+        h &= np.uint32(WEIGHTS - 1)
+        return h
+
+    def class_scores(self, features: tuple) -> np.ndarray:
+        z = self.rows[features[0]]
+        z += self.rows[features[1]]
+        z += self.rows[features[2]]
+        z += self.class_bias
+        return z
+
+    def word_scores(self, places: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        z = self.weights[places]
+        z += self.word_bias[cls]
+        return z
 
     def log10s(self, sequence: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """log10 of the probability of each token; for a word outside the classes, of that class alone."""
         features = self.features(sequence, starts)
         head = sequence < SIZE
         cls = np.where(head, sequence // PER, CLASSES)
-        out = self.class_logs(features)[np.arange(len(cls)), cls].astype(np.float64)
+        out = _log_of(self.class_scores(features), cls)
         at = np.flatnonzero(head)
-        places = self.places(tuple(f[at] for f in features), cls[at])
-        out[at] += self.word_logs(places, cls[at])[np.arange(len(at)), sequence[at] % PER]
+        out[at] += _log_of(self.word_scores(self.places(features[0][at], cls[at]), cls[at]), sequence[at] % PER)
         return out / np.log(10)
 
     def update(self, sequence: np.ndarray, starts: np.ndarray, seen: dict) -> None:
@@ -224,34 +216,44 @@ class Maxent:
         features = self.features(sequence, starts)
         head = sequence < SIZE
         cls = np.where(head, sequence // PER, CLASSES)
-        error = np.exp(self.class_logs(features))
-        error[np.arange(len(cls)), cls] -= 1
-        for f in features:
-            order = np.argsort(f, kind="stable")
-            rows, first, times = np.unique(f[order], return_index=True, return_counts=True)
-            g = np.add.reduceat(error[order], first, axis=0)
-            seen["row_squares"][rows] += (g * g).mean(1)
-            self.rows[rows] -= STEP * g / np.sqrt(seen["row_squares"][rows])[:, None]
-            seen["row_times"][rows] += times
+        error = _errors(self.class_scores(features), cls)
+        # Sums over the tokens of each feature, one class at a time.
+        active, columns = np.concatenate(features), np.ascontiguousarray(error.T)
+        g = np.empty((CLASSES + 1, ROWS), np.float32)
+        for c, column in enumerate(columns):
+            g[c] = np.bincount(active, np.tile(column, len(features)), ROWS)
+        seen["row_squares"] += (g * g).mean(0)
+        g *= STEP / np.sqrt(seen["row_squares"])
+        self.rows -= g.T
+        seen["row_times"] += np.bincount(active, minlength=ROWS)
         at = np.flatnonzero(head)
         if len(at):
-            places = self.places(tuple(f[at] for f in features), cls[at])
-            error = np.exp(self.word_logs(places, cls[at]))
-            error[np.arange(len(at)), sequence[at] % PER] -= 1
-            flat = np.concatenate([p.ravel() for p in places])
-            g = np.bincount(flat, np.concatenate([error.ravel(), error.ravel()]), WEIGHTS)
-            moved = np.flatnonzero(g)
-            seen["weight_squares"][moved] += g[moved] ** 2
-            self.weights[moved] -= STEP * g[moved] / np.sqrt(seen["weight_squares"][moved])
-            seen["weight_times"][moved] += 1
+            places = self.places(features[0][at], cls[at])
+            error = _errors(self.word_scores(places, cls[at]), sequence[at] % PER)
+            g = np.bincount(places.ravel(), error.ravel(), WEIGHTS).astype(np.float32)
+            seen["weight_squares"] += g * g
+            self.weights -= STEP * g / np.sqrt(seen["weight_squares"])
+            seen["weight_times"] += g != 0
+
+
+def _log_of(z: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The logarithm of each row's chosen entry of its softmax; z is used up."""
+    z -= z.max(1, keepdims=True)
+    picked = z[np.arange(len(z)), chosen].astype(np.float64)
+    return picked - np.log(np.exp(z, out=z).sum(1, dtype=np.float64))
+
+
+def _errors(z: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The softmax of each row, less one at the chosen entry; z is used up."""
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(1, keepdims=True)
+    z[np.arange(len(z)), chosen] -= 1
+    return z
 
 
-def _sequences(model: Maxent, symbols, texts: pa.Array) -> Iterator[tuple[np.ndarray, int]]:
-    end = model.number[END]
-    for t in texts:
-        words = tokens(t.as_py())
-        sequence = np.fromiter((symbols[w] for w in words), np.int64, len(words))
-        yield np.append(sequence, end), len(words)
+def _sequences(model: Maxent, texts: pa.Array) -> Iterator[np.ndarray]:
+    return (model.sequence(tokens(t.as_py())) for t in texts)
 
 
 def _batches(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -283,7 +285,7 @@ def train(rows: DataFrame, head: list[tuple[bytes, int]], rare: int, passes: int
 
             local = copy.copy(sent.value)  # noqa: B023
             local.rows, local.weights = local.rows.copy(), local.weights.copy()
-            symbols, held, size = local.symbols(), [], 0
+            held, size = [], 0
             seen = {"row_squares": np.full(ROWS, 1e-4, np.float32), "row_times": np.zeros(ROWS), "weight_squares": np.full(WEIGHTS, 1e-2, np.float32), "weight_times": np.zeros(WEIGHTS)}
 
             def step() -> None:
@@ -296,7 +298,7 @@ def train(rows: DataFrame, head: list[tuple[bytes, int]], rare: int, passes: int
                 held.clear()
 
             for batch in batches:
-                for s, _ in _sequences(local, symbols, batch.column(0)):
+                for s in _sequences(local, batch.column(0)):
                     held.append(s)
                     size += len(s)
                     if size >= TOKENS:
@@ -337,7 +339,6 @@ def model_sums(rows: DataFrame, model: Maxent) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        symbols = model.symbols()
         for batch in batches:
             found, at = [], 0
             # Texts are scored some at a time; a long one in parts, of which each knows the two words before it.
@@ -357,7 +358,7 @@ def model_sums(rows: DataFrame, model: Maxent) -> DataFrame:
                 found.clear()
 
             size = 0
-            for i, (s, _) in enumerate(_sequences(model, symbols, batch.column(2))):
+            for i, s in enumerate(_sequences(model, batch.column(2))):
                 found.append(s)
                 size += len(s)
                 if size >= TOKENS:
@@ -386,7 +387,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text: str =
     summed = counts.where("block is null").agg(F.sum("total").alias("n"), F.sum("known").alias("v")).first()
     taught = blocks.where("bucket = -1").agg(F.sum(F.size(F.filter("trains", lambda t: t)))).first()[0] or 0
     n_words, v_words = summed.n or 0, summed.v or 0
-    best = counts.where("block is null").select(F.inline(F.arrays_zip("words", "ns"))).orderBy(F.desc("ns"), "words").limit(SIZE - 1).collect()
+    best = most_frequent(counts.where("block is null").select(F.inline(F.arrays_zip("words", "ns"))), "ns", SIZE - 1).collect()
     head = sorted([(END, taught), *((bytes(r.words), r.ns) for r in best)], key=lambda x: (-x[1], x[0]))
     in_head = sum(n for w, n in head if w != END)
     rare_n, rare_v = n_words - in_head, v_words - (len(head) - 1)
