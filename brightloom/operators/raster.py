@@ -52,9 +52,9 @@ def eroded(px: DataFrame, radius: int) -> DataFrame:
     return dilated(outside, radius).withColumn("in", ~F.col("in"))
 
 
-def components(px: DataFrame, rounds: int = 1000) -> DataFrame:
-    """Adds component, the smallest y * 65536 + x of the inside pixels that are joined with this one through any of eight
-    neighbours. Labels spread along whole runs of rows and columns in each round, then to diagonal neighbours."""
+def components(px: DataFrame, neighbours=EIGHT, rounds: int = 1000) -> DataFrame:
+    """Adds component, the smallest y * 65536 + x of the inside pixels that are joined with this one through any of the
+    neighbours. Labels spread along whole runs of rows and columns in each round, then to the neighbours given."""
     own = px.where("in").select("image", "y", "x", (F.col("y").cast("long") * 65536 + F.col("x")).alias("label"))
     for a, b in (("y", "x"), ("x", "y")):
         step = Window.partitionBy("image", a).orderBy(b)
@@ -64,7 +64,7 @@ def components(px: DataFrame, rounds: int = 1000) -> DataFrame:
         own = own.repartition("image")  # once for all windows of a round
         for a in ("y", "x", "y", "x"):
             own = own.withColumn("label", F.min("label").over(Window.partitionBy("image", a, f"run_{a}")))
-        near = shifted(own, EIGHT, "label").groupBy("image", "y", "x").agg(F.min("label").alias("near"))
+        near = shifted(own, neighbours, "label").groupBy("image", "y", "x").agg(F.min("label").alias("near"))
         own = checkpointed(own.join(near, ["image", "y", "x"], "left").withColumn("label", F.least("label", "near")).drop("near"))
         if (now := tuple(own.agg(F.sum("label"), F.bit_xor(F.xxhash64("image", "y", "x", "label"))).first())) == before:
             break
@@ -82,6 +82,31 @@ def largest(px: DataFrame) -> DataFrame:
     return out.withColumn("component_count", F.coalesce("component_count", F.lit(0))).drop("component", "best")
 
 
+def without_small(px: DataFrame, least: int, objects: bool = True) -> DataFrame:
+    """Drops components of fewer pixels from the mask (joined through four neighbours), or fills such holes."""
+    found = components(px if objects else px.withColumn("in", ~F.col("in")), FOUR)
+    small = found.where("component is not null").groupBy("image", "component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < least)
+    marked = found.join(small.withColumn("__small", F.lit(True)), ["image", "component"], "left")
+    return px.join(marked.where("__small").select("image", "y", "x", F.lit(not objects).alias("__in")), ["image", "y", "x"], "left").withColumn("in", F.coalesce("__in", "in")).drop("__in")
+
+
+def cleaned(px: DataFrame, radius: int = 5, object_part: float = 0.001, hole_part: float = 0.01, relative: float = 0.08, absolute: float = 0.01) -> DataFrame:
+    """Light morphology of masks of one size: small objects and holes go, the rest is opened and closed by a disk. Where
+    that changes an area too much, both relatively and absolutely, the image keeps its mask without small parts; one that
+    would be left empty keeps what it had."""
+    n = px.groupBy("image").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    objects, holes = max(4, round(object_part * n)), max(6, round(hole_part * n))
+    base = checkpointed(without_small(without_small(px, objects), holes, objects=False))
+    soft = dilated(eroded(base, radius), radius)
+    soft = checkpointed(without_small(without_small(eroded(dilated(soft, radius), radius), objects), holes, objects=False))
+    both = px.join(base.select("image", "y", "x", F.col("in").alias("base")), ["image", "y", "x"]).join(soft.select("image", "y", "x", F.col("in").alias("soft")), ["image", "y", "x"])
+    area = both.groupBy("image").agg(F.count_if("in").alias("a"), F.count_if("base").alias("b"), F.count_if("soft").alias("c"), F.count(F.lit(1)).alias("n"))
+    change = F.abs(F.col("c") - F.col("a"))
+    kept = F.when((F.col("c") > 0) & ((change <= relative * F.col("a")) | (change <= absolute * F.col("n"))), "soft").when(F.col("b") > 0, "base").otherwise("in")
+    out = both.join(area.select("image", kept.alias("kept")), "image")
+    return out.withColumn("in", F.when(F.col("kept") == "soft", F.col("soft")).when(F.col("kept") == "base", F.col("base")).otherwise(F.col("in"))).drop("kept", "base", "soft")
+
+
 def intensity(px: DataFrame) -> DataFrame:
     """Mean, population deviation and percentiles inside the mask, and the same of a ring around it."""
     inside = px.where("in").groupBy("image").agg(F.avg("v").alias("cell_mean"), F.stddev_pop("v").alias("cell_std"), F.percentile("v", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("q"))
@@ -155,8 +180,8 @@ def quality_flags(area_fraction: Column, selected_fraction: Column, longest_run:
     return F.when(area_fraction.isNull(), "empty_mask").when(flags == "", "ok").otherwise(flags)
 
 
-def gradient(px: DataFrame) -> DataFrame:
-    """Mean and deviation of Sobel's gradient inside the mask eroded by one pixel; edges repeat beyond the image."""
+def gradients(px: DataFrame) -> DataFrame:
+    """(image, cy, cx, g): Sobel's gradient of the pixels inside the mask eroded by one; edges repeat beyond the image."""
     size = px.groupBy("image").agg(F.max("y").alias("h"), F.max("x").alias("w"))
     inner = eroded(px, 1).where("in").select("image", "y", "x")
     at = shifted(inner, EIGHT).join(size, "image")
@@ -164,8 +189,63 @@ def gradient(px: DataFrame) -> DataFrame:
     v = at.join(px.select("image", "y", "x", "v"), ["image", "y", "x"])
     side = lambda a, b: F.sum(F.col(a) * F.when(F.col(b) == 0, 2).otherwise(1) * F.col("v")) / 4
     g = v.groupBy("image", "cy", "cx").agg(side("dy", "dx").alias("gy"), side("dx", "dy").alias("gx"))
-    g = g.withColumn("g", F.sqrt((F.col("gy") ** 2 + F.col("gx") ** 2) / 2))
-    return g.groupBy("image").agg(F.avg("g").alias("grad_mean"), F.stddev_pop("g").alias("grad_std"))
+    return g.select("image", "cy", "cx", F.sqrt((F.col("gy") ** 2 + F.col("gx") ** 2) / 2).alias("g"))
+
+
+def gradient(px: DataFrame) -> DataFrame:
+    """Mean and deviation of the gradient inside the mask eroded by one pixel."""
+    return gradients(px).groupBy("image").agg(F.avg("g").alias("grad_mean"), F.stddev_pop("g").alias("grad_std"))
+
+
+def otsu(values: DataFrame, value: str, bins: int = 256) -> DataFrame:
+    """(image, cut): the bin centre that parts each image's values with the greatest variance between the classes; of
+    equal values, the value."""
+    ends = values.groupBy("image").agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    width = (F.col("hi") - F.col("lo")) / bins
+    place = F.least(F.coalesce(F.floor(F.try_divide(F.col(value) - F.col("lo"), width)), F.lit(0)), F.lit(bins - 1))
+    n = values.join(ends, "image").groupBy("image", "lo", "hi", place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    n = n.withColumn("centre", F.col("lo") + (F.col("bin") + 0.5) * width)
+    upto, all_ = Window.partitionBy("image").orderBy("bin"), Window.partitionBy("image")
+    n = n.withColumns({"w1": F.sum("n").over(upto), "s1": F.sum(F.col("n") * F.col("centre")).over(upto), "w": F.sum("n").over(all_), "s": F.sum(F.col("n") * F.col("centre")).over(all_)})
+    w2 = F.col("w") - F.col("w1")
+    between = F.when(w2 > 0, F.col("w1") * w2 * (F.col("s1") / F.col("w1") - (F.col("s") - F.col("s1")) / w2) ** 2)
+    best = n.groupBy("image", "lo", "hi").agg(F.max_by("centre", F.struct(F.coalesce(between, F.lit(-1.0)), -F.col("bin"))).alias("cut"))
+    return best.select("image", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("cut")).alias("cut"))
+
+
+def edge_density(px: DataFrame) -> DataFrame:
+    """The part of the eroded mask whose gradient is above Otsu's cut."""
+    g = gradients(px)
+    return g.join(otsu(g, "g"), "image").groupBy("image").agg(F.avg((F.col("g") > F.col("cut")).cast("double")).alias("edge_density"))
+
+
+def local_patterns(px: DataFrame) -> DataFrame:
+    """(image, y, x, code): uniform local binary patterns of eight samples at distance one, of the 256 grey levels inside
+    the mask eroded by one pixel. Codes 0 to 8 count the samples at least as bright, if they change twice at most; others
+    are 9. Samples between pixels are interpolated."""
+    grey = px.withColumn("g", F.bround(F.col("v") * 255))
+    inner = eroded(grey, 1).where("in").select("image", "y", "x", "g")
+    name = lambda dy, dx: f"n{EIGHT.index((dy, dx))}"
+    at = shifted(inner, EIGHT).join(grey.select("image", "y", "x", "g"), ["image", "y", "x"], "left")
+    at = at.select("image", (F.col("y") - F.col("dy")).alias("y"), (F.col("x") - F.col("dx")).alias("x"), "dy", "dx", F.coalesce("g", F.lit(0.0)).alias("g"))
+    sides = at.groupBy("image", "y", "x").agg(*[F.max(F.when((F.col("dy") == dy) & (F.col("dx") == dx), F.col("g"))).alias(name(dy, dx)) for dy, dx in EIGHT])
+    rows, d = inner.join(sides, ["image", "y", "x"]), 0.5**0.5
+    samples = []
+    for dy, dx in ((0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1), (1, 0), (1, 1)):
+        corner = F.col(name(dy, dx))
+        if dy and dx:
+            corner = F.col("g") * (1 - d) ** 2 + (F.col(name(dy, 0)) + F.col(name(0, dx))) * d * (1 - d) + corner * d * d
+        samples.append((corner - F.col("g") >= -1e-9).cast("int"))
+    rows = rows.withColumn("bits", F.array(*samples))
+    changes = sum((F.col("bits")[i] != F.col("bits")[(i + 1) % 8]).cast("int") for i in range(8))
+    return rows.select("image", "y", "x", F.when(changes <= 2, F.aggregate("bits", F.lit(0), lambda a, b: a + b)).otherwise(9).alias("code"))
+
+
+def pattern_texture(px: DataFrame) -> DataFrame:
+    """Uniformity and entropy in bits of the local patterns."""
+    n = local_patterns(px).groupBy("image", "code").agg(F.count(F.lit(1)).alias("n"))
+    p = n.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("image")))
+    return p.groupBy("image").agg(F.sum(F.col("p") ** 2).alias("lbp_uniformity"), F.sum(-F.col("p") * F.log2("p")).alias("lbp_entropy"))
 
 
 def entropy(px: DataFrame) -> DataFrame:

@@ -489,6 +489,17 @@ def raster_entropy(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(raster.entropy(_pixels(spark, sf)))
 
 
+@query()
+def raster_texture(spark: SparkSession, sf: str) -> DataFrame:
+    px = _pixels(spark, sf)
+    return rounded(raster.edge_density(px).join(raster.pattern_texture(px), "image"))
+
+
+@query()
+def raster_cleanup(spark: SparkSession, sf: str) -> DataFrame:
+    return raster.cleaned(_pixels(spark, sf), radius=1).groupBy("image").agg(F.count_if("in").alias("area"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -165,6 +165,38 @@ def test_texture_ignores_the_background(spark):
     assert raster.shape(image(spark, np.zeros((4, 4), bool))).count() == 0
 
 
+def test_patterns_and_cut(spark):
+    grey = np.random.default_rng(1).integers(0, 256, (9, 9)) / 255
+    px = image(spark, np.ones((9, 9), bool), grey)
+    g, d = np.pad(np.round(grey * 255), 1), 0.5**0.5
+    want = {}
+    for y in range(1, 10):
+        for x in range(1, 10):
+            bits = []
+            for dy, dx in ((0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1), (1, 0), (1, 1)):
+                v = g[y + dy, x + dx]
+                if dy and dx:
+                    v = g[y, x] * (1 - d) ** 2 + (g[y + dy, x] + g[y, x + dx]) * d * (1 - d) + v * d * d
+                bits.append(int(v - g[y, x] >= -1e-9))
+            changes = sum(a != b for a, b in zip(bits, bits[1:] + bits[:1], strict=True))
+            want[y - 1, x - 1] = sum(bits) if changes <= 2 else 9
+    assert {(r.y, r.x): r.code for r in raster.local_patterns(px).collect()} == want
+    two = spark.createDataFrame([("i", v) for v in [0.0, 0.1, 0.2, 0.8, 0.9, 1.0]], "image string, g double")
+    assert 0.2 <= raster.otsu(two, "g").first().cut < 0.8 and raster.otsu(two.withColumn("g", F.lit(3.0)), "g").first().cut == 3.0
+    assert 0 < raster.edge_density(px).first().edge_density < 1 and raster.pattern_texture(px).first().lbp_entropy > 1
+
+
+def test_cleanup(spark):
+    mask = round_mask(40, 10, 20, 20)
+    holed = mask.copy()
+    holed[3, 3], holed[20, 20] = True, False
+    assert {(r.y, r.x) for r in raster.cleaned(image(spark, holed), radius=2).where("in").collect()} == {tuple(map(int, p)) for p in np.argwhere(mask)}
+    thin = np.zeros((30, 30), bool)
+    thin[14:17, 5:25] = True  # opening would leave nothing of it
+    assert raster.cleaned(image(spark, thin), radius=3).where("in").count() == thin.sum()
+    assert raster.cleaned(image(spark, np.zeros((5, 5), bool)), radius=1).where("in").count() == 0
+
+
 def test_run_store(spark, tmp_path):
     store = runs.RunStore(spark, str(tmp_path / "run"))
     store.save_settings("segment", {"threshold": 0.6})
