@@ -64,9 +64,10 @@ class LanguageModel:
         known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
         fair = known.where(F.octet_length("text").between(SHORTEST, LONGEST))
         counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.octet_length("text").between(SHORTEST, LONGEST)).alias("fair"))
-        # A hash below a bound that lets about four times as many pass, then the first of those.
+        # A hash below a bound that lets about four times as many pass, then the first of those. The counts, one row for
+        # each language, are broadcast: else all texts would first be dealt out by language.
         draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-        passed = fair.withColumn("h", draw).join(counts, "lang").where(F.col("h") < F.lit(float(1 << 30)) * 4 * rows / F.col("fair"))
+        passed = fair.withColumn("h", draw).join(F.broadcast(counts), "lang").where(F.col("h") < F.lit(float(1 << 30)) * 4 * rows / F.col("fair"))
         first = Window.partitionBy("lang").orderBy("h", "id")
         chosen = passed.withColumn("k", F.row_number().over(first)).where(F.col("k") <= rows)
 
