@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import inspect
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -59,6 +62,42 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
     return df.repartition(max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *cols)
 
 
+def tidy() -> None:
+    """Gives freed memory back to the system: a Python worker stays for later tasks, of the JVM too, that need it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def tidied(work):
+    """A function of a task, over batches or over a group, that tidies up behind itself."""
+
+    def batches(found):
+        try:
+            yield from work(found)
+        finally:
+            tidy()
+
+    def group(rows):
+        try:
+            return work(rows)
+        finally:
+            tidy()
+
+    def both_groups(left, right):
+        try:
+            return work(left, right)
+        finally:
+            tidy()
+
+    if inspect.isgeneratorfunction(work):
+        return batches
+    return group if len(inspect.signature(work).parameters) == 1 else both_groups
+
+
 def most_frequent(df: DataFrame, n: str, most: int) -> DataFrame:
     """The rows with the largest counts, at most so many. Only a histogram of the counts, by their five leading bits,
     comes to the driver; rows of a class that doesn't fit whole are left out, so no task gathers candidates of all."""

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brightloom.llm.common import tidied
+
 UNKNOWN = "und"
 #: Documents sampled for each language's dictionary, the bytes that they may have, and the dictionary's size.
 ROWS, SHORTEST, LONGEST, SIZE = 400, 200, 8000, 1 << 16
@@ -75,7 +77,7 @@ class LanguageModel:
             body = b" ".join(letters(t) for t in group.sort_values("k").text)
             return pd.DataFrame({"lang": [group.lang.iloc[0]], "n": [group.n.iloc[0]], "body": [body[:SIZE]]})
 
-        built = chosen.groupBy("lang").applyInPandas(build, "lang string, n long, body binary").collect()
+        built = chosen.groupBy("lang").applyInPandas(tidied(build), "lang string, n long, body binary").collect()
         # A language without documents of moderate length is learned from none, and so isn't known.
         return cls(docs.sparkSession, [(r.lang, bytes(r.body)) for r in sorted(built, key=lambda r: (-r.n, r.lang)) if len(r.body) >= 8])
 
@@ -101,4 +103,4 @@ class LanguageModel:
                 )
 
         fields = [docs.schema[id_col], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("margin", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
-        return docs.select(F.col(id_col), F.col(text).alias("__text")).mapInArrow(run, T.StructType(fields))
+        return docs.select(F.col(id_col), F.col(text).alias("__text")).mapInArrow(tidied(run), T.StructType(fields))

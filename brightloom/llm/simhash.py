@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brightloom.llm.common import pieces, scratch_table
+from brightloom.llm.common import pieces, scratch_table, tidied
 from brightloom.llm.components import connected_components
 
 #: Words of a shingle, differing bits of a link, seed of the hash.
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wo
                 fps = np.array([fingerprint(t.as_py(), words, seed) for t in part.column(1)], np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], [id_col, "fp"])
 
-    return docs.select(F.col(id_col), F.col(text).alias("__text")).mapInArrow(run, T.StructType([docs.schema[id_col], T.StructField("fp", T.LongType())]))
+    return docs.select(F.col(id_col), F.col(text).alias("__text")).mapInArrow(tidied(run), T.StructType([docs.schema[id_col], T.StructField("fp", T.LongType())]))
 
 
 # ---- the embedding: 32 segments of two bits, whose counts 0, 1 or 2 stay packed in the segments' own bits
