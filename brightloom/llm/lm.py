@@ -12,8 +12,9 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brightloom.llm.common import most_frequent, pieces, scratch_table
+from brightloom.llm.common import most_frequent, pieces, scratch_table, tidied
 
 #: Classes and words in each; context symbols for other words; rows of hashed word pairs; weights of words in a class.
 CLASSES, PER, RARE, PAIRS, WEIGHTS = 16, 64, 1024, 1 << 13, 1 << 18
@@ -56,12 +57,12 @@ def word_blocks(rows: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _ranges(batch, 3):
-                number: dict[bytes, int] = {}
+                number: dict[bytes, int] = defaultdict(count().__next__)  # in the order of their first places
                 ids, lengths = [], []
                 for t in part.column(3):
                     words = tokens(t.as_py())
                     lengths.append(len(words))
-                    ids.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words)))
+                    ids.append(np.array([number[w] for w in words], np.int64))
                 train = np.asarray(part.column(2).to_numpy(zero_copy_only=False), bool)
                 words, n = list(number), max(1, part.num_rows)
                 pair, times = np.unique(np.concatenate([*ids, np.empty(0, np.int64)]) * n + np.repeat(np.arange(part.num_rows), lengths), return_counts=True)
@@ -99,7 +100,7 @@ def word_blocks(rows: DataFrame, buckets: int) -> DataFrame:
     names = ["block", "bucket", "words", "taught", "held", "docs", "times", "ids", "hs", "trains", "lengths"]
     extra = [pa.field("x", pa.list_(to_arrow_type(k))) for k in kinds]
     schema = T.StructType([T.StructField("block", T.StringType()), T.StructField("bucket", T.IntegerType()), *[T.StructField(c, T.BinaryType()) for c in names[2:7]], *[T.StructField(c, T.ArrayType(k)) for c, k in zip(names[7:], kinds, strict=True)]])
-    return rows.select("id", "h", "train", "text").mapInArrow(run, schema)
+    return rows.select("id", "h", "train", "text").mapInArrow(tidied(run), schema)
 
 
 def bucket_counts(blocks: DataFrame, top: int = SIZE) -> DataFrame:
@@ -107,11 +108,14 @@ def bucket_counts(blocks: DataFrame, top: int = SIZE) -> DataFrame:
     bucket's most frequent words, its tokens and its distinct words."""
 
     def run(table: pa.Table) -> pa.Table:
-        counts: Counter = Counter()
-        for raw, taught in zip(table.column("words"), table.column("taught"), strict=True):
-            for w, n in zip(raw.as_py().split(b" "), np.frombuffer(taught.as_py(), "<i8").tolist(), strict=True):
-                counts[w] += n
-        back = [np.array([counts[w] for w in raw.as_py().split(b" ")], "<i8").tobytes() for raw in table.column("words")]
+        number: dict[bytes, int] = defaultdict(count().__next__)
+        words = [[number[w] for w in raw.as_py().split(b" ")] for raw in table.column("words")]
+        places, taught = [np.array(w, np.int64) for w in words], [np.frombuffer(t.as_py(), "<i8") for t in table.column("taught")]
+        totals = np.zeros(len(number), np.int64)
+        for at, n in zip(places, taught, strict=True):
+            totals[at] += n  # a block's words are distinct
+        counts = dict(zip(number, totals.tolist(), strict=True))
+        back = [totals[at].astype("<i8").tobytes() for at in places]
         best = sorted(((-n, w) for w, n in counts.items() if n), key=lambda x: x)[:top]
         k = table.num_rows
         return pa.table({
@@ -120,7 +124,7 @@ def bucket_counts(blocks: DataFrame, top: int = SIZE) -> DataFrame:
             "total": pa.array([None] * k + [sum(counts.values())], pa.int64()), "known": pa.array([None] * k + [sum(1 for n in counts.values() if n)], pa.int64()),
         })
 
-    return blocks.where("bucket >= 0").select("block", "bucket", "words", "taught").groupBy("bucket").applyInArrow(run, "block string, bucket int, counts binary, words array<binary>, ns array<long>, total long, known long")
+    return blocks.where("bucket >= 0").select("block", "bucket", "words", "taught").groupBy("bucket").applyInArrow(tidied(run), "block string, bucket int, counts binary, words array<binary>, ns array<long>, total long, known long")
 
 
 def count_sums(blocks: DataFrame, counts: DataFrame) -> DataFrame:
@@ -143,7 +147,7 @@ def count_sums(blocks: DataFrame, counts: DataFrame) -> DataFrame:
 
     schema = T.StructType([T.StructField("id", id_type), T.StructField("h", T.LongType()), T.StructField("train", T.BooleanType()), T.StructField("n_words", T.LongType()), T.StructField("known", T.LongType()), T.StructField("sum", T.DoubleType())])
     left = blocks.select("block", "bucket", "held", "docs", "times", "ids", "hs", "trains", "lengths").groupBy("block")
-    return left.cogroup(counts.where("block is not null").select("block", "bucket", "counts").groupBy("block")).applyInArrow(run, schema)
+    return left.cogroup(counts.where("block is not null").select("block", "bucket", "counts").groupBy("block")).applyInArrow(tidied(run), schema)
 
 
 # ---- the maximum-entropy model
@@ -218,14 +222,15 @@ class Maxent:
         cls = np.where(head, sequence // PER, CLASSES)
         error = _errors(self.class_scores(features), cls)
         # Sums over the tokens of each feature, one class at a time.
-        active, columns = np.concatenate(features), np.ascontiguousarray(error.T)
         g = np.empty((CLASSES + 1, ROWS), np.float32)
-        for c, column in enumerate(columns):
-            g[c] = np.bincount(active, np.tile(column, len(features)), ROWS)
+        for start, n, f in zip((0, SYMBOLS, 2 * SYMBOLS), (SYMBOLS, SYMBOLS, PAIRS), features, strict=True):
+            own = f - start
+            for c, column in enumerate(np.ascontiguousarray(error.T)):
+                g[c, start : start + n] = np.bincount(own, column, n)
         seen["row_squares"] += (g * g).mean(0)
         g *= STEP / np.sqrt(seen["row_squares"])
         self.rows -= g.T
-        seen["row_times"] += np.bincount(active, minlength=ROWS)
+        seen["row_times"] += np.bincount(np.concatenate(features), minlength=ROWS)
         at = np.flatnonzero(head)
         if len(at):
             places = self.places(features[0][at], cls[at])
@@ -271,7 +276,7 @@ def train(rows: DataFrame, head: list[tuple[bytes, int]], rare: int, passes: int
     def add_up(table: pa.Table) -> pa.Table:
         total = None
         for num, den in zip(table.column("num"), table.column("den"), strict=True):
-            pair = np.frombuffer(num.as_py(), np.float64), np.frombuffer(den.as_py(), np.float64)
+            pair = np.frombuffer(num.as_py(), np.float32), np.frombuffer(den.as_py(), np.float32)
             total = pair if total is None else (total[0] + pair[0], total[1] + pair[1])
         return pa.table({"chunk": pa.array([table.column("chunk")[0].as_py()], pa.int32()), "part": pa.array([table.column("part")[0].as_py() // FAN_IN], pa.int32()), "num": pa.array([total[0].tobytes()]), "den": pa.array([total[1].tobytes()])})
 
@@ -306,25 +311,27 @@ def train(rows: DataFrame, head: list[tuple[bytes, int]], rare: int, passes: int
                         size = 0
             if held:
                 step()
+            if not seen["row_times"].any():
+                return
             part = TaskContext.get().partitionId()
             parts = []
             for c in range(CHUNKS):
                 (a, b), (x, y) = ((k[c], k[c + 1]) for k in cuts)
                 den = np.append(seen["row_times"][a:b], seen["weight_times"][x:y])
-                num = np.append((local.rows[a:b] * seen["row_times"][a:b, None]).ravel().astype(np.float64), local.weights[x:y] * seen["weight_times"][x:y])
-                parts.append((c, part, num.tobytes(), den.tobytes()))
+                num = np.append((local.rows[a:b] * seen["row_times"][a:b, None]).ravel(), local.weights[x:y] * seen["weight_times"][x:y])
+                parts.append((c, part, num.astype(np.float32).tobytes(), den.astype(np.float32).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*parts, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["chunk", "part", "num", "den"])
 
         texts = rows.where("train").select("text")
-        partial, tasks = texts.mapInArrow(run, schema), texts.rdd.getNumPartitions()
+        partial, tasks = texts.mapInArrow(tidied(run), schema), texts.rdd.getNumPartitions()
         while True:
-            partial = partial.withColumn("group", F.floor(F.col("part") / FAN_IN)).groupBy("chunk", "group").applyInArrow(add_up, schema)
+            partial = partial.withColumn("group", F.floor(F.col("part") / FAN_IN)).groupBy("chunk", "group").applyInArrow(tidied(add_up), schema)
             tasks = -(-tasks // FAN_IN)
             if tasks <= 1:
                 break
         for r in partial.collect():
             (a, b), (x, y) = ((k[r.chunk], k[r.chunk + 1]) for k in cuts)
-            num, den = np.frombuffer(bytes(r.num), np.float64), np.frombuffer(bytes(r.den), np.float64)
+            num, den = np.frombuffer(bytes(r.num), np.float32), np.frombuffer(bytes(r.den), np.float32)
             wide = np.append(np.repeat(den[: b - a], CLASSES + 1), den[b - a :])
             mean = np.divide(num, wide, out=np.zeros_like(num), where=wide > 0).astype(np.float32)
             model.rows[a:b], model.weights[x:y] = mean[: (b - a) * (CLASSES + 1)].reshape(b - a, -1), mean[(b - a) * (CLASSES + 1) :]
@@ -369,7 +376,7 @@ def model_sums(rows: DataFrame, model: Maxent) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2].astype(np.int64))], ["id", "h", "model", "head_sum", "n_rare"])
 
     schema = T.StructType([rows.schema["id"], T.StructField("h", T.LongType()), T.StructField("model", T.DoubleType()), T.StructField("head_sum", T.DoubleType()), T.StructField("n_rare", T.LongType())])
-    return rows.select("id", "h", "text").mapInArrow(run, schema)
+    return rows.select("id", "h", "text").mapInArrow(tidied(run), schema)
 
 
 def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text: str = "text", passes: int = 1) -> DataFrame:
