@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brightloom.llm.bpe import text_bytes
-from brightloom.llm.common import pieces, scratch_table
+from brightloom.llm.common import pieces, scratch_table, tidied
 
 #: Lengths of n-grams in bytes, hash buckets, labelled texts of each class that are learned from at most.
 NGRAMS, BUCKETS, SAMPLE = (3, 4, 5), 1 << 18, 10_000
@@ -71,8 +71,14 @@ class ToxicityModel:
         classes, all texts get the score of the prior, which is below a half."""
         spark = docs.sparkSession
         marked = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label).cast("int")).alias("y"))
-        draws = marked.join(docs.select(F.col(id_col).alias("__id")).where("__id is not null").distinct(), "__id", "left_semi").withColumn("h", F.xxhash64("__id"))
-        chosen = draws.where("y = 1").orderBy("h").limit(most).union(draws.where("y = 0").orderBy("h").limit(most))
+        draws = marked.join(docs.select(F.col(id_col).alias("__id")).where("__id is not null").distinct(), "__id", "left_semi").withColumn("h", F.pmod(F.xxhash64("__id"), F.lit(1 << 30)))
+        draws = scratch_table(draws, "toxic-labels")
+        sizes = {r.y: r.n for r in draws.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+        # A bound on the hash lets a few more than wanted pass, so that a limit gathers no more than those.
+        passed = [draws.where((F.col("y") == y) & (F.col("h") < int(min(1.0, 1.2 * most / n) * (1 << 30)))).orderBy("h", "__id").limit(most) for y, n in sorted(sizes.items())]
+        chosen = draws.limit(0)
+        for some in passed:
+            chosen = chosen.union(some)
         chosen = scratch_table(chosen.select("__id", "y"), "toxic-ids")
         shards = max(1, min(SHARDS, chosen.count() // SHARD_ROWS))
         # At most 2 * most ids: a bound that doesn't grow.
@@ -80,7 +86,7 @@ class ToxicityModel:
         sample = scratch_table(sample.select(F.pmod(F.xxhash64("__id", F.lit(1)), F.lit(shards)).cast("int").alias("shard"), "__id", "y", "text"), "toxic-sample")
 
         def per_shard(work, schema: str) -> list:
-            return sample.groupBy("shard").applyInPandas(work, schema).collect()
+            return sample.groupBy("shard").applyInPandas(tidied(work), schema).collect()
 
         def count(group: pd.DataFrame) -> pd.DataFrame:
             seen = np.zeros((2, BUCKETS), np.float32)
@@ -149,7 +155,7 @@ class ToxicityModel:
                     yield pa.RecordBatch.from_arrays([*part.columns[:at], pa.array(model.scores(*text_bytes(part.column(at))))], [*kept, out])
 
         fields = [*[docs.schema[c] for c in kept], T.StructField(out, T.DoubleType())]
-        return docs.select(*kept, F.col(text).alias("__text")).mapInArrow(run, T.StructType(fields))
+        return docs.select(*kept, F.col(text).alias("__text")).mapInArrow(tidied(run), T.StructType(fields))
 
 
 def clean(docs: DataFrame, labels: DataFrame, training: DataFrame | None = None, threshold: float = 0.5, **how) -> DataFrame:
