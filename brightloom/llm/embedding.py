@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brightloom.llm.common import scratch_table
+from brightloom.llm.common import scratch_table, tidied
 from brightloom.llm.components import connected_components
 
 #: Cosine of a link, trees, vectors that a leaf should hold, the sample that splits are fitted on, and how near to a
@@ -89,13 +89,16 @@ def _in_leaves(classes: DataFrame, forest: Forest) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(leaf), *[part.column(i).take(pa.array(row)) for i in (1, 2, 3)], lists.take(pa.array(row))], ["label", "leaf", "rep", "n", "v", "leaves"])
 
     fields = [classes.schema["label"], T.StructField("leaf", T.LongType()), T.StructField("rep", T.LongType()), T.StructField("n", T.LongType()), classes.schema["v"], T.StructField("leaves", T.ArrayType(T.LongType()))]
-    return classes.select("label", "rep", "n", "v").mapInArrow(run, T.StructType(fields))
+    return classes.select("label", "rep", "n", "v").mapInArrow(tidied(run), T.StructType(fields))
 
 
-def _first_shared(leaves: list[np.ndarray], i: np.ndarray, j: np.ndarray, leaf: int) -> np.ndarray:
-    """Which of the pairs share no leaf before this one."""
-    earlier = [set(x[x < leaf].tolist()) for x in leaves]
-    return np.array([earlier[a].isdisjoint(earlier[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True)], bool)
+def _earlier_leaves(leaves: list[np.ndarray], leaf: int) -> np.ndarray:
+    """Members by leaves before this one: 1 where a member is in it. Two rows' product counts what they share."""
+    known, at = np.unique(np.concatenate(leaves), return_inverse=True)
+    row = np.repeat(np.arange(len(leaves)), [len(x) for x in leaves])
+    out = np.zeros((len(leaves), len(known)), np.float32)
+    out[row, at] = 1
+    return out[:, known < leaf]
 
 
 def compare(table: pa.Table, cosine: float = COSINE) -> pa.Table:
@@ -104,15 +107,9 @@ def compare(table: pa.Table, cosine: float = COSINE) -> pa.Table:
     rep, n = table.column("rep").to_numpy(), table.column("n").to_numpy()
     side = table.column("side").to_numpy()
     v = unit(table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rep), -1))
-    leaves, leaf = [np.asarray(x.as_py()) for x in table.column("leaves")], table.column("leaf")[0].as_py()
+    earlier = _earlier_leaves([np.asarray(x.as_py()) for x in table.column("leaves")], table.column("leaf")[0].as_py())
     one = bool(side.max() == side.min())
-    parent, found, edges = list(range(len(rep))), np.zeros(len(rep), np.int64), []
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
+    group, found, edges = np.arange(len(rep)), np.zeros(len(rep), np.int64), []
     left = np.flatnonzero(side == side.min())
     right = left if one else np.flatnonzero(side == side.max())
     for k in range(0, len(left), 512):
@@ -120,17 +117,17 @@ def compare(table: pa.Table, cosine: float = COSINE) -> pa.Table:
         near = v[rows] @ v[right].T >= cosine
         if one:
             near &= rep[rows][:, None] < rep[right][None, :]
-        i, j = np.nonzero(near)
-        i, j = rows[i], right[j]
-        new = _first_shared(leaves, i, j, leaf)
-        i, j = i[new], j[new]
-        np.add.at(found, i, n[j])
-        np.add.at(found, j, n[i])
-        for a, b in zip(i.tolist(), j.tolist(), strict=True):
-            x, y = root(a), root(b)
-            if x != y:
-                parent[x] = y
-                edges.append((rep[a], rep[b]))
+        # A pair counts in the first leaf that it shares.
+        near &= earlier[rows] @ earlier[right].T == 0
+        found[rows] += near @ n[right]
+        found[right] += n[rows] @ near
+        for i in np.flatnonzero(near.any(1)):
+            others = right[near[i]]
+            _, first = np.unique(group[others], return_index=True)
+            for j in others[first]:
+                if group[j] != group[rows[i]]:
+                    edges.append((rep[rows[i]], rep[j]))
+                    group[group == group[j]] = group[rows[i]]
     at = np.flatnonzero(found)
     a = np.concatenate([rep[at], np.array([e[0] for e in edges], np.int64)])
     return pa.table({"a": pa.array(a), "links": pa.array(np.append(found[at], np.zeros(len(edges), np.int64))), "b": pa.array([None] * len(at) + [int(e[1]) for e in edges], pa.int64())})
