@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brightloom.llm.common import pieces
+from brightloom.llm.common import most_frequent, pieces, tidied
 
 #: Words in the lexicon; bytes of text taken up at a time; distinct words that a task counts before it hands them on.
 LEXICON, PIECE, COUNTED = 32_768, 1 << 20, 100_000
@@ -459,8 +459,9 @@ def frequent_words(docs: DataFrame, text: str, vocabulary: dict, most: int = LEX
                     yield rows()
         yield rows()
 
-    words = docs.select(F.col(text)).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r.word) for r in words.orderBy(F.desc("n"), "word").limit(most).collect()]
+    words = docs.select(F.col(text)).mapInArrow(tidied(count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    # What occurs once isn't frequent; without it, the table of counts is a small part of the text.
+    return [bytes(r.word) for r in most_frequent(words.where("n > 1"), "n", most).collect()]
 
 
 class Codec:
@@ -507,7 +508,7 @@ class Codec:
                         cols.append(pa.array(text_of, pa.string()))
                     yield pa.RecordBatch.from_arrays(cols, [f.name for f in fields])
 
-        return docs.select(id_col, *keep, F.col(text).alias("__text")).mapInArrow(run, T.StructType(fields))
+        return docs.select(id_col, *keep, F.col(text).alias("__text")).mapInArrow(tidied(run), T.StructType(fields))
 
     def decode(self, encoded: DataFrame, ids: str = "ids", out: str = "decoded") -> DataFrame:
         """Adds the text that the packed ids stand for; null ids give null. Bytes that aren't UTF-8 become U+FFFD."""
