@@ -21,6 +21,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word, for Java's and RE2's engines alike.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of one class that may be sorted for the last places among the most frequent.
+FEW = 1 << 16
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
@@ -98,17 +101,33 @@ def tidied(work):
     return group if len(inspect.signature(work).parameters) == 1 else both_groups
 
 
-def most_frequent(df: DataFrame, n: str, most: int) -> DataFrame:
-    """The rows with the largest counts, at most so many. Only a histogram of the counts, by their five leading bits,
-    comes to the driver; rows of a class that doesn't fit whole are left out, so no task gathers candidates of all."""
-    df = scratch_table(df, "counts")
+def most_frequent(df: DataFrame, n: str, most: int, few: int = FEW) -> DataFrame:
+    """The rows with the largest counts, so many if there are; of equal counts, those with the smallest hash of the row.
+    Only histograms come to the driver: of the counts' five leading bits, then, inside the class that doesn't fit whole,
+    of further bits of the count and of the hash, until at most `few` rows are left there, which are sorted."""
+    columns = df.columns
+    df = scratch_table(df.withColumn("__tie", F.xxhash64(*columns)), "counts")
     lead = F.expr(f"shiftleft(shiftright({n}, greatest(length(bin({n})) - 5, 0)), greatest(length(bin({n})) - 5, 0))")
-    least, kept = None, 0
-    for r in sorted(df.groupBy(lead.alias("lead")).agg(F.count(F.lit(1)).alias("rows")).collect(), key=lambda r: -r.lead):
-        if kept + r.rows > most:
+    counts = [-F.shiftright(n, k) for k in range(50, -1, -10)]
+    hashes = [F.shiftrightunsigned("__tie", k) for k in (54, 44, 34, 24, 14, 4, 0)]
+    taken, inside, left = F.lit(False), F.lit(True), most
+    for key in (-lead, *counts, *hashes):
+        # Up to the class that doesn't fit whole everything is taken; the next step looks into that class alone.
+        full = None
+        for r in sorted(df.where(inside).groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("rows")).collect(), key=lambda r: r.key):
+            if r.rows > left:
+                full = r
+                break
+            left -= r.rows
+        if full is None:
+            return df.where(taken | inside).select(*columns)
+        taken, inside = taken | (inside & (key < full.key)), inside & (key == full.key)
+        if not left or full.rows <= few:
             break
-        least, kept = r.lead, kept + r.rows
-    return df.where(F.col(n) >= least) if least is not None else df.limit(0)
+    best = df.where(taken)
+    if left:
+        best = best.union(df.where(inside).orderBy(F.desc(n), "__tie", *columns).limit(left))
+    return best.select(*columns)
 
 
 def pieces(batch: pa.RecordBatch, text: int, most: int) -> Iterator[tuple[int, int]]:

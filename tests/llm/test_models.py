@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brightloom.llm import bpe, embedding, langid, lm, queries, toxicity
+from brightloom.llm import bpe, common, embedding, langid, lm, queries, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 SF = "/root/testdata/sf0.01"
@@ -152,6 +152,18 @@ def test_maxent_is_a_distribution():
     assert model.log10s(sequence, np.array([0])).sum() > before
 
 
+@pytest.mark.parametrize("few", [common.FEW, 3])
+def test_most_frequent_fills_up(spark, few):
+    rng = random.Random(7)
+    for counts in ([100] * 900, [rng.randint(1, 1 << rng.randint(1, 40)) for _ in range(900)]):
+        df = spark.createDataFrame([(f"w{i}".encode(), n) for i, n in enumerate(counts)], "word binary, n long").coalesce(2)
+        for most in (0, 333, 2000):
+            got = common.most_frequent(df, "n", most, few).collect()
+            assert sorted((r.n for r in got), reverse=True) == sorted(counts, reverse=True)[:most]
+            assert len({bytes(r.word) for r in got}) == len(got)
+    assert common.most_frequent(df.limit(0), "n", 5, few).count() == 0
+
+
 def brute_links(rows, cosine):
     n = len(rows)
     ok = [r[2] is not None and r[1] is not None and r[0] is not None and len(r[1]) and all(x is not None and math.isfinite(x) for x in r[1]) and any(r[1]) for r in rows]
