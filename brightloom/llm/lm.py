@@ -28,7 +28,7 @@ from brightloom.llm.common import most_frequent, pieces, scratch_table, tidied
 #: Classes and words in each; context symbols for other words; rows of hashed word pairs; weights of words in a class.
 CLASSES, PER, RARE, PAIRS, WEIGHTS = 16, 64, 1024, 1 << 13, 1 << 18
 #: Bytes of text in a block and documents at most; tokens of an update; step; partial results that one task adds up.
-BLOCK, BLOCK_DOCS, TOKENS, STEP, FAN_IN, CHUNKS = 1 << 23, 60_000, 16_384, 0.15, 64, 16
+BLOCK, BLOCK_DOCS, TOKENS, STEP, FAN_IN, CHUNKS = 1 << 23, 60_000, 8192, 0.15, 64, 16
 SIZE = CLASSES * PER
 SYMBOLS = SIZE + RARE + 1
 ROWS = 2 * SYMBOLS + PAIRS
@@ -186,12 +186,15 @@ class Maxent:
         both = (one.astype(np.uint32) * np.uint32(0x9E3779B1) + two.astype(np.uint32) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - PAIRS.bit_length() + 1)
         return one, SYMBOLS + two, 2 * SYMBOLS + both.astype(np.int64)
 
-    def places(self, before: np.ndarray, cls: np.ndarray) -> np.ndarray:
-        """Where the weights of all words of each token's class are, given the word before."""
-        h = (before.astype(np.uint32) * np.uint32(0x9E3779B1))[:, None] + WORD_HASHES[cls]
-        h ^= h >> np.uint32(15)
-        h &= np.uint32(WEIGHTS - 1)
-        return h
+    def places(self, features: tuple, cls: np.ndarray) -> list[np.ndarray]:
+        """For each feature, where the weights of all words of each token's class are."""
+        words, out = WORD_HASHES[cls], []
+        for f in features:
+            h = (f.astype(np.uint32) * np.uint32(0x9E3779B1))[:, None] + words
+            h ^= h >> np.uint32(15)
+            h &= np.uint32(WEIGHTS - 1)
+            out.append(h)
+        return out
 
     def class_scores(self, features: tuple) -> np.ndarray:
         z = self.rows[features[0]]
@@ -200,9 +203,10 @@ class Maxent:
         z += self.class_bias
         return z
 
-    def word_scores(self, places: np.ndarray, cls: np.ndarray) -> np.ndarray:
-        z = self.weights[places]
-        z += self.word_bias[cls]
+    def word_scores(self, places: list[np.ndarray], cls: np.ndarray) -> np.ndarray:
+        z = self.word_bias[cls]
+        for p in places:
+            z += self.weights[p]
         return z
 
     def log10s(self, sequence: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -212,7 +216,7 @@ class Maxent:
         cls = np.where(head, sequence // PER, CLASSES)
         out = _log_of(self.class_scores(features), cls)
         at = np.flatnonzero(head)
-        out[at] += _log_of(self.word_scores(self.places(features[0][at], cls[at]), cls[at]), sequence[at] % PER)
+        out[at] += _log_of(self.word_scores(self.places([f[at] for f in features], cls[at]), cls[at]), sequence[at] % PER)
         return out / np.log(10)
 
     def update(self, sequence: np.ndarray, starts: np.ndarray, seen: dict) -> None:
@@ -233,9 +237,9 @@ class Maxent:
         seen["row_times"] += np.bincount(np.concatenate(features), minlength=ROWS)
         at = np.flatnonzero(head)
         if len(at):
-            places = self.places(features[0][at], cls[at])
-            error = _errors(self.word_scores(places, cls[at]), sequence[at] % PER)
-            g = np.bincount(places.ravel(), error.ravel(), WEIGHTS).astype(np.float32)
+            places = self.places([f[at] for f in features], cls[at])
+            error = _errors(self.word_scores(places, cls[at]), sequence[at] % PER).ravel().astype(np.float64)
+            g = sum(np.bincount(p.ravel(), error, WEIGHTS) for p in places).astype(np.float32)
             seen["weight_squares"] += g * g
             self.weights -= STEP * g / np.sqrt(seen["weight_squares"])
             seen["weight_times"] += g != 0

@@ -164,6 +164,24 @@ def test_most_frequent_fills_up(spark, few):
     assert common.most_frequent(df.limit(0), "n", 5, few).count() == 0
 
 
+def test_words_see_both_words_before():
+    rng = np.random.default_rng(5)
+    model = lm.Maxent([(lm.END, 50), *((f"w{i}".encode(), 40) for i in range(lm.SIZE - 1))], 300)
+    model.weights[:] = rng.standard_normal(model.weights.shape)
+    # The same class and the same word before: what differs is the one before that.
+    last = [model.log10s(np.array([w, 900, 7]), np.array([0]))[-1] for w in (5, 6, lm.SIZE + 1)]
+    assert len({round(x, 6) for x in last}) == 3
+    # Words that only the word two places before, or only both together, tell apart are learned.
+    for right in (lambda a, b: 10 + a % 2, lambda a, b: 10 + (a + b) % 2):
+        model = lm.Maxent([(lm.END, 50), *((f"w{i}".encode(), 40) for i in range(lm.SIZE - 1))], 300)
+        texts = [np.array([a, b, right(a, b)]) for a, b in rng.integers(100, 108, (2000, 2))]
+        sequence, starts = lm._batches(texts)
+        seen = {"row_squares": np.full(lm.ROWS, 1e-4, np.float32), "row_times": np.zeros(lm.ROWS), "weight_squares": np.full(lm.WEIGHTS, 1e-2, np.float32), "weight_times": np.zeros(lm.WEIGHTS)}
+        for _ in range(30):
+            model.update(sequence, starts, seen)
+        assert model.log10s(sequence, starts)[2::3].mean() > math.log10(0.7)
+
+
 def brute_links(rows, cosine):
     n = len(rows)
     ok = [r[2] is not None and r[1] is not None and r[0] is not None and len(r[1]) and all(x is not None and math.isfinite(x) for x in r[1]) and any(r[1]) for r in rows]
