@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brightloom.llm.common import scratch_table, text_or_empty
@@ -42,6 +42,9 @@ BASE = (
 RULES = (*BASE, Rule("pem", r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----", 0, 1))
 
 FINDINGS = "array<struct<start:bigint,kind_no:int,kind:string,end:bigint>>"
+#: In the ledger a finding has its rule's key.
+FOUND = "array<struct<start:bigint,end:bigint,rule:string>>"
+LEDGER = f"blob binary, rules array<string>, findings {FOUND}"
 
 
 def _hits(rule: Rule, no: int, text: Column) -> Column:
@@ -66,9 +69,9 @@ def scan(blobs: DataFrame, rules=RULES) -> DataFrame:
     upto = Window.partitionBy("blob", "kind_no").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("end", F.sum((F.col("gap") + F.col("h")).cast("long")).over(upto))
     least = F.element_at(F.array(*[F.lit(r.least) for r in rules]), F.col("kind_no") + 1)
-    kind = F.element_at(F.array(*[F.lit(r.kind) for r in rules]), F.col("kind_no") + 1)
+    key = F.element_at(F.array(*[F.lit(r.key) for r in rules]), F.col("kind_no") + 1)
     rows = rows.where(F.col("g") >= least)
-    span = F.struct((F.col("end") - F.col("h")).alias("start"), F.col("kind_no"), kind.alias("kind"), F.col("end"))
+    span = F.struct((F.col("end") - F.col("h")).alias("start"), F.col("end"), key.alias("rule"))
     return rows.groupBy("blob").agg(F.array_sort(F.collect_list(span)).alias("findings"))
 
 
@@ -76,17 +79,17 @@ def update_ledger(versions: DataFrame, ledger: DataFrame | None = None, rules=RU
     """What a scan adds to the ledger: (blob, rules, findings) for every blob of versions (blob, text) that has rule
     versions it wasn't scanned with. Blobs without findings are in it as well, so that they aren't scanned again."""
     keys = F.array(*[F.lit(r.key) for r in rules])
-    if ledger is None:
-        blobs = versions.select("blob", "text").distinct().withColumn("pending", keys)
-    else:
-        seen = ledger.select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
-        todo = versions.select("blob").distinct().join(seen, "blob", "left").withColumn("pending", F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>")))).where(F.size("pending") > 0)
-        blobs = versions.select("blob", "text").distinct().join(todo.drop("seen"), "blob")
-    # Distinct texts are written once with what was found; the texts themselves stay behind.
-    named = blobs.select("blob", F.col("pending").alias("rules"))
-    if ledger is None:
-        named = versions.select("blob").distinct().withColumn("rules", keys)
-    return named.join(scan(blobs, rules), "blob", "left").select("blob", "rules", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
+    ledger = empty_ledger(versions.sparkSession) if ledger is None else ledger
+    seen = ledger.select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
+    todo = versions.select("blob").distinct().join(seen, "blob", "left").select("blob", F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>"))).alias("pending")).where(F.size("pending") > 0)
+    # Equal texts are combined before they are dealt out, by blob alone, so that they meet the pending rules where they are.
+    blobs = versions.groupBy("blob").agg(F.first("text").alias("text")).join(todo, "blob")
+    # Distinct blobs are written once with what was found; the texts themselves stay behind.
+    return todo.withColumnRenamed("pending", "rules").join(scan(blobs, rules), "blob", "left").select("blob", "rules", F.coalesce("findings", F.array().cast(FOUND)).alias("findings"))
+
+
+def empty_ledger(spark: SparkSession) -> DataFrame:
+    return scratch_table(spark.createDataFrame([], LEDGER), "ledger")
 
 
 def content_addressed(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -98,17 +101,18 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text: str = "text", le
     """One row for each row of docs: id_col, blob, findings (by start, then kind).
 
     Null texts are empty and have no findings; equal texts, repeated rows among them, are scanned once; other columns
-    don't matter. With a ledger, only unseen pairs of blob and rule version are scanned, and what the ledger holds for
-    these rules is joined in.
+    don't matter. Only pairs of blob and rule version that the ledger doesn't hold are scanned, all of them without a
+    ledger; what it then holds for exactly these rule versions is joined in.
     """
     rows = content_addressed(docs.select(F.col(id_col), text_or_empty(text).alias("text")))
-    if ledger is not None:
-        ledger = scratch_table(ledger.unionByName(update_ledger(rows, ledger, rules)), "ledger")
-        wanted = F.array(*[F.lit(r.key) for r in rules])
-        found = ledger.where(F.arrays_overlap("rules", wanted)).where(F.size("findings") > 0).select("blob", F.explode("findings").alias("f"))
-        found = found.where(F.col("f.kind").isin([r.kind for r in rules])).groupBy("blob").agg(F.array_sort(F.collect_set("f")).alias("findings"))
-    else:
-        found = scan(rows.select("blob", "text").distinct().withColumn("pending", F.array(*[F.lit(r.key) for r in rules])), rules)
+    ledger = empty_ledger(docs.sparkSession) if ledger is None else ledger
+    ledger = ledger.unionByName(scratch_table(update_ledger(rows, ledger, rules), "ledger"))
+    # Findings of other rules and of other versions stay in the ledger. Numbers of kinds are those of the rules given.
+    no = F.array_position(F.array(*[F.lit(r.key) for r in rules]), F.col("f.rule")).cast("int")
+    kind = F.element_at(F.array(*[F.lit(r.kind) for r in rules]), no)
+    found = ledger.where(F.size("findings") > 0).select("blob", F.explode("findings").alias("f")).where(F.col("f.rule").isin([r.key for r in rules]))
+    span = F.struct(F.col("f.start").alias("start"), (no - 1).alias("kind_no"), kind.alias("kind"), F.col("f.end").alias("end"))
+    found = found.select("blob", span.alias("f")).groupBy("blob").agg(F.array_sort(F.collect_set("f")).alias("findings"))
     return rows.select(id_col, "blob").join(found, "blob", "left").select(id_col, "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
 
 
