@@ -17,12 +17,15 @@ from pyspark.sql import types as T
 from brightloom.llm.common import tidied
 
 UNKNOWN = "und"
-#: Documents sampled for each language's dictionary, the bytes that they may have, and the dictionary's size.
+#: Documents sampled for each language's dictionary, the bytes of those that are preferred, and the dictionary's size.
 ROWS, SHORTEST, LONGEST, SIZE = 400, 200, 8000, 1 << 16
 #: Texts are compressed in pieces of so many bytes, each from the dictionary alone, so that a long text doesn't become
 #: its own dictionary. The margin is what the runner-up needs more, as a part; below NARROW a text is rejected.
 PIECE, LEVEL, MIN_MATCH, NARROW = 2048, 6, 3, 0.02
 
+#: Bytes that a dictionary has at least.
+LEAST = 8
+
 _NOT_LETTERS = regex.compile(r"\P{L}+")
 
 
@@ -61,25 +64,32 @@ class LanguageModel:
 
     @classmethod
     def fit(cls, docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = ROWS) -> LanguageModel:
-        """Learns from the rows of docs with a language: a sample of at most `rows` documents of each, of moderate
-        length, chosen by a hash. Rows that are null in either column teach nothing."""
+        """Learns from the rows of docs with a language: a sample of at most `rows` documents of each, chosen by a hash,
+        those of moderate length first. Of a long one, so many characters as LONGEST teach. Rows that are null in either
+        column or have no letter teach nothing."""
         known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-        fair = known.where(F.octet_length("text").between(SHORTEST, LONGEST))
-        counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.octet_length("text").between(SHORTEST, LONGEST)).alias("fair"))
+        known = known.withColumn("taught", F.rlike("text", F.lit(r"\p{L}"))).withColumn("moderate", F.octet_length("text").between(SHORTEST, LONGEST))
+        counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("taught") & F.col("moderate")).alias("fair"), F.count_if(F.col("taught") & ~F.col("moderate")).alias("other"))
         # A hash below a bound that lets about four times as many pass, then the first of those. The counts, one row for
         # each language, are broadcast: else all texts would first be dealt out by language.
         draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-        passed = fair.withColumn("h", draw).join(F.broadcast(counts), "lang").where(F.col("h") < F.lit(float(1 << 30)) * 4 * rows / F.col("fair"))
-        first = Window.partitionBy("lang").orderBy("h", "id")
+        near = lambda among: F.col("h") < F.lit(float(1 << 30)) * 4 * rows / F.greatest(F.col(among), F.lit(1))
+        wanted = F.when(F.col("moderate"), near("fair")).otherwise((F.col("fair") < rows) & near("other"))
+        passed = known.where("taught").withColumn("h", draw).join(F.broadcast(counts), "lang").where(wanted)
+        short = F.substring(F.regexp_replace("text", r"\P{L}+", " "), 1, LONGEST)
+        passed = passed.withColumn("text", F.when(F.octet_length("text") > LONGEST, short).otherwise(F.col("text")))
+        first = Window.partitionBy("lang").orderBy(F.desc("moderate"), "h", "id")
         chosen = passed.withColumn("k", F.row_number().over(first)).where(F.col("k") <= rows)
 
         def build(group: pd.DataFrame) -> pd.DataFrame:
             body = b" ".join(letters(t) for t in group.sort_values("k").text)
+            while 0 < len(body) < LEAST:
+                body += b" " + body
             return pd.DataFrame({"lang": [group.lang.iloc[0]], "n": [group.n.iloc[0]], "body": [body[:SIZE]]})
 
         built = chosen.groupBy("lang").applyInPandas(tidied(build), "lang string, n long, body binary").collect()
-        # A language without documents of moderate length is learned from none, and so isn't known.
-        return cls(docs.sparkSession, [(r.lang, bytes(r.body)) for r in sorted(built, key=lambda r: (-r.n, r.lang)) if len(r.body) >= 8])
+        # A language none of whose documents has a letter isn't known.
+        return cls(docs.sparkSession, [(r.lang, bytes(r.body)) for r in sorted(built, key=lambda r: (-r.n, r.lang)) if len(r.body) >= LEAST])
 
     def predict(self, docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
         """One row for each row of docs: id_col, lang_pred, score, margin, rejected.

@@ -115,6 +115,16 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in nothing.predict(df).collect()} == {"und"} and model.predict(df.limit(0)).count() == 0
 
 
+def test_languages_of_short_or_long_texts_only(spark):
+    short = [f"wie geht es dir {w}" for w in ("heute", "morgen", "gestern", "jetzt")]
+    long = "0123 " * 2000 + "comment vas tu aujourd hui mon ami " * 400
+    rows = [*[(i, t, "de") for i, t in enumerate(short)], *[(10 + i, long, "fr") for i in range(3)], (20, "how are you today my friend " * 20, "en"), (30, "ja", "xx"), (40, "12 34", "yy")]
+    model = langid.LanguageModel.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(model.languages) == {"de", "fr", "en", "xx"}
+    got = model.predict(spark.createDataFrame([(0, "wie geht es dir heute"), (1, "comment vas tu aujourd hui"), (2, "how are you today")], "doc_id long, text string"))
+    assert {(r.doc_id, r.lang_pred) for r in got.collect()} == {(0, "de"), (1, "fr"), (2, "en")}
+
+
 def test_lm_scores(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet").unionByName(spark.createDataFrame([(-1, None, None, None, None), (-2, "", "en", "s", 0), (-3, LONG, "en", "s", 0), (-3, LONG, "en", "s", 0), (None, "Of THE", None, None, None)], SCHEMA)).withColumn("score", F.lit("clash"))
     got = lm.score(df, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2).toPandas()
