@@ -1,17 +1,18 @@
 """Toxicity: a linear classifier over character n-grams whose features are scaled by naive Bayes log-count ratios.
 
-Each hashed n-gram's share of a text is scaled by the log ratio of its counts in toxic and other texts (Wang and Manning
-2012); a logistic regression over the scaled shares is trained in rounds, in which every shard of the sample improves
-the common weights and the results are averaged.
+A text's features are the hashed n-grams of characters that it holds, each scaled by the log ratio of the texts that hold
+it among toxic and other ones (Wang and Manning 2012), the whole vector to about length one. A logistic regression, in which
+both classes weigh the same, is trained on them in rounds: every shard of the sample moves the common weights by gradient
+steps over its rows, and the results are averaged.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,55 +21,84 @@ from pyspark.sql import types as T
 from brightloom.llm.bpe import text_bytes
 from brightloom.llm.common import pieces, scratch_table, tidied
 
-#: Lengths of n-grams in bytes, hash buckets, labelled texts of each class that are learned from at most.
-NGRAMS, BUCKETS, SAMPLE = (3, 4, 5), 1 << 18, 10_000
-#: Texts in a shard of the sample and shards at most, rounds of averaging, texts that a
-#: shard looks at in a round, passes at least, step, and bytes of text taken up at a time.
-SHARD_ROWS, SHARDS, ROUNDS, LOOKS, PASSES, STEP, PIECE = 1500, 12, 4, 8000, 3, 0.05, 1 << 20
-
-
-def grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each length: the buckets of the n-grams of all texts, the first n-gram of each text, and a mask of those that
-    lie within one text. Letters A-Z are lower-cased; each text stands between two spaces."""
-    ends = offsets[1:] + 2 * np.arange(1, len(offsets))
-    starts = np.append(0, ends[:-1])
-    padded = np.full(len(data) + 2 * (len(offsets) - 1), 32, np.uint32)
-    inner = np.ones(len(padded), bool)
-    inner[starts] = inner[ends - 1] = False
-    low = data + np.where((data >= 65) & (data <= 90), 32, 0).astype(np.uint8)
-    padded[inner] = low
+#: Lengths of n-grams in characters, hash buckets, labelled texts of each class that are learned from at most.
+NGRAMS, BUCKETS, SAMPLE = (3, 4, 5, 6, 7), 1 << 20, 10_000
+#: Texts in a shard of the sample and shards at most, rounds of averaging, the gradient's step, and the texts that a
+#: ratio's prior counts for: so many must hold an n-gram before its ratio outweighs that of all texts.
+SHARD_ROWS, SHARDS, ROUNDS, STEP, PRIOR = 1500, 12, 3, 0.3, 20.0
+#: The bias at most, so that a text without telling n-grams isn't called toxic, and what is added to a squared length, so
+#: that a few n-grams of a short text don't weigh like a whole text's.
+LEAN, SHORT = -0.5, 100.0
+#: Bytes of text taken up at a time, of many texts or of one; pieces that a vector of weights is summed up in.
+PIECE, CHUNKS = 1 << 20, 16
+
+
+def hashes(points: np.ndarray) -> Iterator[np.ndarray]:
+    """For each length the buckets of the n-grams that begin at each code point; those that would run over the end are
+    left out. A-Z count as a-z."""
+    points = points + np.where((points >= 65) & (points <= 90), 32, 0).astype(np.uint32)
+    h, upto = np.zeros(len(points), np.uint32), 0
     for n in NGRAMS:
-        h = np.zeros(len(padded), np.uint32)
-        for k in range(n):
+        for k in range(upto, n):
             h *= np.uint32(0x01000193)
-            h[: max(0, len(h) - k)] += padded[k:]
-        h ^= h >> np.uint32(15)
-        h *= np.uint32(0x85EBCA6B + 2 * n)
-        h ^= h >> np.uint32(13)
-        within = np.ones(len(h), bool)
-        for k in range(1, n):
-            within[np.maximum(ends - k, 0)] = False
-        yield h & np.uint32(BUCKETS - 1), starts, within
-
-
-def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets of one text and their shares in per cent."""
-    found = [h[within] for h, _, within in grams(np.frombuffer(text, np.uint8), np.array([0, len(text)]))]
-    buckets, counts = np.unique(np.concatenate(found), return_counts=True)
-    return buckets, 100.0 * counts / max(1, counts.sum())
+            h[: max(0, len(h) - k)] += points[k:]
+        upto = n
+        g = h[: max(0, len(h) - n + 1)].copy()
+        g ^= g >> np.uint32(15)
+        g *= np.uint32(0x85EBCA6B + 2 * n)
+        g ^= g >> np.uint32(13)
+        g &= np.uint32(BUCKETS - 1)
+        yield g
+
+
+def features(text: bytes) -> np.ndarray:
+    """The buckets of the n-grams that a text holds between two spaces, each once; of a long text, a piece at a time."""
+    if len(text) <= PIECE:
+        grams = np.concatenate(list(hashes(_points(b" " + text + b" "))))
+        # Of a bucket that occurs again only the last place stays.
+        last, places = _last(), np.arange(len(grams), dtype=np.int32)
+        last[grams] = places
+        return grams[last[grams] == places]
+    seen, before = np.zeros(BUCKETS, bool), np.array([32], np.uint32)
+    for k in range(0, len(text), PIECE):
+        low, high = _character(text, k), _character(text, k + PIECE)
+        points = np.concatenate([before, _points(text[low:high]), [32] if high == len(text) else []]).astype(np.uint32)
+        for h in hashes(points):
+            seen[h] = True
+        before = points[-(NGRAMS[-1] - 1) :]
+    return np.flatnonzero(seen).astype(np.uint32)
+
+
+@cache
+def _last() -> np.ndarray:
+    """Scratch room for each process; what is read there was written just before."""
+    return np.zeros(BUCKETS, np.int32)
+
+
+def _points(text: bytes) -> np.ndarray:
+    return np.frombuffer(text.decode("utf-8").encode("utf-32-le"), np.uint32)
+
+
+def _character(text: bytes, at: int) -> int:
+    """The first place from there on where a character begins."""
+    while at < len(text) and text[at] & 0xC0 == 0x80:
+        at += 1
+    return min(at, len(text))
 
 
 class ToxicityModel:
-    """Weights of the buckets, the ratios folded in, and a bias."""
+    """For each bucket the ratio and the weight of its scaled feature, and a bias."""
 
-    def __init__(self, weights: np.ndarray, bias: float):
-        self.weights, self.bias = weights.astype(np.float32), float(bias)
+    def __init__(self, ratio: np.ndarray, weights: np.ndarray, bias: float):
+        self.bias = float(bias)
+        # What an n-gram adds to the sum and to the squared length, side by side.
+        self.adds = np.stack([ratio * weights, ratio * ratio], 1).astype(np.float32)
 
     @classmethod
     def fit(cls, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", most: int = SAMPLE, rounds: int = ROUNDS) -> ToxicityModel:
         """Learns from rows of docs that have a label: a sample of at most `most` texts of each class, chosen by a hash.
-        An id with several labels counts as toxic if any says so; null labels teach nothing. Without labels of both
-        classes, all texts get the score of the prior, which is below a half."""
+        An id with several labels counts as toxic if any says so; null labels teach nothing. An id with several texts
+        teaches one of them. Without labels of both classes, all texts get one score, below a half."""
         spark = docs.sparkSession
         marked = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label).cast("int")).alias("y"))
         draws = marked.join(docs.select(F.col(id_col).alias("__id")).where("__id is not null").distinct(), "__id", "left_semi").withColumn("h", F.pmod(F.xxhash64("__id"), F.lit(1 << 30)))
@@ -81,85 +111,107 @@ class ToxicityModel:
             chosen = chosen.union(some)
         chosen = scratch_table(chosen.select("__id", "y"), "toxic-ids")
         shards = max(1, min(SHARDS, chosen.count() // SHARD_ROWS))
-        # At most 2 * most ids: a bound that doesn't grow.
-        sample = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("text")).join(F.broadcast(chosen), "__id")
-        sample = scratch_table(sample.select(F.pmod(F.xxhash64("__id", F.lit(1)), F.lit(shards)).cast("int").alias("shard"), "__id", "y", "text"), "toxic-sample")
-
-        def per_shard(work, schema: str) -> list:
-            return sample.groupBy("shard").applyInPandas(tidied(work), schema).collect()
-
-        def count(group: pd.DataFrame) -> pd.DataFrame:
-            seen = np.zeros((2, BUCKETS), np.float32)
-            for t, y in zip(group.text, group.y, strict=True):
-                seen[y, features((t or "").encode())[0]] += 1
-            return pd.DataFrame({"n0": [int((group.y == 0).sum())], "n1": [int((group.y == 1).sum())], "seen": [seen.tobytes()]})
-
-        parts = per_shard(count, "n0 long, n1 long, seen binary")
-        n0, n1 = sum(p.n0 for p in parts), sum(p.n1 for p in parts)
-        bias, w = math.log((n1 + 0.5) / (n0 + 1.5)), np.zeros(BUCKETS, np.float32)
+        # At most 2 * most ids: a bound that doesn't grow. A repeated id's texts meet in one row, where they are first.
+        sample = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "__id")
+        sample = sample.groupBy("__id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.first("y").alias("y"))
+        spread = sample.repartition(shards, F.xxhash64("__id", F.lit(1))).sortWithinPartitions(F.xxhash64("__id", F.lit(2)), "__id")
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for low, high in pieces(batch, 1, PIECE):
+                    some = batch.slice(low, high - low)
+                    yield pa.RecordBatch.from_arrays([some.column(0), pa.array([features(t.as_py().encode()).tobytes() for t in some.column(1)], pa.binary())], ["y", "grams"])
+
+        # Written once, an n-gram as four bytes; every round streams it. A file of it is a shard, in its rows' order.
+        packed = scratch_table(spread.select("y", "text").mapInArrow(tidied(pack), "y int, grams binary"), "toxic-grams")
+
+        def summed(work, *sizes: int) -> list[np.ndarray]:
+            """The sums over all shards of the vectors that work makes of a shard's rows."""
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                rows = ((y.as_py(), np.frombuffer(g.as_buffer(), np.uint32)) for batch in batches for y, g in zip(batch.column(0), batch.column(1), strict=True))
+                for no, vector in enumerate(work(rows)):
+                    parts = np.array_split(np.asarray(vector, np.float32), CHUNKS)
+                    yield pa.RecordBatch.from_arrays([pa.array([no] * CHUNKS, pa.int32()), pa.array(range(CHUNKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["no", "chunk", "part"])
+
+            def add(table: pa.Table) -> pa.Table:
+                total = sum(np.frombuffer(p.as_buffer(), np.float32).astype(np.float64) for p in table.column("part"))
+                return pa.table({"no": table.column("no")[:1], "chunk": table.column("chunk")[:1], "total": pa.array([total.astype(np.float64).tobytes()], pa.binary())})
+
+            found = packed.mapInArrow(tidied(run), "no int, chunk int, part binary").groupBy("no", "chunk").applyInArrow(tidied(add), "no int, chunk int, total binary").collect()
+            at = {(r.no, r.chunk): np.frombuffer(bytes(r.total), np.float64) for r in found}
+            return [np.concatenate([at[no, c] for c in range(CHUNKS)]) if (no, 0) in at else np.zeros(n) for no, n in enumerate(sizes)]
+
+        def count(rows):
+            seen, n = np.zeros((2, BUCKETS), np.float32), np.zeros(2)
+            for y, grams in rows:
+                seen[y, grams] += 1
+                n[y] += 1
+            return seen[0], seen[1], n
+
+        other, toxic, (n0, n1) = summed(count, BUCKETS, BUCKETS, 2)
         if not n0 or not n1:
-            return cls(w, min(bias, -1.0))
-        seen = sum(np.frombuffer(p.seen, np.float32).reshape(2, BUCKETS).astype(np.float64) for p in parts) + 1
-        ratio = np.log((seen[1] / seen[1].sum()) / (seen[0] / seen[0].sum())).astype(np.float32)
-        squares, bias_squares = np.full(BUCKETS, 1e-6, np.float32), 1e-6
+            return cls(np.zeros(BUCKETS), np.zeros(BUCKETS), -1.0)
+        prior = PRIOR / (n0 + n1)
+        ratio = np.log((toxic / n1 + prior) / (other / n0 + prior) / ((n1 + PRIOR) / n1) * ((n0 + PRIOR) / n0)).astype(np.float32)
+        w, bias = np.zeros(BUCKETS, np.float32), LEAN
+        weight = np.array([(n0 + n1) / (2 * n0), (n0 + n1) / (2 * n1)])
         for _ in range(rounds):
-            state = spark.sparkContext.broadcast((w, bias, squares, bias_squares, ratio))
-
-            def improve(group: pd.DataFrame) -> pd.DataFrame:
-                w, bias, squares, bias_squares, ratio = state.value  # noqa: B023
-                w, squares = w.copy(), squares.copy()
-                group = group.sort_values(["__id", "text"])
-                rows = [(u, (x * ratio[u]).astype(np.float32), y) for (u, x), y in zip(map(features, ((t or "").encode() for t in group.text)), group.y, strict=True)]
-                order = np.random.default_rng(7)
-                for _ in range(max(PASSES, LOOKS // len(rows))):
-                    for i in order.permutation(len(rows)):
-                        u, x, y = rows[i]
-                        error = 1 / (1 + math.exp(-max(-30.0, min(30.0, float(w[u] @ x) + bias)))) - y
-                        g = error * x
-                        squares[u] += g * g
-                        w[u] -= STEP * g / np.sqrt(squares[u])
-                        bias_squares += error * error
-                        bias -= 10 * STEP * error / math.sqrt(bias_squares)
-                return pd.DataFrame({"n": [len(rows)], "w": [w.tobytes()], "squares": [squares.tobytes()], "bias": [bias], "bias_squares": [bias_squares]})
-
-            parts = sorted(per_shard(improve, "n long, w binary, squares binary, bias double, bias_squares double"), key=lambda p: p.w)
-            total = sum(p.n for p in parts)
-            mean = lambda key: sum(np.frombuffer(p[key], np.float32) * np.float32(p.n / total) for p in parts)  # noqa: B023, E731
-            w, squares = mean("w"), mean("squares")
-            bias, bias_squares = (sum(p[k] * p.n for p in parts) / total for k in ("bias", "bias_squares"))
+            state = spark.sparkContext.broadcast((w, bias, ratio, weight))
+
+            def improve(rows):
+                w, bias, ratio, weight = state.value  # noqa: B023
+                w, n = w.copy(), 0
+                for y, grams in rows:
+                    x = ratio[grams]
+                    x /= math.sqrt(float(x @ x) + SHORT)
+                    error = 1 / (1 + math.exp(-max(-30.0, min(30.0, float(w[grams] @ x) + bias)))) - y
+                    w[grams] -= np.float32(STEP * weight[y] * error) * x
+                    bias = min(LEAN, bias - 0.05 * STEP * weight[y] * error)
+                    n += 1
+                if n:
+                    yield from (w * np.float32(n), np.array([bias * n, n]))
+
+            total, (biases, n) = summed(improve, BUCKETS, 2)
+            w, bias = (total / n).astype(np.float32), float(biases / n)
             state.unpersist()
-        return cls(w * ratio, bias)
+        return cls(ratio, w, bias)
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The probability for each text."""
-        n = len(offsets) - 1
-        total, count = np.zeros(n), np.zeros(n)
-        for h, starts, within in grams(data, offsets):
-            # Every text has two spaces at least, so each reduced run is its own.
-            total += np.add.reduceat(np.where(within, self.weights[h], 0).astype(np.float64), starts)
-            count += np.add.reduceat(within.astype(np.int64), starts)
-        return 1 / (1 + np.exp(-np.clip(100 * total / np.maximum(count, 1) + self.bias, -60, 60)))
+        out = np.zeros(len(offsets) - 1)
+        raw = data.tobytes()
+        for i, (low, high) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+            grams = features(raw[low:high])
+            total, squares = self.adds[grams].sum(0, dtype=np.float64)
+            out[i] = total / math.sqrt(squares + SHORT) + self.bias
+        return 1 / (1 + np.exp(-np.clip(out, -60, 60)))
 
     def score(self, docs: DataFrame, text: str = "text", keep: tuple[str, ...] | None = None, out: str = "score") -> DataFrame:
-        """One row for each row of docs, with the columns to keep (all if None) and the score, from 0 to 1. Null texts
-        score as empty ones, which get the score of the bias alone."""
+        """One row for each row of docs, with the columns to keep (all if None) and the score, from 0 to 1.
+
+        Only the text goes to Python, the other columns wait beside it. Null texts score as empty ones, which have next
+        to no n-grams and get about the score of the bias; repeated rows come back as often as they are there, an empty
+        table gives an empty result, columns of any other names don't matter.
+        """
         kept = list(docs.columns if keep is None else keep)
-        sent = docs.sparkSession.sparkContext.broadcast((self.weights, self.bias))
+        sent = docs.sparkSession.sparkContext.broadcast(self)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            model = ToxicityModel(*sent.value)
-            for batch in batches:
-                at = batch.num_columns - 1
-                for low, high in pieces(batch, at, PIECE):
-                    part = batch.slice(low, high - low)
-                    yield pa.RecordBatch.from_arrays([*part.columns[:at], pa.array(model.scores(*text_bytes(part.column(at))))], [*kept, out])
+        def of_batches(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            model = sent.value
+            for batch in texts:
+                rows = pa.RecordBatch.from_arrays([batch], ["text"])
+                yield pa.array(np.concatenate([model.scores(*text_bytes(batch.slice(low, high - low))) for low, high in pieces(rows, 0, PIECE)] or [np.zeros(0)]))
+
+        def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            yield from tidied(of_batches)(texts)
 
-        fields = [*[docs.schema[c] for c in kept], T.StructField(out, T.DoubleType())]
-        return docs.select(*kept, F.col(text).alias("__text")).mapInArrow(tidied(run), T.StructType(fields))
+        run.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+        return docs.select(*kept, F.arrow_udf(run, T.DoubleType())(F.col(text)).alias(out))
 
 
 def clean(docs: DataFrame, labels: DataFrame, training: DataFrame | None = None, threshold: float = 0.5, **how) -> DataFrame:
     """The rows of docs that score below the threshold, with all their columns; training: where to learn, if not all of
-    docs."""
+    docs. Null and empty texts stay, repeated rows fare alike, an empty table gives an empty result."""
     model = ToxicityModel.fit(docs if training is None else training, labels, **how)
     return model.score(docs, out="__toxic").where(F.col("__toxic") < threshold).drop("__toxic")

@@ -73,30 +73,78 @@ def toxic_docs(n=600):
 
 def test_toxicity_held_out(spark):
     rows = toxic_docs()
-    df = docs(spark, [t for _, t, _ in rows]).unionByName(spark.createDataFrame([(9000, None, None, None, None), (9001, "", "en", "s", 0), (9002, LONG, "en", "s", 0), (None, "river stone paper garden", None, None, None)], SCHEMA)).withColumn("score", F.lit("clash"))
+    df = docs(spark, [t for _, t, _ in rows]).unionByName(spark.createDataFrame([(9000, None, None, None, None), (9001, "", "en", "s", 0), (9002, LONG, "en", "s", 0), (None, "no id", None, None, None), (9003, "Guten Tag", None, None, None)], SCHEMA)).withColumn("score", F.lit("clash"))
     labels = spark.createDataFrame([(i, y) for i, _, y in rows if i % 3] + [(None, 1), (9000, None), (1, 0)], "doc_id long, toxic int")
     model = toxicity.ToxicityModel.fit(df, labels)
     got = {r.doc_id: r.s for r in model.score(df.drop("score"), keep=("doc_id",), out="s").collect()}
-    assert len(got) == len(rows) + 4 and all(0 <= s <= 1 for s in got.values()) and got[9000] == got[9001]
+    assert len(got) == len(rows) + 5 and all(0 <= s <= 1 for s in got.values()) and got[9000] == got[9001]
     held = [(got[i] >= 0.5, bool(y)) for i, _, y in rows if i % 3 == 0]
     assert np.mean([a == b for a, b in held]) > 0.95
     kept = toxicity.clean(df, labels)
-    assert kept.columns == df.columns and {9000, 9001, 9002, None} <= {r.doc_id for r in kept.collect()}
+    assert kept.columns == df.columns and {9000, 9001, 9002, 9003, None} <= {r.doc_id for r in kept.collect()}
     for none in (labels.limit(0), labels.where("toxic = 0")):
         unknown = toxicity.ToxicityModel.fit(df, none)
         assert unknown.score(df.drop("score")).where("score >= 0.5").count() == 0
     assert model.score(df.drop("score").limit(0)).count() == 0
 
 
-def test_scores_do_not_depend_on_neighbours():
-    model = toxicity.ToxicityModel(np.random.default_rng(0).standard_normal(toxicity.BUCKETS), 0.1)
-    texts = [b"", b"a", b"abc", "déjà vu, encore".encode(), b"", LONG.encode()]
-    offsets = np.cumsum([0, *map(len, texts)])
-    alone = [model.scores(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0] for t in texts]
-    assert np.allclose(model.scores(np.frombuffer(b"".join(texts), np.uint8), offsets), alone)
-    for t, s in zip(texts, alone, strict=True):
-        u, x = toxicity.features(t)
-        assert s == pytest.approx(1 / (1 + math.exp(-(float(model.weights[u].astype(float) @ x) + model.bias))), abs=1e-6)
+def grams_of(text):
+    """The distinct n-grams of characters of a text, between two spaces, in plain Python."""
+    low = " " + "".join(c.lower() if "A" <= c <= "Z" else c for c in text) + " "
+    return {low[i : i + n] for n in toxicity.NGRAMS for i in range(len(low) - n + 1)}
+
+
+def bucket(gram):
+    return int(list(toxicity.hashes(np.array([*map(ord, gram)], np.uint32)))[toxicity.NGRAMS.index(len(gram))][0])
+
+
+def test_scores_like_brute_force():
+    rng = np.random.default_rng(0)
+    ratio, weights = rng.standard_normal(toxicity.BUCKETS), rng.standard_normal(toxicity.BUCKETS)
+    model = toxicity.ToxicityModel(ratio, weights, 0.1)
+    texts = ["", "a", "aBc ABC", "déjà vu, encore 😀ß", "", " ".join(f"Wört{i % 97}." for i in range(2000))]
+    raw = [t.encode() for t in texts]
+    got = model.scores(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    for t, s in zip(texts, got, strict=True):
+        at = np.array(sorted({bucket(g) for g in grams_of(t)}), int)
+        assert sorted(toxicity.features(t.encode()).tolist()) == at.tolist()
+        assert s == pytest.approx(1 / (1 + math.exp(-(ratio[at] @ weights[at] / np.sqrt(ratio[at] @ ratio[at] + toxicity.SHORT) + 0.1))), abs=1e-5)
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    text = " ".join(f"größe{i % 977} 😀." for i in range(5000)).encode()
+    whole = np.sort(toxicity.features(text))
+    for piece in (64, 1000, 4097):
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        assert np.sort(toxicity.features(text)).tolist() == whole.tolist()
+
+
+def test_toxicity_trains_like_brute_force(spark):
+    rows = [(i, t, y) for i, t, y in toxic_docs(120)]
+    df, labels = docs(spark, [t for _, t, _ in rows]), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    # An id with another text as well, and labels that say both: it teaches once, as toxic.
+    df, labels = df.union(df.where("doc_id = 5")), labels.union(spark.createDataFrame([(5, 1)], labels.schema))
+    model = toxicity.ToxicityModel.fit(df, labels)
+    order = [r.doc_id for r in df.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id").collect()]
+    truth = {i: (t, max(y, int(i == 5))) for i, t, y in rows}
+    sets = {i: np.array(sorted({bucket(g) for g in grams_of(truth[i][0])})) for i in order}
+    seen, n = np.zeros((2, toxicity.BUCKETS)), np.zeros(2)
+    for i in order:
+        seen[truth[i][1], sets[i]] += 1
+        n[truth[i][1]] += 1
+    prior, p = toxicity.PRIOR / n.sum(), toxicity.PRIOR
+    ratio = np.log((seen[1] + n[1] * prior) / (n[1] + p)) - np.log((seen[0] + n[0] * prior) / (n[0] + p))
+    w, bias = np.zeros(toxicity.BUCKETS), toxicity.LEAN
+    for _ in range(toxicity.ROUNDS):
+        for i in order:
+            x = ratio[sets[i]] / np.sqrt(ratio[sets[i]] @ ratio[sets[i]] + toxicity.SHORT)
+            step = toxicity.STEP * n.sum() / 2 / n[truth[i][1]] * (1 / (1 + math.exp(-(w[sets[i]] @ x + bias))) - truth[i][1])
+            w[sets[i]] -= step * x
+            bias = min(toxicity.LEAN, bias - 0.05 * step)
+    got = {r.doc_id: r.score for r in model.score(df, keep=("doc_id",)).collect()}
+    for i in order:
+        x = ratio[sets[i]] / np.sqrt(ratio[sets[i]] @ ratio[sets[i]] + toxicity.SHORT)
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-(w[sets[i]] @ x + bias))), abs=1e-4)
 
 
 def test_language_held_out(spark):
