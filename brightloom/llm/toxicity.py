@@ -69,6 +69,18 @@ def features(text: bytes) -> np.ndarray:
     return np.flatnonzero(seen).astype(np.uint32)
 
 
+def packed_grams(grams: np.ndarray) -> bytes:
+    """The buckets in their order: how many have each value of the upper bits, then the lower 16 bits of each."""
+    grams = np.sort(grams)
+    return np.bincount(grams >> 16, minlength=BUCKETS >> 16).astype("<u4").tobytes() + (grams & 0xFFFF).astype("<u2").tobytes()
+
+
+def unpacked_grams(raw) -> np.ndarray:
+    upper = BUCKETS >> 16
+    counts = np.frombuffer(raw, "<u4", upper)
+    return np.frombuffer(raw, "<u2", offset=4 * upper).astype(np.uint32) + np.repeat(np.arange(upper, dtype=np.uint32) << 16, counts)
+
+
 @cache
 def _last() -> np.ndarray:
     """Scratch room for each process; what is read there was written just before."""
@@ -120,16 +132,16 @@ class ToxicityModel:
             for batch in batches:
                 for low, high in pieces(batch, 1, PIECE):
                     some = batch.slice(low, high - low)
-                    yield pa.RecordBatch.from_arrays([some.column(0), pa.array([features(t.as_py().encode()).tobytes() for t in some.column(1)], pa.binary())], ["y", "grams"])
+                    yield pa.RecordBatch.from_arrays([some.column(0), pa.array([packed_grams(features(t.as_py().encode())) for t in some.column(1)], pa.binary())], ["y", "grams"])
 
-        # Written once, an n-gram as four bytes; every round streams it. A file of it is a shard, in its rows' order.
+        # Written once, an n-gram as two bytes; every round streams it. A file of it is a shard, in its rows' order.
         packed = scratch_table(spread.select("y", "text").mapInArrow(tidied(pack), "y int, grams binary"), "toxic-grams")
 
         def summed(work, *sizes: int) -> list[np.ndarray]:
             """The sums over all shards of the vectors that work makes of a shard's rows."""
 
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                rows = ((y.as_py(), np.frombuffer(g.as_buffer(), np.uint32)) for batch in batches for y, g in zip(batch.column(0), batch.column(1), strict=True))
+                rows = ((y.as_py(), unpacked_grams(g.as_buffer())) for batch in batches for y, g in zip(batch.column(0), batch.column(1), strict=True))
                 for no, vector in enumerate(work(rows)):
                     parts = np.array_split(np.asarray(vector, np.float32), CHUNKS)
                     yield pa.RecordBatch.from_arrays([pa.array([no] * CHUNKS, pa.int32()), pa.array(range(CHUNKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["no", "chunk", "part"])
