@@ -137,17 +137,18 @@ class ToxicityModel:
         # Written once, an n-gram as two bytes; every round streams it. A file of it is a shard, in its rows' order.
         packed = scratch_table(spread.select("y", "text").mapInArrow(tidied(pack), "y int, grams binary"), "toxic-grams")
 
-        def summed(work, *sizes: int) -> list[np.ndarray]:
-            """The sums over all shards of the vectors that work makes of a shard's rows."""
+        def summed(work, kind: type, *sizes: int) -> list[np.ndarray]:
+            """The sums over all shards of the vectors, of numbers of that kind, that work makes of a shard's rows. Tasks
+            without rows add nothing, however finely the files are read."""
 
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows = ((y.as_py(), unpacked_grams(g.as_buffer())) for batch in batches for y, g in zip(batch.column(0), batch.column(1), strict=True))
                 for no, vector in enumerate(work(rows)):
-                    parts = np.array_split(np.asarray(vector, np.float32), CHUNKS)
+                    parts = np.array_split(np.asarray(vector, kind), CHUNKS)
                     yield pa.RecordBatch.from_arrays([pa.array([no] * CHUNKS, pa.int32()), pa.array(range(CHUNKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["no", "chunk", "part"])
 
             def add(table: pa.Table) -> pa.Table:
-                total = sum(np.frombuffer(p.as_buffer(), np.float32).astype(np.float64) for p in table.column("part"))
+                total = sum(np.frombuffer(p.as_buffer(), kind).astype(np.float64) for p in table.column("part"))
                 return pa.table({"no": table.column("no")[:1], "chunk": table.column("chunk")[:1], "total": pa.array([total.astype(np.float64).tobytes()], pa.binary())})
 
             found = packed.mapInArrow(tidied(run), "no int, chunk int, part binary").groupBy("no", "chunk").applyInArrow(tidied(add), "no int, chunk int, total binary").collect()
@@ -155,13 +156,13 @@ class ToxicityModel:
             return [np.concatenate([at[no, c] for c in range(CHUNKS)]) if (no, 0) in at else np.zeros(n) for no, n in enumerate(sizes)]
 
         def count(rows):
-            seen, n = np.zeros((2, BUCKETS), np.float32), np.zeros(2)
+            seen, n = np.zeros((2, BUCKETS), np.uint32), np.zeros(2, np.uint32)
             for y, grams in rows:
                 seen[y, grams] += 1
                 n[y] += 1
-            return seen[0], seen[1], n
+            return (seen[0], seen[1], n) if n.any() else ()
 
-        other, toxic, (n0, n1) = summed(count, BUCKETS, BUCKETS, 2)
+        other, toxic, (n0, n1) = summed(count, np.uint32 if 2 * most > 65_535 else np.uint16, BUCKETS, BUCKETS, 2)
         if not n0 or not n1:
             return cls(np.zeros(BUCKETS), np.zeros(BUCKETS), -1.0)
         prior = PRIOR / (n0 + n1)
@@ -184,7 +185,7 @@ class ToxicityModel:
                 if n:
                     yield from (w * np.float32(n), np.array([bias * n, n]))
 
-            total, (biases, n) = summed(improve, BUCKETS, 2)
+            total, (biases, n) = summed(improve, np.float32, BUCKETS, 2)
             w, bias = (total / n).astype(np.float32), float(biases / n)
             state.unpersist()
         return cls(ratio, w, bias)
