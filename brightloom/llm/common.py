@@ -24,6 +24,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one class that may be sorted for the last places among the most frequent.
 FEW = 1 << 16
 
+#: A key of more than one row in so many is hot; bytes of a key that is sent to all tasks.
+HOT, HOT_BYTES = 4096, 4096
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
@@ -60,6 +63,32 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of one's own that no column of df has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while (name := f"__{name}").lower() in taken:
+            pass
+        out.append(name)
+    return out
+
+
+def with_group(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """rows joined with the row of groups that has their key; size: the column of groups that counts the rows of a key.
+
+    A key that more than one row in HOT has, of which there are fewer than HOT, doesn't meet its rows in one task: such
+    rows of groups go to wherever their rows are, if their keys are short enough to be sure of what that takes.
+    """
+    groups = scratch_table(groups, "groups")
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    few = (F.col(size) > max(1, total // HOT)) & (F.octet_length(F.col(key).cast("binary")) <= HOT_BYTES)
+    hot = scratch_table(groups.where(few), "hot-groups")
+    if hot.isEmpty():
+        return rows.join(groups, key)
+    cool = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.where(~few), key)
+    return rows.join(F.broadcast(hot), key).unionByName(cool)
+
+
 def spread(df: DataFrame, *cols: str) -> DataFrame:
     """Deals a small table out for work that is heavy for each row."""
     return df.repartition(max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *cols)

@@ -1,9 +1,10 @@
 """Exact dedup by content-defined chunk recipes, in DataFrame functions only.
 
-A text is cut at places that its own content names, each chunk gets an identifier, and texts are compared by their
-ordered lists of identifiers. An identifier is a digest that has been verified: over the whole corpus, distinct chunks
-were compared by content, and a digest that stands for two contents is not trusted. So a long document is moved at most
-once, as distinct chunks; what is grouped and joined are recipes of a few bytes for each kB.
+A text is cut after sentences whose own hash meets a condition, so that a cut depends on nothing that stands before the
+sentence; each chunk gets an identifier, and texts are compared by their ordered lists of identifiers. An identifier is a
+digest that has been verified: over the whole corpus, distinct chunks were compared by content, and a digest that stands
+for two contents is not trusted. So a long document is moved at most once, as distinct chunks; what is grouped and joined
+are recipes of a few bytes for each kB.
 """
 
 from __future__ import annotations
@@ -13,44 +14,57 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brightloom.llm.common import ascii_lower, scratch_table, text_or_empty
+from brightloom.llm.common import ascii_lower, free_names, scratch_table, text_or_empty, with_group
 
-#: Characters of a chunk: at least LEAST, then up to the end of a sentence or line, at most MOST.
-LEAST, MOST = 1024, 8192
+#: One unit (a sentence, a word where no sentence ends) in so many ends a chunk; characters in which a sentence is to end,
+#: and of a chunk at most.
+ONE_IN, LONGEST, MOST = 32, 256, 16_384
+#: What is put in where a chunk ends, and what stands for the first of its characters in a text.
+ESCAPE, CUT, SAME = "\x00", "\x00\x01", "\x00\x02"
 
 
-def chunks(text: Column, least: int = LEAST, most: int = MOST) -> Column:
-    """Chunks that joined together give the text; none for an empty text."""
-    return F.regexp_extract_all(text, F.lit(rf"(?s).{{{least},{most}}}?[.!?\n]|.{{1,{most}}}"), F.lit(0))
+def chunks(text: Column, one_in: int = ONE_IN, longest: int = LONGEST, most: int = MOST) -> Column:
+    """Chunks of a text, from which it can be told in full; none for an empty text.
+
+    A unit is a sentence, up to a full stop, exclamation mark, question mark or line break; where none comes within
+    `longest` characters, a word with the white space behind it; in a longer unbroken run, what ends with one of some
+    fixed characters, or one character. A unit whose hash meets the condition ends a chunk, whatever stands before it.
+    Only a chunk of more than `most` characters is cut by length, up to where the next such unit ends it.
+    """
+    units = rf"(?s)[^.!?\n]{{0,{longest}}}[.!?\n]|\S{{0,64}}\s|[^a-m0-4A-M\s]{{0,15}}[a-m0-4A-M]|."
+    found = F.regexp_extract_all(F.replace(text, F.lit(ESCAPE), F.lit(SAME)), F.lit(units), F.lit(0))
+    marked = F.transform(found, lambda s: F.when(F.pmod(F.xxhash64(s), F.lit(one_in)) == 0, F.concat(s, F.lit(CUT))).otherwise(s))
+    whole = F.filter(F.split(F.array_join(marked, ""), CUT, -1), lambda c: c != "")
+    short = F.transform(whole, lambda c: F.when(F.char_length(c) > most, F.regexp_extract_all(c, F.lit(rf"(?s).{{1,{most}}}"), F.lit(0))).otherwise(F.array(c)))
+    return F.flatten(short)
 
 
 def sha256(chunk: Column) -> Column:
     return F.unhex(F.sha2(chunk.cast("binary"), 256))
 
 
-def untrusted(docs: DataFrame, normal: Column, digest: Callable[[Column], Column], least: int, most: int) -> DataFrame:
-    """Digests that stand for more than one chunk: none with a good digest, yet it is checked rather than assumed."""
-    # An outer explode: else Spark first cuts each text to see whether it has chunks.
-    parts = docs.select(F.explode_outer(chunks(normal, least, most)).alias("chunk")).where("chunk is not null")
-    return parts.select(digest(F.col("chunk")).alias("digest"), "chunk").distinct().groupBy("digest").count().where("count > 1").select("digest")
-
-
-def with_recipe(docs: DataFrame, text: str = "text", digest: Callable[[Column], Column] = sha256, least: int = LEAST, most: int = MOST) -> DataFrame:
-    """Adds __normal (the normalised text) and __recipe: its ordered chunk identifiers. Null counts as empty, and the
-    recipe of an empty text is empty. Equal recipes mean equal normalised texts."""
-    normal = ascii_lower(text_or_empty(text))
-    bad = untrusted(docs, normal, digest, least, most)
-    out = docs.withColumn("__normal", normal).withColumn("__chunks", chunks(F.col("__normal"), least, most))
-    out = out.withColumn("__ids", F.transform("__chunks", digest))
-    recipe = F.unhex(F.array_join(F.transform("__ids", lambda d: F.hex(d)), ""))
-    if not bad.isEmpty():
-        # Wherever a digest isn't to be trusted, the whole text stands beside the recipe.
-        keyed = out.withColumn("__digest_key", F.sha2(recipe, 256))
-        marked = keyed.select("__digest_key", F.explode("__ids").alias("digest")).join(bad, "digest", "left_semi").select("__digest_key").distinct()
-        marked = marked.withColumn("__bad", F.lit(True))
-        out = keyed.join(marked, "__digest_key", "left").withColumn("__recipe", F.when(F.col("__bad"), F.concat(recipe, F.lit(b"\0"), F.col("__normal").cast("binary"))).otherwise(recipe))
-        return out.drop("__digest_key", "__bad", "__chunks", "__ids")
-    return out.withColumn("__recipe", recipe).drop("__chunks", "__ids")
+def with_recipe(docs: DataFrame, text: str = "text", digest: Callable[[Column], Column] = sha256, sha: str | None = None, **how) -> tuple[DataFrame, str]:
+    """The rows of docs with a column, whose name is returned, of the ordered chunk identifiers; sha: a column to add
+    with the digest of the normalised text. Null counts as empty, and the recipe of an empty text is empty. Equal recipes
+    mean equal normalised texts."""
+    normal, parts, ids, recipe, key, bad = free_names(docs, "normal", "chunks", "ids", "recipe", "key", "bad")
+    out = docs.withColumn(normal, ascii_lower(text_or_empty(text))).withColumn(parts, chunks(F.col(normal), **how))
+    out = out.withColumn(ids, F.transform(parts, digest))
+    if sha:
+        out = out.withColumn(sha, F.sha2(F.col(normal).cast("binary"), 256))
+    # Cut and hashed once; identifiers are checked against the chunks that were written beside them.
+    out = scratch_table(out.drop(normal), "chunks")
+    untrusted = out.select(F.inline(F.arrays_zip(F.col(ids).alias("digest"), F.col(parts).alias("chunk")))).distinct().groupBy("digest").count().where("count > 1").select("digest")
+    untrusted = scratch_table(untrusted, "untrusted")
+    listed = F.unhex(F.array_join(F.transform(ids, lambda d: F.hex(d)), ""))
+    if untrusted.isEmpty():
+        return out.withColumn(recipe, listed).drop(parts, ids), recipe
+    # Wherever a digest isn't to be trusted, the chunks themselves stand beside the identifiers.
+    out = out.withColumn(recipe, listed).withColumn(key, F.sha2(recipe, 256))
+    marked = out.select(key, F.explode(ids).alias("digest")).join(untrusted, "digest", "left_semi").select(key).distinct().withColumn(bad, F.lit(True))
+    content = F.array_join(F.transform(parts, lambda c: F.hex(F.encode(c, "utf-8"))), ",").cast("binary")
+    out = out.join(marked, key, "left").withColumn(recipe, F.when(F.col(bad), F.concat(F.col(recipe), F.lit(b"\0"), content)).otherwise(F.col(recipe)))
+    return out.drop(parts, ids, key, bad), recipe
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -60,18 +74,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **
     of their text but stay only if it has no other id; a repeated row is counted, and marked, as often as it is there.
     Other columns of docs don't matter. An empty table gives an empty result.
     """
-    rows = with_recipe(docs.select(F.col(id_col), F.col(text)), text, **how)
-    rows = rows.select(id_col, "__recipe", F.sha2(F.col("__normal").cast("binary"), 256).alias("text_sha256"))
-    # Read twice: by the groups and by the rows that join them. A recipe is a small part of its text.
-    rows = scratch_table(rows, "recipes")
-    groups = rows.groupBy("__recipe").agg(F.max(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return rows.join(groups, "__recipe").select(id_col, "keep_id", "group_size", F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    rows, recipe = with_recipe(docs.select(F.col(id_col), F.col(text)), text, sha="text_sha256", **how)
+    # What is grouped and joined are recipes, a small part of their texts.
+    groups = rows.groupBy(recipe).agg(F.max(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    return with_group(rows, groups, recipe, "group_size").select(id_col, "keep_id", "group_size", F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def dedupe(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows that stay, one of each group of equal texts, with all their columns. Each task first keeps the best of
-    its own rows, so that a group of any size moves no more than one row from each task."""
-    rows = with_recipe(docs, text, **how)
+    its own rows, so that a group of any size moves no more than one row from each task. Of rows with the same id any
+    may stay; null ids count as the smallest; an empty table gives an empty result."""
+    rows, recipe = with_recipe(docs, text, **how)
     whole = F.struct(*[F.col(c) for c in docs.columns])
-    best = rows.groupBy("__recipe").agg(F.max_by(whole, F.struct(F.col(id_col))).alias("__row"))
-    return best.select("__row.*")
+    best = rows.groupBy(recipe).agg(F.max_by(whole, F.struct(F.col(id_col))).alias("row"))
+    return best.select("row.*")
