@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brightloom.llm.common import scratch_table, text_or_empty
+from brightloom.llm.common import scratch_table, text_or_empty, with_group
 
 
 @dataclass(frozen=True)
@@ -113,7 +113,9 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text: str = "text", le
     found = ledger.where(F.size("findings") > 0).select("blob", F.explode("findings").alias("f")).where(F.col("f.rule").isin([r.key for r in rules]))
     span = F.struct(F.col("f.start").alias("start"), (no - 1).alias("kind_no"), kind.alias("kind"), F.col("f.end").alias("end"))
     found = found.select("blob", span.alias("f")).groupBy("blob").agg(F.array_sort(F.collect_set("f")).alias("findings"))
-    return rows.select(id_col, "blob").join(found, "blob", "left").select(id_col, "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
+    paths = scratch_table(rows.select(id_col, "blob"), "paths")
+    blobs = paths.groupBy("blob").agg(F.count(F.lit(1)).alias("paths")).join(found, "blob", "left")
+    return with_group(paths, blobs, "blob", "paths").select(id_col, "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
 
 
 def spans(findings: str, kinds: list[str] | None = None) -> Column:
