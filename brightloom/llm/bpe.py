@@ -16,11 +16,13 @@ import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +30,7 @@ from pyspark.sql import types as T
 from brightloom.llm.common import most_frequent, pieces, tidied
 
 #: Words in the lexicon; bytes of text taken up at a time; distinct words that a task counts before it hands them on.
-LEXICON, PIECE, COUNTED = 32_768, 1 << 20, 100_000
+LEXICON, PIECE, COUNTED = 32_768, 1 << 19, 50_000
 #: Longer words aren't merged in a batch but one by one, over a heap.
 BATCHED = 48
 NONE = np.iinfo(np.int32).max
@@ -61,7 +63,8 @@ def byte_of_char() -> dict[str, int]:
 
 
 def load_vocabulary(path: str) -> dict[str, np.ndarray]:
-    """Arrays: the id of each byte, a hash table of mergeable pairs, each id's bytes, and the special token."""
+    """Arrays: the id of each byte, a hash table of mergeable pairs, each id's bytes, and the special tokens. Tokens that
+    are added otherwise, stripping space or outside ASCII, are refused."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     ids, chars = spec["model"]["vocab"], byte_of_char()
@@ -72,7 +75,9 @@ def load_vocabulary(path: str) -> dict[str, np.ndarray]:
         words[i] = bytes(chars[c] for c in token) if all(c in chars for c in token) else token.encode()
     for t in spec["added_tokens"]:
         words[t["id"]] = t["content"].encode()
-    special = spec["added_tokens"][0] if spec["added_tokens"] else {"id": -1, "content": ""}
+    specials = spec["added_tokens"]
+    if rest := [t["content"] for t in specials if not t.get("special", True) or t.get("lstrip") or t.get("rstrip") or t.get("single_word") or not t["content"].isascii()]:
+        raise ValueError(f"added tokens of this kind aren't supported: {rest}")
     pairs = np.array([[ids[a], ids[b]] for a, b in merges], np.int64).reshape(-1, 2)
     keys, merged = (pairs[:, 0] << 20 | pairs[:, 1]), np.array([ids[a + b] for a, b in merges], np.int32)
     table_keys, table_ranks = _hash_table(keys)
@@ -82,7 +87,7 @@ def load_vocabulary(path: str) -> dict[str, np.ndarray]:
     lengths = np.array([len(w) for w in words], np.int64)
     return {
         "by_byte": by_byte, "pair_keys": table_keys, "pair_ranks": table_ranks, "merged": merged, "token_bytes": np.frombuffer(b"".join(words), np.uint8),
-        "token_starts": np.cumsum(lengths) - lengths, "token_lengths": lengths, "special_id": np.array([special["id"]], np.int64), "kinds": char_kinds(), "special_text": np.frombuffer(special["content"].encode(), np.uint8),
+        "token_starts": np.cumsum(lengths) - lengths, "token_lengths": lengths, "special_ids": np.array([t["id"] for t in specials], np.int64), "kinds": char_kinds(), "special_texts": np.frombuffer("\0".join(t["content"] for t in specials).encode(), np.uint8),
     }
 
 
@@ -209,28 +214,25 @@ def char_kinds() -> np.ndarray:
     return kinds
 
 
-def split_words(kinds: np.ndarray, data: np.ndarray, starts: np.ndarray, special: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+def split_words(kinds: np.ndarray, data: np.ndarray, starts: np.ndarray, specials: list[bytes] = ()) -> tuple[np.ndarray, np.ndarray]:
     """Byte positions where words begin in the UTF-8 bytes of many texts, which begin at starts (those of empty texts
-    left out), and for each word whether it is the special token."""
+    left out), and for each word which of the special tokens it is, or -1."""
     if not len(data):
-        return np.empty(0, np.int64), np.empty(0, bool)
+        return np.empty(0, np.int64), np.empty(0, np.int32)
     at = np.flatnonzero((data & 0xC0) != 0x80)
     points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
     kind = kinds[points]
-    is_special = np.zeros(len(kind), bool)
+    is_special = np.full(len(kind), -1, np.int32)
     begins = np.zeros(len(kind), bool)
     begins[np.searchsorted(at, starts)] = True
-    if special and (raw := data.tobytes()).find(special) >= 0:
-        inside, found, bounds = 0, raw.find(special), np.append(starts, len(data))
-        while found >= 0:
-            inside = np.searchsorted(bounds, found, "right")
-            if found + len(special) > bounds[inside]:  # it runs over the end of its text
-                found = raw.find(special, found + 1)
-                continue
-            i = np.searchsorted(at, found)
-            kind[i : i + len(special)] = EDGE  # of single-byte characters
-            is_special[i] = True
-            found = raw.find(special, found + len(special))
+    if any(data.tobytes().find(special) >= 0 for special in specials):
+        raw, bounds = data.tobytes(), np.append(starts, len(data))
+        # The leftmost token, of several that begin there the longest; none runs over the end of its text.
+        for m in regex.finditer(b"|".join(regex.escape(x) for x in sorted(specials, key=len, reverse=True)), raw, overlapped=True):
+            i = np.searchsorted(at, m.start())
+            if kind[i] != EDGE and m.end() <= bounds[np.searchsorted(bounds, m.start(), "right")]:
+                kind[i : i + m.end() - m.start()] = EDGE  # of single-byte characters
+                is_special[i] = specials.index(m.group())
     before = np.empty_like(kind)
     before[0], before[1:] = EDGE, kind[:-1]
     before[begins] = EDGE
@@ -243,7 +245,7 @@ def split_words(kinds: np.ndarray, data: np.ndarray, starts: np.ndarray, special
     start = white & (~white_before | ~((after == WHITE) | (after == SPACE) | (after == EDGE)))
     # Others: where the kind changes, unless a space before belongs to the word.
     start |= ~white & (kind != EDGE) & (kind != before) & (before != SPACE)
-    start |= is_special
+    start |= is_special >= 0
     # 's 't 're 've 'm 'll 'd, where the quote starts a word.
     quotes = np.flatnonzero((points == 0x27) & start & (kind == OTHER) & (after == LETTER))
     if len(quotes):
@@ -372,14 +374,11 @@ def pack(arrays: dict[str, np.ndarray]) -> bytes:
 _mapped: dict[str, dict[str, np.ndarray]] = {}
 
 
-def mapped(name: str, packed) -> dict[str, np.ndarray]:
-    """The arrays over a memory map, once for each worker process. packed: a function that gives the bytes."""
+def mapped(name: str) -> dict[str, np.ndarray]:
+    """The arrays over a memory map of the file of that name, which an executor has once for all of its workers."""
     if name not in _mapped:
         _mapped.clear()
-        with tempfile.TemporaryFile() as f:
-            f.write(packed())
-            f.flush()
-            whole = np.memmap(f, np.uint8, "r")
+        whole = np.memmap(SparkFiles.get(name), np.uint8, "r")
         n = int(whole[:16].tobytes())
         at = 16 + n + -(16 + n) % 8
         _mapped[name] = {k: np.asarray(whole[at + start : at + start + size * np.dtype(kind).itemsize].view(kind)) for k, (kind, start, size) in json.loads(whole[16 : 16 + n].tobytes()).items()}
@@ -399,7 +398,7 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _words(v: dict, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    starts, special = split_words(v["kinds"], data, np.unique(offsets[:-1][offsets[:-1] < offsets[1:]]), v["special_text"].tobytes())
+    starts, special = split_words(v["kinds"], data, np.unique(offsets[:-1][offsets[:-1] < offsets[1:]]), [x for x in v["special_texts"].tobytes().split(b"\0") if x])
     return starts, np.diff(np.append(starts, len(data))), special
 
 
@@ -408,19 +407,20 @@ def encode_piece(v: dict, data: np.ndarray, offsets: np.ndarray) -> tuple[np.nda
     starts, lengths, special = _words(v, data, offsets)
     place = look_up(v, data, starts, lengths)
     count, first = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
-    known = place >= 0
+    known = (place >= 0) & (special < 0)
     count[known], first[known] = v["seq_lengths"][place[known]], v["seq_starts"][place[known]]
-    new = np.flatnonzero(~known & ~special)
+    new = np.flatnonzero(~known & (special < 0))
     raw, numbers, order = data.tobytes(), {}, np.empty(len(new), np.int64)
     for k, (s, n) in enumerate(zip(starts[new].tolist(), lengths[new].tolist(), strict=True)):
         order[k] = numbers.setdefault(raw[s : s + n], len(numbers))
     merged = merge_batch(v, list(numbers))
     sizes = np.array([len(m) for m in merged], np.int64)
-    # Behind the lexicon's ids: those of new words, then the special token's.
-    pool = np.concatenate([v["seq_ids"], *merged, v["special_id"].astype(np.int32)]).astype(np.uint32)
+    # Behind the lexicon's ids: those of new words, then those of special tokens.
+    pool = np.concatenate([v["seq_ids"], *merged, v["special_ids"].astype(np.int32)]).astype(np.uint32)
     if len(new):
         count[new], first[new] = sizes[order], (len(v["seq_ids"]) + np.cumsum(sizes) - sizes)[order]
-    count[special], first[special] = 1, len(pool) - 1
+    marked = special >= 0
+    count[marked], first[marked] = 1, len(pool) - len(v["special_ids"]) + special[marked]
     ends = np.cumsum(count)
     total = int(ends[-1]) if len(ends) else 0
     ids = pool[np.repeat(first - (ends - count), count) + np.arange(total)]
@@ -439,7 +439,7 @@ def decode_ids(v: dict, ids: np.ndarray) -> np.ndarray:
 def frequent_words(docs: DataFrame, text: str, vocabulary: dict, most: int = LEXICON) -> list[bytes]:
     """The most frequent words of all texts, counted by all tasks; only so many come to the driver."""
 
-    sent = docs.sparkSession.sparkContext.broadcast({k: vocabulary[k] for k in ("special_text", "kinds")})
+    sent = docs.sparkSession.sparkContext.broadcast({k: vocabulary[k] for k in ("special_texts", "kinds")})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -454,7 +454,8 @@ def frequent_words(docs: DataFrame, text: str, vocabulary: dict, most: int = LEX
                 data, offsets = text_bytes(batch.column(0).slice(low, high - low))
                 starts, lengths, special = _words(sent.value, data, offsets)
                 raw = data.tobytes()
-                counts.update([raw[s:e] for s, e in zip(starts[~special].tolist(), (starts + lengths)[~special].tolist(), strict=True)])
+                plain = special < 0
+                counts.update([raw[s:e] for s, e in zip(starts[plain].tolist(), (starts + lengths)[plain].tolist(), strict=True)])
                 if len(counts) > COUNTED:
                     yield rows()
         yield rows()
@@ -465,7 +466,7 @@ def frequent_words(docs: DataFrame, text: str, vocabulary: dict, most: int = LEX
 
 
 class Codec:
-    """A vocabulary and a lexicon, packed once and sent to all workers."""
+    """A vocabulary and a lexicon, packed into one file that every executor gets once and its workers map."""
 
     def __init__(self, spark: SparkSession, vocabulary: dict[str, np.ndarray], words: list[bytes]):
         words = sorted({w for w in words if w})
@@ -473,7 +474,11 @@ class Codec:
         lengths = np.array([len(s) for s in seqs], np.int64)
         seq = {"seq_ids": np.concatenate([*seqs, np.empty(0, np.int32)]).astype(np.int32), "seq_starts": np.cumsum(lengths) - lengths, "seq_lengths": lengths}
         self.arrays = vocabulary | seq | compile_lexicon(words)
-        self.name, self.packed = uuid.uuid4().hex, spark.sparkContext.broadcast(pack(self.arrays))
+        # Spark brings the file from the driver to each executor, to new ones as well.
+        self.name = f"lexicon-{uuid.uuid4().hex}"
+        path = Path(tempfile.mkdtemp(prefix="brightloom-")) / self.name
+        path.write_bytes(pack(self.arrays))
+        spark.sparkContext.addFile(str(path))
 
     @classmethod
     def fit(cls, docs: DataFrame, text: str = "text", path: str | None = None, most: int = LEXICON) -> Codec:
@@ -482,13 +487,14 @@ class Codec:
         return cls(docs.sparkSession, v, frequent_words(docs, text, v, most))
 
     def _arrays(self):
-        name, packed = self.name, self.packed
-        return lambda: mapped(name, lambda: packed.value)
+        name = self.name
+        return lambda: mapped(name)
 
     def encode(self, docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), decoded: bool = False) -> DataFrame:
         """One row for each row of docs, in any order: id_col, the columns to keep, n_tokens, ids (packed as
         little-endian unsigned 32-bit integers) and, if asked for, the decoded text. Null texts are empty and have no
-        ids; ids and kept columns pass unchanged, null or not."""
+        ids; ids and kept columns pass unchanged, null or not. Repeated rows come back as often as they are there, an
+        empty table gives an empty result, and other columns, whatever their names, don't matter."""
         arrays, fixed = self._arrays(), [docs.schema[c] for c in (id_col, *keep)]
         fields = [*fixed, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]
         if decoded:
