@@ -25,7 +25,7 @@ def ship(spark: SparkSession) -> SparkSession:
     path, and bounds the batches that Python workers get."""
     # Rows are whole documents, some of them very long: batches for Python workers are bounded by bytes as well.
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "2m")
     sc = spark.sparkContext
     if getattr(sc, "_brightloom_shipped", False):
         return spark
