@@ -3,9 +3,10 @@ factored into classes and words.
 
 Exact word counts come from blocks of documents: each block sends its distinct words, dealt into buckets, and gets their
 counts in the corpus back, so that no vocabulary is ever whole in one place. The maximum-entropy model predicts the
-class of the next word, then the word in its class, from hashed features of the words before; words outside the classes
-are one class more, in which the counts decide. It is trained by gradient updates in every partition, which start from
-the counts and whose results are averaged over a tree, each parameter by how often it was updated.
+class of the next word, then its entry in that class, from hashed features of the words before. Every word has a class:
+the most frequent words are entries of their own, all others share an entry with words of like beginning and end, and
+among those the counts decide. It is trained by gradient updates in every partition, which start from the counts and
+whose results are averaged over a tree, each parameter by how often it was updated.
 """
 
 from __future__ import annotations
@@ -25,14 +26,16 @@ from pyspark.sql import types as T
 
 from brightloom.llm.common import most_frequent, pieces, scratch_table, tidied
 
-#: Classes and words in each; context symbols for other words; rows of hashed word pairs; weights of words in a class.
-CLASSES, PER, RARE, PAIRS, WEIGHTS = 16, 64, 1024, 1 << 13, 1 << 18
+#: Classes of frequent words and entries in each; the same for all other words, by hashes of their first and of their last
+#: bytes; rows of hashed word pairs; weights of entries.
+CLASSES, PER, AFFIX, PAIRS, WEIGHTS = 32, 32, 2, 1 << 13, 1 << 18
 #: Bytes of text in a block and documents at most; tokens of an update; step; partial results that one task adds up.
 BLOCK, BLOCK_DOCS, TOKENS, STEP, FAN_IN, CHUNKS = 1 << 23, 60_000, 8192, 0.15, 64, 16
-SIZE = CLASSES * PER
-SYMBOLS = SIZE + RARE + 1
+#: Entries of frequent words, and in all; what stands before a text is one symbol more.
+SIZE, ENTRIES = CLASSES * PER, 2 * CLASSES * PER
+SYMBOLS = ENTRIES + 1
 ROWS = 2 * SYMBOLS + PAIRS
-WORD_HASHES = (np.arange(SIZE, dtype=np.uint32) * np.uint32(0x85EBCA6B)).reshape(CLASSES, PER)
+WORD_HASHES = (np.arange(ENTRIES, dtype=np.uint32) * np.uint32(0x85EBCA6B)).reshape(2 * CLASSES, PER)
 END = b""
 
 
@@ -41,6 +44,11 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def shared_entry(word: bytes) -> int:
+    """The entry that a word shares, unless it is a frequent one: its class by the beginning, its place there by the end."""
+    return SIZE + zlib.crc32(word[:AFFIX]) % CLASSES * PER + zlib.crc32(word[-AFFIX:]) % PER
+
+
 # ---- counts
 
 
@@ -105,7 +113,7 @@ def word_blocks(rows: DataFrame, buckets: int) -> DataFrame:
 
 def bucket_counts(blocks: DataFrame, top: int = SIZE) -> DataFrame:
     """For each bucket and block the training counts of the block's words; a row of each bucket without a block has the
-    bucket's most frequent words, its tokens and its distinct words."""
+    bucket's most frequent words, its tokens and its distinct words, these two also by the entries that words share."""
 
     def run(table: pa.Table) -> pa.Table:
         number: dict[bytes, int] = defaultdict(count().__next__)
@@ -118,13 +126,16 @@ def bucket_counts(blocks: DataFrame, top: int = SIZE) -> DataFrame:
         back = [totals[at].astype("<i8").tobytes() for at in places]
         best = sorted(((-n, w) for w, n in counts.items() if n), key=lambda x: x)[:top]
         k = table.num_rows
+        shared = np.array([shared_entry(w) - SIZE for w in counts], np.int64)
+        entries = [np.bincount(shared, x, SIZE).astype(np.int64).tolist() for x in (totals, totals > 0)]
         return pa.table({
             "block": pa.array([*table.column("block").to_pylist(), None], pa.string()), "bucket": pa.array([*table.column("bucket").to_pylist(), table.column("bucket")[0].as_py()], pa.int32()), "counts": pa.array([*back, None], pa.binary()),
             "words": pa.array([None] * k + [[w for _, w in best]], pa.list_(pa.binary())), "ns": pa.array([None] * k + [[-n for n, _ in best]], pa.list_(pa.int64())),
             "total": pa.array([None] * k + [sum(counts.values())], pa.int64()), "known": pa.array([None] * k + [sum(1 for n in counts.values() if n)], pa.int64()),
+            "entry_n": pa.array([None] * k + [entries[0]], pa.list_(pa.int64())), "entry_v": pa.array([None] * k + [entries[1]], pa.list_(pa.int64())),
         })
 
-    return blocks.where("bucket >= 0").select("block", "bucket", "words", "taught").groupBy("bucket").applyInArrow(tidied(run), "block string, bucket int, counts binary, words array<binary>, ns array<long>, total long, known long")
+    return blocks.where("bucket >= 0").select("block", "bucket", "words", "taught").groupBy("bucket").applyInArrow(tidied(run), "block string, bucket int, counts binary, words array<binary>, ns array<long>, total long, known long, entry_n array<long>, entry_v array<long>")
 
 
 def count_sums(blocks: DataFrame, counts: DataFrame) -> DataFrame:
@@ -154,24 +165,28 @@ def count_sums(blocks: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 class Maxent:
-    """Parameters: class biases and word biases from counts, rows of class weights for each feature, and a hashed table
-    of weights of features and words."""
+    """Parameters: biases of classes and entries from counts, rows of class weights for each feature, and a hashed table
+    of weights of features and entries. head: the frequent words; shared: for each other entry, the tokens and distinct
+    words of the training texts that share it."""
 
-    def __init__(self, head: list[tuple[bytes, int]], rare: int):
+    def __init__(self, head: list[tuple[bytes, int]], shared: np.ndarray):
         self.number = {w: i for i, (w, _) in enumerate(head)}
         counts = np.zeros(SIZE)
         counts[: len(head)] = [n for _, n in head]
-        mass = np.append(counts.reshape(CLASSES, PER).sum(1), rare) + 0.5
-        self.class_bias = np.log(mass / mass.sum()).astype(np.float32)
-        with np.errstate(divide="ignore"):
-            self.word_bias = np.maximum(np.log(counts), -60).astype(np.float32).reshape(CLASSES, PER)
         self.log_counts = np.log10(counts + 1)
-        self.rows, self.weights = np.zeros((ROWS, CLASSES + 1), np.float32), np.zeros(WEIGHTS, np.float32)
+        # A shared entry has the weight of its tokens, one more for each word, and one for all words that weren't seen.
+        self.log_shared = np.log10(shared.sum(0) + 1.0)
+        mass = np.append(counts, shared.sum(0) + 1.0).reshape(2 * CLASSES, PER)
+        total = mass.sum(1) + 0.5
+        self.class_bias = np.log(total / total.sum()).astype(np.float32)
+        with np.errstate(divide="ignore"):
+            self.word_bias = np.maximum(np.log(mass), -60).astype(np.float32)
+        self.rows, self.weights = np.zeros((ROWS, 2 * CLASSES), np.float32), np.zeros(WEIGHTS, np.float32)
 
     def sequence(self, words: list[bytes]) -> np.ndarray:
-        """The symbols of a text's words and its end; a number below SIZE is a word of a class."""
-        get, crc = self.number.get, zlib.crc32
-        found = [SIZE + crc(w) % RARE if (k := get(w)) is None else k for w in words]
+        """The entries of a text's words and its end; a number below SIZE is a word's own."""
+        get = self.number.get
+        found = [shared_entry(w) if (k := get(w)) is None else k for w in words]
         found.append(self.number[END])
         return np.array(found, np.int64)
 
@@ -187,7 +202,7 @@ class Maxent:
         return one, SYMBOLS + two, 2 * SYMBOLS + both.astype(np.int64)
 
     def places(self, features: tuple, cls: np.ndarray) -> list[np.ndarray]:
-        """For each feature, where the weights of all words of each token's class are."""
+        """For each feature, where the weights of all entries of each token's class are."""
         words, out = WORD_HASHES[cls], []
         for f in features:
             h = (f.astype(np.uint32) * np.uint32(0x9E3779B1))[:, None] + words
@@ -210,39 +225,35 @@ class Maxent:
         return z
 
     def log10s(self, sequence: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each token; for a word outside the classes, of that class alone."""
-        features = self.features(sequence, starts)
-        head = sequence < SIZE
-        cls = np.where(head, sequence // PER, CLASSES)
+        """log10 of the probability of each token's entry."""
+        features, cls = self.features(sequence, starts), sequence // PER
         out = _log_of(self.class_scores(features), cls)
-        at = np.flatnonzero(head)
-        out[at] += _log_of(self.word_scores(self.places([f[at] for f in features], cls[at]), cls[at]), sequence[at] % PER)
+        out += _log_of(self.word_scores(self.places(features, cls), cls), sequence % PER)
         return out / np.log(10)
 
     def update(self, sequence: np.ndarray, starts: np.ndarray, seen: dict) -> None:
         """One gradient step on the tokens. seen: squares of the gradients, and how often each parameter moved."""
-        features = self.features(sequence, starts)
-        head = sequence < SIZE
-        cls = np.where(head, sequence // PER, CLASSES)
+        features, cls = self.features(sequence, starts), sequence // PER
+        places = self.places(features, cls)
         error = _errors(self.class_scores(features), cls)
-        # Sums over the tokens of each feature, one class at a time.
-        g = np.empty((CLASSES + 1, ROWS), np.float32)
-        for start, n, f in zip((0, SYMBOLS, 2 * SYMBOLS), (SYMBOLS, SYMBOLS, PAIRS), features, strict=True):
-            own = f - start
-            for c, column in enumerate(np.ascontiguousarray(error.T)):
-                g[c, start : start + n] = np.bincount(own, column, n)
-        seen["row_squares"] += (g * g).mean(0)
-        g *= STEP / np.sqrt(seen["row_squares"])
-        self.rows -= g.T
-        seen["row_times"] += np.bincount(np.concatenate(features), minlength=ROWS)
-        at = np.flatnonzero(head)
-        if len(at):
-            places = self.places([f[at] for f in features], cls[at])
-            error = _errors(self.word_scores(places, cls[at]), sequence[at] % PER).ravel().astype(np.float64)
-            g = sum(np.bincount(p.ravel(), error, WEIGHTS) for p in places).astype(np.float32)
-            seen["weight_squares"] += g * g
-            self.weights -= STEP * g / np.sqrt(seen["weight_squares"])
-            seen["weight_times"] += g != 0
+        for f in features:
+            # Sums over the tokens of each feature that occurs.
+            order = np.argsort(f, kind="stable")
+            found, first, times = np.unique(f[order], return_index=True, return_counts=True)
+            g = np.add.reduceat(error[order], first, axis=0)
+            seen["row_squares"][found] += (g * g).mean(1)
+            self.rows[found] -= g * (STEP / np.sqrt(seen["row_squares"][found]))[:, None]
+            seen["row_times"][found] += times
+        error = _errors(self.word_scores(places, cls), sequence % PER).ravel().astype(np.float64)
+        g = sum(np.bincount(p.ravel(), error, WEIGHTS) for p in places).astype(np.float32)
+        seen["weight_squares"] += g * g
+        self.weights -= STEP * g / np.sqrt(seen["weight_squares"])
+        seen["weight_times"] += g != 0
+
+
+def fresh() -> dict:
+    """What updates keep account of, before the first."""
+    return {"row_squares": np.full(ROWS, 1e-4, np.float32), "row_times": np.zeros(ROWS), "weight_squares": np.full(WEIGHTS, 1e-2, np.float32), "weight_times": np.zeros(WEIGHTS)}
 
 
 def _log_of(z: np.ndarray, chosen: np.ndarray) -> np.ndarray:
@@ -270,9 +281,9 @@ def _batches(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found), np.cumsum(lengths) - lengths
 
 
-def train(rows: DataFrame, head: list[tuple[bytes, int]], rare: int, passes: int = 1) -> Maxent:
+def train(rows: DataFrame, head: list[tuple[bytes, int]], shared: np.ndarray, passes: int = 1) -> Maxent:
     """Trains on the training rows of (id, h, train, text), all of them, each once in a pass."""
-    model = Maxent(head, rare)
+    model = Maxent(head, shared)
     spark = rows.sparkSession
     cuts = [np.linspace(0, n, CHUNKS + 1).astype(int) for n in (ROWS, WEIGHTS)]
     schema = "chunk int, part int, num binary, den binary"
@@ -294,8 +305,7 @@ def train(rows: DataFrame, head: list[tuple[bytes, int]], rare: int, passes: int
 
             local = copy.copy(sent.value)  # noqa: B023
             local.rows, local.weights = local.rows.copy(), local.weights.copy()
-            held, size = [], 0
-            seen = {"row_squares": np.full(ROWS, 1e-4, np.float32), "row_times": np.zeros(ROWS), "weight_squares": np.full(WEIGHTS, 1e-2, np.float32), "weight_times": np.zeros(WEIGHTS)}
+            held, size, seen = [], 0, fresh()
 
             def step() -> None:
                 # A long text is several updates.
@@ -336,16 +346,16 @@ def train(rows: DataFrame, head: list[tuple[bytes, int]], rare: int, passes: int
         for r in partial.collect():
             (a, b), (x, y) = ((k[r.chunk], k[r.chunk + 1]) for k in cuts)
             num, den = np.frombuffer(bytes(r.num), np.float32), np.frombuffer(bytes(r.den), np.float32)
-            wide = np.append(np.repeat(den[: b - a], CLASSES + 1), den[b - a :])
+            wide = np.append(np.repeat(den[: b - a], 2 * CLASSES), den[b - a :])
             mean = np.divide(num, wide, out=np.zeros_like(num), where=wide > 0).astype(np.float32)
-            model.rows[a:b], model.weights[x:y] = mean[: (b - a) * (CLASSES + 1)].reshape(b - a, -1), mean[(b - a) * (CLASSES + 1) :]
+            model.rows[a:b], model.weights[x:y] = mean[: (b - a) * 2 * CLASSES].reshape(b - a, -1), mean[(b - a) * 2 * CLASSES :]
         sent.unpersist()
     return model
 
 
 def model_sums(rows: DataFrame, model: Maxent) -> DataFrame:
-    """For each row of (id, h, train, text): id, h, model (log10 of the classes and of the words in them), head_sum (of
-    log10(count + 1) over words in classes) and n_rare (words outside)."""
+    """For each row of (id, h, train, text): id, h, model (log10 of its words' entries), head_sum (of log10(count + 1) over
+    frequent words) and shared_sum (of the logarithm of what the entries of all other words weigh)."""
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,7 +374,8 @@ def model_sums(rows: DataFrame, model: Maxent) -> DataFrame:
                     inside = starts[(starts >= low) & (starts < upto)] - low
                     logs[k:upto] = model.log10s(sequence[low:upto], inside)[k - low :]
                 head = (sequence < SIZE) & (sequence != model.number[END])
-                for i, x in enumerate((logs, np.where(head, model.log_counts[np.minimum(sequence, SIZE - 1)], 0), (sequence >= SIZE).astype(float))):
+                shared = np.where(sequence >= SIZE, model.log_shared[np.maximum(sequence, SIZE) - SIZE], 0)
+                for i, x in enumerate((logs, np.where(head, model.log_counts[np.minimum(sequence, SIZE - 1)], 0), shared)):
                     sums[i] += np.bincount(doc, x, batch.num_rows)  # noqa: B023
                 found.clear()
 
@@ -377,9 +388,9 @@ def model_sums(rows: DataFrame, model: Maxent) -> DataFrame:
                     at, size = i + 1, 0
             if found:
                 score(at)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2].astype(np.int64))], ["id", "h", "model", "head_sum", "n_rare"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2])], ["id", "h", "model", "head_sum", "shared_sum"])
 
-    schema = T.StructType([rows.schema["id"], T.StructField("h", T.LongType()), T.StructField("model", T.DoubleType()), T.StructField("head_sum", T.DoubleType()), T.StructField("n_rare", T.LongType())])
+    schema = T.StructType([rows.schema["id"], T.StructField("h", T.LongType()), T.StructField("model", T.DoubleType()), T.StructField("head_sum", T.DoubleType()), T.StructField("shared_sum", T.DoubleType())])
     return rows.select("id", "h", "text").mapInArrow(tidied(run), schema)
 
 
@@ -400,15 +411,20 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text: str =
     n_words, v_words = summed.n or 0, summed.v or 0
     best = most_frequent(counts.where("block is null").select(F.inline(F.arrays_zip("words", "ns"))), "ns", SIZE - 1).collect()
     head = sorted([(END, taught), *((bytes(r.words), r.ns) for r in best)], key=lambda x: (-x[1], x[0]))
-    in_head = sum(n for w, n in head if w != END)
-    rare_n, rare_v = n_words - in_head, v_words - (len(head) - 1)
-    model = train(rows, head, rare_n, passes) if taught else Maxent(head, rare_n)
-    by_model = model_sums(rows, model).groupBy("id", "h").agg(*[F.first(c).alias(c) for c in ("model", "head_sum", "n_rare")])
+    entries = counts.where("block is null").select(F.posexplode(F.arrays_zip("entry_n", "entry_v"))).groupBy("pos").agg(F.sum("col.entry_n").alias("n"), F.sum("col.entry_v").alias("v")).collect()
+    shared = np.zeros((2, SIZE))
+    for r in entries:
+        shared[:, r.pos] = r.n, r.v
+    for w, k in head:
+        if w != END:  # frequent words have left the entries that they would share
+            shared[:, shared_entry(w) - SIZE] -= k, 1
+    model = train(rows, head, shared, passes) if taught else Maxent(head, shared)
+    by_model = model_sums(rows, model).groupBy("id", "h").agg(*[F.first(c).alias(c) for c in ("model", "head_sum", "shared_sum")])
     by_model = by_model.withColumnsRenamed({"id": "__id", "h": "__h"})
     by_count = count_sums(blocks, counts)
     both = by_count.join(by_model, (F.col("h") == F.col("__h")) & F.col("id").eqNullSafe(F.col("__id")))
     n, v = n_words + taught, v_words + (1 if taught else 0)
     n_tokens = F.col("n_words") + 1
     base = F.col("sum") + F.log10(F.lit(taught + 1.0)) - n_tokens * F.log10(F.lit(float(n + v + 1)))
-    full = F.col("model") + (F.col("sum") - F.col("head_sum")) - F.col("n_rare") * F.log10(F.lit(float(rare_n + rare_v + 1)))
+    full = F.col("model") + (F.col("sum") - F.col("head_sum")) - F.col("shared_sum")
     return both.select(F.col("id").alias(id_col), "train", n_tokens.alias("n_tokens"), (F.col("known") + (1 if taught else 0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), full.alias("score"))

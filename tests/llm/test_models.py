@@ -193,17 +193,21 @@ def test_lm_scores(spark):
     assert lm.score(df.limit(5), F.lit(False)).where("train_tokens = 0").count() == 5
 
 
+SHARED = np.array([[3.0], [1.0]]) * (np.arange(lm.SIZE) % 5)
+
+
 def test_maxent_is_a_distribution():
     rng = np.random.default_rng(2)
-    model = lm.Maxent([(lm.END, 50), *((f"w{i}".encode(), 40 - i % 30) for i in range(lm.SIZE - 1))], 300)
+    model = lm.Maxent([(lm.END, 50), *((f"w{i}".encode(), 40 - i % 30) for i in range(lm.SIZE - 1))], SHARED)
     model.rows[:] = rng.standard_normal(model.rows.shape)
     model.weights[:] = rng.standard_normal(model.weights.shape)
     start = np.array([7, 900, lm.SIZE + 3])
-    total = sum(10 ** model.log10s(np.append(start, x), np.array([0]))[-1] for x in range(lm.SIZE + 1))
+    assert lm.ENTRIES == 2 * lm.SIZE
+    total = sum(10 ** model.log10s(np.append(start, x), np.array([0]))[-1] for x in range(lm.ENTRIES))
     assert total == pytest.approx(1, abs=1e-5)
     # The gradient step raises the probability of what it has seen.
     sequence = rng.integers(0, lm.SIZE + 50, 500)
-    seen = {"row_squares": np.full(lm.ROWS, 1e-4, np.float32), "row_times": np.zeros(lm.ROWS), "weight_squares": np.full(lm.WEIGHTS, 1e-2, np.float32), "weight_times": np.zeros(lm.WEIGHTS)}
+    seen = lm.fresh()
     before = model.log10s(sequence, np.array([0])).sum()
     for _ in range(5):
         model.update(sequence, np.array([0]), seen)
@@ -224,17 +228,17 @@ def test_most_frequent_fills_up(spark, few):
 
 def test_words_see_both_words_before():
     rng = np.random.default_rng(5)
-    model = lm.Maxent([(lm.END, 50), *((f"w{i}".encode(), 40) for i in range(lm.SIZE - 1))], 300)
+    model = lm.Maxent([(lm.END, 50), *((f"w{i}".encode(), 40) for i in range(lm.SIZE - 1))], SHARED)
     model.weights[:] = rng.standard_normal(model.weights.shape)
     # The same class and the same word before: what differs is the one before that.
     last = [model.log10s(np.array([w, 900, 7]), np.array([0]))[-1] for w in (5, 6, lm.SIZE + 1)]
     assert len({round(x, 6) for x in last}) == 3
     # Words that only the word two places before, or only both together, tell apart are learned.
     for right in (lambda a, b: 10 + a % 2, lambda a, b: 10 + (a + b) % 2):
-        model = lm.Maxent([(lm.END, 50), *((f"w{i}".encode(), 40) for i in range(lm.SIZE - 1))], 300)
+        model = lm.Maxent([(lm.END, 50), *((f"w{i}".encode(), 40) for i in range(lm.SIZE - 1))], SHARED)
         texts = [np.array([a, b, right(a, b)]) for a, b in rng.integers(100, 108, (2000, 2))]
         sequence, starts = lm._batches(texts)
-        seen = {"row_squares": np.full(lm.ROWS, 1e-4, np.float32), "row_times": np.zeros(lm.ROWS), "weight_squares": np.full(lm.WEIGHTS, 1e-2, np.float32), "weight_times": np.zeros(lm.WEIGHTS)}
+        seen = lm.fresh()
         for _ in range(30):
             model.update(sequence, starts, seen)
         assert model.log10s(sequence, starts)[2::3].mean() > math.log10(0.7)
