@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 #: Texts that a reader with NA inference takes as missing.
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
-#: Substrings of names to exclude, as they are, and with separators folded.
-EXCLUDED_RAW = ("A549", "H266", "Mesothelioma Patient_1-020-", "Mesothelioma Patient_1-021-", "Mesothelioma Patient_1-022-", "Mesothelioma Patient_1-024-")
-EXCLUDED_FOLDED = ("mesothelioma_patient", "a549", "h266")
 
 
 def col(c: str | Column) -> Column:

@@ -33,7 +33,7 @@ def complete(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def common_groups(df: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """Rows of groups with so many rows at least. Only the rare groups' keys are joined, as sizes are summed first."""
+    """Rows of groups with so many rows at least. Only the frequent groups' keys are joined, as sizes are summed first."""
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= least).drop("__n")
     return df.join(sizes, keys, "left_semi")
 

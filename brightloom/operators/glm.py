@@ -8,24 +8,35 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import reduce
+from statistics import NormalDist
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-Z95 = 1.959964
+from brightloom.operators import joins
+
+Z95 = NormalDist().inv_cdf(0.975)
+
+#: Models whose sums are taken in one pass.
+TOGETHER = 64
+#: Below this a feature's greatest absolute value or its population variance can't carry a model.
+ALL_ZERO, NEAR_CONSTANT = 1e-8, 1e-10
 
 
 @dataclass
 class Model:
-    """A response and its terms; an intercept comes first of itself. alpha: the negative binomial's dispersion."""
+    """A response and its terms; an intercept comes first of itself. alpha: the negative binomial's dispersion; name: what
+    tells the model from others of the same response."""
 
     response: str
     terms: list[str]
     family: str = "gaussian"
     offset: str | None = None
     alpha: float = 1.0
+    name: str | None = None
     beta: list[float] = field(default_factory=list)
     converged: bool = False
 
@@ -89,15 +100,39 @@ def dummies(df: DataFrame, column: str) -> tuple[DataFrame, list[str]]:
     return df.withColumns({n: F.when(F.col(column).isNotNull(), (F.col(column) == v).cast("double")) for n, v in names.items()}), list(names)
 
 
-def fit(df: DataFrame, models: list[Model], cluster: str | None = None, small_sample: bool = True, rounds: int = 50, tolerance: float = 1e-10) -> DataFrame:
-    """A row for each term of each model: target, term, coef, se, p, ci_lo, ci_hi, exp_coef, family, nobs, deviance,
-    pearson_chi2, converged.
+def fit(df: DataFrame, models: list[Model], cluster: str | None = None, small_sample: bool = True, rounds: int = 50, tolerance: float = 1e-10, guard: bool = False) -> DataFrame:
+    """A row for each term of each model: model, target, term, coef, se, p, ci_lo, ci_hi, exp_coef, exp_ci_lo, exp_ci_hi,
+    effect, effect_lo, effect_hi (ratios, but for the gaussian family), family, nobs, deviance, pearson_chi2, converged.
 
-    Errors are robust, or clustered if a cluster column is named (with the factor G/(G-1) * (n-1)/(n-k) unless
-    small_sample is off). Rows with a null that a model needs don't take part in it; a model that can't be solved is left
-    out.
+    Errors are robust, without a factor for few rows, which is how the usual libraries treat general linear models; or
+    clustered if a cluster column is named (with the factor G/(G-1) * (n-1)/(n-k) unless small_sample is off). Rows with
+    a null that a model needs don't take part in it; a model that can't be solved is left out, and with guard also one
+    whose response or a term is all about zero or next to constant over its rows.
     """
-    starts = df.agg(*[f for i, m in enumerate(models) for f in (F.sum(F.when(m.usable(), F.col(m.response).cast("double"))).alias(f"y{i}"), F.sum(F.when(m.usable(), F.exp(m.shift()))).alias(f"e{i}"), F.count_if(m.usable()).alias(f"n{i}"))]).first()
+    if len(models) > TOGETHER:
+        return reduce(DataFrame.unionByName, [fit(df, models[i : i + TOGETHER], cluster, small_sample, rounds, tolerance, guard) for i in range(0, len(models), TOGETHER)])
+    needed = {c for m in models for c in (m.response, *m.terms, *([m.offset] if m.offset else []))} | ({cluster} if cluster else set())
+    # Read once for each iteration; what is lost is made again.
+    df = df.select(*[f"`{c}`" for c in sorted(needed)]).persist()
+    try:
+        return _fitted(df, models, cluster, small_sample, rounds, tolerance, guard)
+    finally:
+        df.unpersist()
+
+
+def _carries(df: DataFrame, models: list[Model]) -> list[Model]:
+    """The models none of whose columns is degenerate over the rows that it uses; one pass for all."""
+    columns = [(i, c) for i, m in enumerate(models) for c in (m.response, *m.terms)]
+    of = lambda i, c: F.when(models[i].usable(), F.col(c).cast("double"))
+    row = df.agg(*[f(of(i, c)).alias(f"{n}{k}") for k, (i, c) in enumerate(columns) for n, f in (("m", lambda x: F.max(F.abs(x))), ("v", F.var_pop))]).first()
+    bad = {i for k, (i, _) in enumerate(columns) if row[f"m{k}"] is None or row[f"m{k}"] <= ALL_ZERO or row[f"v{k}"] < NEAR_CONSTANT}
+    return [m for i, m in enumerate(models) if i not in bad]
+
+
+def _fitted(df: DataFrame, models: list[Model], cluster: str | None, small_sample: bool, rounds: int, tolerance: float, guard: bool) -> DataFrame:
+    if guard:
+        models = _carries(df, models) if models else models
+    starts = None if not models else df.agg(*[f for i, m in enumerate(models) for f in (F.sum(F.when(m.usable(), F.col(m.response).cast("double"))).alias(f"y{i}"), F.sum(F.when(m.usable(), F.exp(m.shift()))).alias(f"e{i}"), F.count_if(m.usable()).alias(f"n{i}"))]).first()
     live = []
     for i, m in enumerate(models):
         y, e, n = starts[f"y{i}"], starts[f"e{i}"], starts[f"n{i}"]
@@ -154,13 +189,13 @@ def fit(df: DataFrame, models: list[Model], cluster: str | None = None, small_sa
             cov = bread @ _matrix(meat, f"m{i}", k) @ bread
             if cluster and small_sample and groups[i] > 1 and n > k:
                 cov *= groups[i] / (groups[i] - 1) * (n - 1) / (n - k)
-            elif not cluster and small_sample and m.family == "gaussian" and n > k:
-                cov *= n / (n - k)
             for term, b, se in zip(["Intercept", *m.terms], m.beta, np.sqrt(np.maximum(np.diag(cov), 0)).tolist(), strict=True):
                 p = math.erfc(abs(b / se) / math.sqrt(2)) if se > 0 else None
-                rows.append((m.response, term, b, se, p, b - Z95 * se, b + Z95 * se, math.exp(b) if m.family != "gaussian" and b < 700 else None, m.family, int(n), float(row[f"d{i}"]), float(row[f"c{i}"]), m.converged))
+                ends = (b, b - Z95 * se, b + Z95 * se)
+                ratios = tuple(math.exp(x) if m.family != "gaussian" and x < 700 else None for x in ends)
+                rows.append((m.name or m.response, m.response, term, b, se, p, *ends[1:], *ratios, *(ends if m.family == "gaussian" else ratios), m.family, int(n), float(row[f"d{i}"]), float(row[f"c{i}"]), m.converged))
     doubles = lambda *names: [T.StructField(x, T.DoubleType()) for x in names]
-    schema = T.StructType([T.StructField("target", T.StringType()), T.StructField("term", T.StringType()), *doubles("coef", "se", "p", "ci_lo", "ci_hi", "exp_coef"), T.StructField("family", T.StringType()), T.StructField("nobs", T.LongType()), *doubles("deviance", "pearson_chi2"), T.StructField("converged", T.BooleanType())])
+    schema = T.StructType([*[T.StructField(x, T.StringType()) for x in ("model", "target", "term")], *doubles("coef", "se", "p", "ci_lo", "ci_hi", "exp_coef", "exp_ci_lo", "exp_ci_hi", "effect", "effect_lo", "effect_hi"), T.StructField("family", T.StringType()), T.StructField("nobs", T.LongType()), *doubles("deviance", "pearson_chi2"), T.StructField("converged", T.BooleanType())])
     return df.sparkSession.createDataFrame(rows, schema)
 
 
@@ -174,15 +209,42 @@ def false_discovery(df: DataFrame, p: str = "p", by: list[str] = (), key: list[s
     return tested.withColumn("significant", F.coalesce(F.col("q") <= level, F.lit(False))).drop("__rank", "__m")
 
 
-def feature_association(df: DataFrame, targets: list[str], features: list[str], cluster: str, family: str = "binomial", covariates: list[str] = ()) -> DataFrame:
-    """One model for each target and feature, with covariates beside it; q over all pairs' features."""
-    effects = None
-    for f in features:  # one call for each feature; its targets share the passes
-        some = fit(df, [Model(t, [f, *covariates], family) for t in targets], cluster).where(F.col("term") != "Intercept")
-        some = some.withColumn("is_feature", F.col("term") == f)
-        effects = some if effects is None else effects.unionByName(some)
-    tested = false_discovery(effects.where("is_feature"), key=["target", "term"])
-    return tested.unionByName(effects.where(~F.col("is_feature")), allowMissingColumns=True)
+def _tested(effects: DataFrame, family: dict[str, list[str]], by: list[str] = ()) -> DataFrame:
+    """Adds q and significant, for each family of terms by itself (within each group of `by`); terms of no family keep a
+    null q. A column for each family says what is in it."""
+    effects = effects.withColumns({name: F.col("term").isin(*terms) if terms else F.lit(False) for name, terms in family.items()})
+    kind = F.coalesce(*[F.when(F.col(name), name) for name in family])
+    known = effects.withColumn("__kind", kind)
+    tested = false_discovery(known.where("__kind is not null"), by=["__kind", *by], key=["model", "term"])
+    return tested.unionByName(known.where("__kind is null"), allowMissingColumns=True).withColumn("significant", F.coalesce("significant", F.lit(False))).drop("__kind")
+
+
+def feature_association(df: DataFrame, targets: list[str], features: list[str], cluster: str, families: dict[str, str] | None = None, covariates: list[str] = ()) -> DataFrame:
+    """A model for each target and feature, with covariates beside it, all of them in common passes; q over all pairs'
+    features. Pairs that can't carry a model are left out. A target's family is binomial unless it is named."""
+    pairs = [Model(t, [f, *covariates], (families or {}).get(t, "binomial"), name=f"{t}~{f}") for t in targets for f in features]
+    return _tested(fit(df, pairs, cluster, guard=True).where(F.col("term") != "Intercept"), {"is_feature": list(features)})
+
+
+def bag_association(design: DataFrame, outcomes: DataFrame, bag: str, targets: list[str], covariates: list[str] = (), use_global: bool = True, use_community: bool = False, families: dict[str, str] | None = None) -> DataFrame:
+    """For each target one model on all of a bag's means, overall (xg_*) and of its communities (xk*), with covariates;
+    robust errors. q is for each target over the overall means and, apart from those, over the communities'. A target's
+    family is gaussian unless it is named. Bags are one-to-one in both tables."""
+    rows = joins.one_to_one(design, outcomes.select(bag, *targets, *covariates), bag)
+    means = [c for c in design.columns if use_global and c.startswith("xg_")]
+    parts = [c for c in design.columns if use_community and c.startswith("xk")]
+    models = [Model(t, [*means, *parts, *covariates], (families or {}).get(t, "gaussian")) for t in targets]
+    return _tested(fit(rows, models).where(F.col("term") != "Intercept"), {"is_global": means, "is_community": parts}, by=["target"])
+
+
+def membership_association(df: DataFrame, target: str, cluster: str, memberships: list[str] | None = None, covariates: list[str] = (), family: str = "binomial", drop_reference: bool = True) -> DataFrame:
+    """One model of a target on memberships (m_1, m_2, ... in the order of their numbers unless they are named), the last
+    of which is the reference, with covariates; clustered errors; q over the memberships."""
+    if memberships is None:
+        memberships = sorted((c for c in df.columns if c.startswith("m_") and c[2:].isdigit()), key=lambda c: int(c[2:]))
+    used = memberships[:-1] if drop_reference and len(memberships) > 1 else list(memberships)
+    effects = fit(df, [Model(target, [*used, *covariates], family)], cluster).where(F.col("term") != "Intercept")
+    return _tested(effects, {"is_membership": list(memberships)})
 
 
 def community_abundance(bags: DataFrame, counts: list[str], terms: list[str], size: str = "n") -> DataFrame:

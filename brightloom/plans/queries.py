@@ -51,10 +51,6 @@ def group_counts(spark: SparkSession, sf: str) -> DataFrame:
     return summary.group_counts(table(spark, sf, "documents"), ["source", "lang"])
 
 
-def _types(spark: SparkSession, sf: str) -> list[str]:
-    return [r[0] for r in table(spark, sf, "events").select("event_type").distinct().orderBy("event_type").collect()]
-
-
 @query("SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS \"F\", count(*) FILTER (o_orderstatus = 'O') AS \"O\", count(*) FILTER (o_orderstatus = 'P') AS \"P\" FROM orders GROUP BY ALL")
 def crosstab_counts(spark: SparkSession, sf: str) -> DataFrame:
     return summary.crosstab(table(spark, sf, "orders"), "o_orderpriority", "o_orderstatus", ["F", "O", "P"])
@@ -356,16 +352,78 @@ def glm_negative_binomial(spark: SparkSession, sf: str) -> DataFrame:
     return _effects(glm.fit(_per_user(spark, sf), [glm.Model("n", ["x"], "nb")]))
 
 
-@query()
+def newton_sql(rows: str, family: str, cluster: bool, steps: int = 14) -> str:
+    """CTEs that fit y ~ 1 + x (+ the offset o) for each (target, term) of rows(target, term, g, y, x, o), by Newton's steps
+    written out: fit(target, term, coef, se, p, ci_lo, ci_hi, nobs), for the slopes. g: the cluster of a row."""
+    eta = "(b.b0 + b.b1 * r.x + r.o)"
+    mu = {"gaussian": eta, "binomial": f"(1 / (1 + exp(-{eta})))", "nb": f"exp({eta})"}[family]
+    w = {"gaussian": "1.0::DOUBLE", "binomial": "(m * (1 - m))", "nb": "(m / (1 + m))"}[family]
+    s = "((y - m) / (1 + m))" if family == "nb" else "(y - m)"
+    first = {"gaussian": "0.0::DOUBLE", "binomial": "ln(sum(y) / (count(*) - sum(y)))", "nb": "ln(sum(y) / sum(exp(o)))"}[family]
+    out = [f"r AS (SELECT target, term, g, y::DOUBLE AS y, x::DOUBLE AS x, o::DOUBLE AS o FROM ({rows}) WHERE y IS NOT NULL AND x IS NOT NULL)", f"b0 AS (SELECT target, term, {first} AS b0, 0.0::DOUBLE AS b1 FROM r GROUP BY ALL)"]
+    for k in range(steps):
+        out.append(f"m{k} AS (SELECT r.*, {mu} AS m FROM r JOIN b{k} b USING (target, term))")
+        out.append(f"h{k} AS (SELECT target, term, sum({w}) AS a, sum({w} * x) AS b, sum({w} * x * x) AS c, sum({s}) AS s0, sum({s} * x) AS s1 FROM m{k} GROUP BY ALL)")
+        out.append(f"b{k + 1} AS (SELECT target, term, b.b0 + (h.c * s0 - h.b * s1) / (h.a * h.c - h.b * h.b) AS b0, b.b1 + (h.a * s1 - h.b * s0) / (h.a * h.c - h.b * h.b) AS b1 FROM b{k} b JOIN h{k} h USING (target, term))")
+    k = steps - 1
+    group, factor = ("g", "n_g / (n_g - 1) * (n - 1) / (n - 2)") if cluster else ("row_number() OVER ()", "1")
+    out.append(f"gs AS (SELECT target, term, k, sum(s0) AS s0, sum(s1) AS s1, count(*) AS n FROM (SELECT target, term, {group} AS k, {s} AS s0, {s} * x AS s1 FROM m{k}) GROUP BY ALL)")
+    out.append("meat AS (SELECT target, term, sum(s0 * s0) AS p, sum(s0 * s1) AS q, sum(s1 * s1) AS t, count(*)::DOUBLE AS n_g, sum(n)::DOUBLE AS n FROM gs GROUP BY ALL)")
+    out.append(f"se AS (SELECT target, term, n, b1 AS coef, sqrt((b * b * p - 2 * a * b * q + a * a * t) * {factor}) / (a * c - b * b) AS se FROM meat JOIN h{k} USING (target, term) JOIN b{steps} USING (target, term))")
+    # The normal tail by Simpson's rule, as SQL has no error function.
+    out.append("z AS (SELECT *, least(abs(coef / se) / sqrt(2), 12) AS u FROM se)")
+    simpson = "list_sum(list_transform(range(0, 1201), lambda i: CASE WHEN i IN (0, 1200) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-power(u * i / 1200, 2)))) * u / 3600"
+    out.append(f"fit AS (SELECT target, term, coef, se, greatest(1 - 2 / sqrt(pi()) * {simpson}, 0) AS p, coef - 1.959963984540054 * se AS ci_lo, coef + 1.959963984540054 * se AS ci_hi, n::BIGINT AS nobs FROM z)")
+    return ", ".join(out)
+
+
+def tested_sql(by: str = "") -> str:
+    """The end of such a query: q over all slopes, or those of each `by`."""
+    part = f"PARTITION BY {by}" if by else ""
+    return f"""SELECT target, term, round(coef, 5) AS coef, round(se, 5) AS se, round(p, 5) AS p, round(ci_lo, 5) AS ci_lo, round(ci_hi, 5) AS ci_hi, nobs,
+      round(least(min(p * m / k) OVER ({part} ORDER BY k DESC), 1), 5) AS q FROM (SELECT *, count(*) OVER ({part}) AS m, row_number() OVER ({part} ORDER BY p, target, term) AS k FROM fit)"""
+
+
+def _tested(df: DataFrame) -> DataFrame:
+    return rounded(df.select("target", "term", "coef", "se", "p", "ci_lo", "ci_hi", "nobs", "q"), 5)
+
+
+_SCALED = ", ".join(f"(l_{c} - avg(l_{c}) OVER ()) / stddev_pop(l_{c}) OVER () AS l_{c}" for c in ("quantity", "discount", "tax"))
+_PAIRS = " UNION ALL ".join(f"SELECT 'flag_{f}' AS target, 'l_{c}' AS term, l_suppkey AS g, (l_returnflag = '{f}')::INT AS y, l_{c} AS x, 0 AS o FROM s" for f in "ANR" for c in ("quantity", "discount", "tax"))
+
+
+@query(f"WITH s AS (SELECT l_suppkey, l_returnflag, {_SCALED} FROM lineitem), {newton_sql(_PAIRS, 'binomial', True)} {tested_sql()}")
 def feature_association(spark: SparkSession, sf: str) -> DataFrame:
     df = table(spark, sf, "lineitem").select("l_suppkey", *[(F.col("l_returnflag") == f).cast("int").alias(f"flag_{f}") for f in "ANR"], "l_quantity", "l_discount", "l_tax")
-    return glm.feature_association(scale.zscore(df, ["l_quantity", "l_discount", "l_tax"]), ["flag_A", "flag_N", "flag_R"], ["l_quantity", "l_discount", "l_tax"], "l_suppkey")
+    # A flat column and a target that never occurs can't carry a model and drop out.
+    df = df.withColumns({"l_flat": F.lit(1.0), "flag_X": F.lit(0)})
+    return _tested(glm.feature_association(scale.zscore(df, ["l_quantity", "l_discount", "l_tax"]), ["flag_A", "flag_N", "flag_R", "flag_X"], ["l_quantity", "l_discount", "l_tax", "l_flat"], "l_suppkey"))
 
 
-@query()
+_COUNTS = " UNION ALL ".join(f"SELECT 'c_{k}' AS target, 'building' AS term, c_custkey AS g, c_{k} AS y, (c_mktsegment = 'BUILDING')::INT AS x, ln(n) AS o FROM bags" for k in (1, 2, 3))
+
+
+@query(f"WITH bags AS ({_BAGS}), {newton_sql(_COUNTS, 'nb', False, 25)} {tested_sql()}")
 def community_abundance(spark: SparkSession, sf: str) -> DataFrame:
     rows = _bags(spark, sf).withColumn("building", clean.flag(F.col("c_mktsegment") == "BUILDING"))
-    return glm.community_abundance(rows, ["c_1", "c_2", "c_3"], ["building"])
+    return _tested(glm.community_abundance(rows, ["c_1", "c_2", "c_3"], ["building"]).where("term = 'building'"))
+
+
+@query(f"""
+WITH d AS (SELECT l_suppkey, avg(l_quantity) AS xg_1 FROM lineitem GROUP BY ALL), t AS (SELECT s_suppkey, s_acctbal / 1000 AS balance, (s_acctbal > 3000)::INT AS rich FROM supplier),
+{newton_sql("SELECT 'balance' AS target, 'xg_1' AS term, l_suppkey AS g, balance AS y, xg_1 AS x, 0 AS o FROM d JOIN t ON l_suppkey = s_suppkey", 'gaussian', False, 2)} {tested_sql('target')}""")
+def bag_association(spark: SparkSession, sf: str) -> DataFrame:
+    design = bags.bag_features(table(spark, sf, "lineitem"), "l_suppkey", ["l_quantity"], [])
+    outcomes = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), (F.col("s_acctbal") / 1000).alias("balance"))
+    return _tested(glm.bag_association(design, outcomes, "l_suppkey", ["balance"]))
+
+
+@query(f"""
+WITH {newton_sql("SELECT 'urgent' AS target, 'm_1' AS term, o_custkey AS g, (o_orderpriority = '1-URGENT')::INT AS y, (o_orderstatus = 'F')::INT AS x, 0 AS o FROM orders", 'binomial', True)} {tested_sql()}""")
+def membership_association(spark: SparkSession, sf: str) -> DataFrame:
+    # m_2 is the reference, as every order is in one of both.
+    df = table(spark, sf, "orders").select("o_custkey", (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("urgent"), (F.col("o_orderstatus") != "F").cast("double").alias("m_2"), (F.col("o_orderstatus") == "F").cast("double").alias("m_1"))
+    return _tested(glm.membership_association(df, "urgent", "o_custkey"))
 
 
 _P = "SELECT user_id, event_type, count(*) AS n, (('0x' || substr(md5(user_id || ':' || event_type), 1, 8))::BIGINT / 4294967296.0::DOUBLE) ^ 3 AS p FROM events GROUP BY ALL"
@@ -402,7 +460,7 @@ def transposed(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def kmeans_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return models.kmeans(table(spark, sf, "embeddings").select("vec_id", "embedding"), "embedding", 4, starts=4).select("vec_id", "cluster")
+    return models.kmeans(table(spark, sf, "embeddings").select("vec_id", "embedding"), "embedding", 4).select("vec_id", "cluster")
 
 
 @query()

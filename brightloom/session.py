@@ -23,9 +23,12 @@ def session(cores: str = "*", partitions: int = 8, **conf: str) -> SparkSession:
 def ship(spark: SparkSession) -> SparkSession:
     """Sends this package to the executors once for each application, for sessions whose workers don't have it on their
     path, and bounds the batches that Python workers get."""
-    # Rows are whole documents, some of them very long: batches for Python workers are bounded by bytes as well.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "2m")
+    # Rows are whole documents, some of them very long: batches for Python workers are bounded by bytes as well. Set once
+    # for each session, so that what its user sets later stays.
+    if not getattr(spark, "_brightloom_batches", False):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "2m")
+        spark._brightloom_batches = True
     sc = spark.sparkContext
     if getattr(sc, "_brightloom_shipped", False):
         return spark

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +10,11 @@ from pyspark.sql import functions as F
 from brightloom.operators.joins import carried_over
 
 
-def settings_hash(settings: dict) -> str:
-    return hashlib.sha256(json.dumps(settings, sort_keys=True).encode()).hexdigest()
+def settings_digest(spark: SparkSession, settings: dict) -> str:
+    """A digest of the settings that doesn't depend on their order: of one line of JSON for each, sorted."""
+    lines = [(json.dumps([name, value], sort_keys=True),) for name, value in settings.items()]
+    rows = spark.createDataFrame(lines, "line string")
+    return rows.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n").cast("binary"), 256)).first()[0]
 
 
 class RunStore:
@@ -27,20 +29,34 @@ class RunStore:
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
     def exists(self, name: str) -> bool:
-        fs, p = self._fs(f"{self.base}/{name}")
-        return fs.exists(p)
+        return bool(self._versions(name))
 
     def save(self, name: str, df: DataFrame) -> DataFrame:
-        """Writes beside the table, then puts it in its place, so that a failure leaves the one before."""
-        df.write.mode("overwrite").parquet(f"{self.base}/.new-{name}")
-        fs, new = self._fs(f"{self.base}/.new-{name}")
-        _, to = self._fs(f"{self.base}/{name}")
-        fs.delete(to, True)
-        fs.rename(new, to)
+        """Writes a new version in a folder of its own; only when that is complete (Spark's _SUCCESS file) do readers see
+        it, and only then do older versions go, so that a failure at any moment leaves the table before or after."""
+        before = self._versions(name)
+        version = f"{self.base}/{name}/v{(before[-1] if before else 0) + 1:08d}"
+        df.write.mode("overwrite").parquet(version)
+        for old in before[:-1]:  # the one before stays for whoever still reads it
+            fs, p = self._fs(f"{self.base}/{name}/v{old:08d}")
+            fs.delete(p, True)
         return self.load(name)
 
+    def _versions(self, name: str) -> list[int]:
+        """Complete versions of a table, in their order."""
+        fs, p = self._fs(f"{self.base}/{name}")
+        if not fs.exists(p):
+            return []
+        folders = [f.getPath().getName() for f in fs.listStatus(p)]
+        done = [f for f in folders if f[:1] == "v" and f[1:].isdigit() and self._has(f"{self.base}/{name}/{f}/_SUCCESS")]
+        return sorted(int(f[1:]) for f in done)
+
+    def _has(self, path: str) -> bool:
+        fs, p = self._fs(path)
+        return fs.exists(p)
+
     def load(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.base}/{name}")
+        return self.spark.read.parquet(f"{self.base}/{name}/v{self._versions(name)[-1]:08d}")
 
     def merge(self, name: str, rows: DataFrame, key: str) -> DataFrame:
         """A manifest's new rows, with those before that weren't visited."""
@@ -52,7 +68,7 @@ class RunStore:
         if self.exists(at) and not overwrite and (old := json.loads(self.load(at).first().value)) != settings:
             raise ValueError(f"{stage} was run with other settings: {old}")
         self.save(at, self.spark.createDataFrame([(json.dumps(settings, sort_keys=True),)], "value string").coalesce(1))
-        return settings_hash(settings)
+        return settings_digest(self.spark, settings)
 
     def drop_stale(self, before: list[str], now: list[str]) -> list[str]:
         """Deletes artefacts that the last run listed and this one didn't make: bare names of pictures and tables only."""

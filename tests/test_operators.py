@@ -209,7 +209,10 @@ def test_run_store(spark, tmp_path):
     store.merge("masks", spark.createDataFrame([("b", "error")], "image_id string, status string"), "image_id")
     assert sorted(tuple(r) for r in store.load("masks").select("image_id", "status", "sha").collect()) == [("a", "ok", "h1"), ("b", "error", None)]
     assert store.drop_stale(["old.png", "kept.csv", "x/y.png"], ["kept.csv"]) == ["old.png"]
-    assert runs.settings_hash({"a": 1, "b": 2}) == runs.settings_hash({"b": 2, "a": 1})
+    assert runs.settings_digest(spark, {"a": 1, "b": 2}) == runs.settings_digest(spark, {"b": 2, "a": 1}) != runs.settings_digest(spark, {"a": 2, "b": 1})
+    # A version that wasn't finished isn't seen, and doesn't cost the one before.
+    (tmp_path / "run/masks/v00000009").mkdir()
+    assert store.load("masks").count() == 2 and store.merge("masks", one, "image_id").count() == 2
 
 
 def test_incremental_stream(spark, tmp_path):
