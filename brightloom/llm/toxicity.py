@@ -126,7 +126,7 @@ class ToxicityModel:
         # At most 2 * most ids: a bound that doesn't grow. A repeated id's texts meet in one row, where they are first.
         sample = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "__id")
         sample = sample.groupBy("__id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.first("y").alias("y"))
-        spread = sample.repartition(shards, F.xxhash64("__id", F.lit(1))).sortWithinPartitions(F.xxhash64("__id", F.lit(2)), "__id")
+        spread = sample.repartition(shards, F.xxhash64("__id", F.lit(1))).coalesce(shards).sortWithinPartitions(F.xxhash64("__id", F.lit(2)), "__id")
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
