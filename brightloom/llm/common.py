@@ -81,7 +81,8 @@ def with_group(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataF
     """
     groups = scratch_table(groups, "groups")
     total = groups.agg(F.sum(size)).first()[0] or 0
-    few = (F.col(size) > max(1, total // HOT)) & (F.octet_length(F.col(key).cast("binary")) <= HOT_BYTES)
+    width = F.octet_length(key) if dict(groups.dtypes)[key] in ("binary", "string") else F.lit(8)
+    few = (F.col(size) > max(1, total // HOT)) & (width <= HOT_BYTES)
     hot = scratch_table(groups.where(few), "hot-groups")
     if hot.isEmpty():
         return rows.join(groups, key)

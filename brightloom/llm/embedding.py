@@ -12,16 +12,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brightloom.llm.common import scratch_table, tidied
+from brightloom.llm.common import scratch_table, tidied, with_group
 from brightloom.llm.components import connected_components
 
 #: Cosine of a link, trees, vectors that a leaf should hold, the sample that splits are fitted on, and how near to a
 #: split, as a part of the projections' spread, a vector goes to both sides.
-COSINE, TREES, LEAF, SAMPLE, SPILL, SEED = 0.93, 12, 512, 20_000, 0.06, 11
+COSINE, TREES, LEAF, SAMPLE, SPILL, SEED = 0.93, 6, 512, 20_000, 0.06, 11
 #: Members of a leaf compared in one task; a larger leaf is compared block by block.
 BLOCK = 2048
 
@@ -63,19 +63,22 @@ class Forest:
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of length one, of any finite vectors but zero: first scaled, so that no square is too large or too small."""
+    vectors = vectors.astype(np.float64)
+    vectors = vectors / np.abs(vectors).max(1, keepdims=True, initial=0)
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
-def usable(vectors: DataFrame, id_col: str, vector: str, label: str) -> DataFrame:
-    """Rows that can have links at all, as (id, v, label): labels and ids that aren't null, vectors of finite components
-    that aren't all zero."""
+def usable(vector: str, label: str, id_col: str) -> Column:
+    """Whether a row can have links at all: label and id aren't null, the vector's components are finite, not all zero."""
     v = F.col(vector).cast("array<double>")
     finite = F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False)))
-    return vectors.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & F.col(vector).isNotNull()).where(finite & F.exists(v, lambda x: x != 0)).select(F.col(id_col).alias("id"), v.alias("v"), F.col(label).alias("label"))
+    return F.coalesce(F.col(label).isNotNull() & F.col(id_col).isNotNull() & F.col(vector).isNotNull() & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
 def _in_leaves(classes: DataFrame, forest: Forest) -> DataFrame:
-    """(label, leaf, rep, n, v, leaves): a row for each leaf of each class of equal vectors."""
+    """(label, leaf, rep, n, v, leaves): a row for each leaf of each class of equal vectors. Components stay as wide as
+    they are, leaves are four bytes each."""
     sent = classes.sparkSession.sparkContext.broadcast(forest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,11 +87,11 @@ def _in_leaves(classes: DataFrame, forest: Forest) -> DataFrame:
                 part = batch.slice(k, 4096)
                 raw = part.column(3).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
                 row, leaf = sent.value.leaves(unit(raw).astype(np.float32))
-                counts = np.bincount(row, minlength=part.num_rows)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(leaf))
+                upto = np.append(0, np.cumsum(np.bincount(row, minlength=part.num_rows)))
+                lists = pa.array([leaf[x:y].astype("<u4").tobytes() for x, y in zip(upto[:-1], upto[1:], strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(leaf), *[part.column(i).take(pa.array(row)) for i in (1, 2, 3)], lists.take(pa.array(row))], ["label", "leaf", "rep", "n", "v", "leaves"])
 
-    fields = [classes.schema["label"], T.StructField("leaf", T.LongType()), T.StructField("rep", T.LongType()), T.StructField("n", T.LongType()), classes.schema["v"], T.StructField("leaves", T.ArrayType(T.LongType()))]
+    fields = [classes.schema["label"], T.StructField("leaf", T.LongType()), T.StructField("rep", T.LongType()), T.StructField("n", T.LongType()), classes.schema["v"], T.StructField("leaves", T.BinaryType())]
     return classes.select("label", "rep", "n", "v").mapInArrow(tidied(run), T.StructType(fields))
 
 
@@ -107,7 +110,7 @@ def compare(table: pa.Table, cosine: float = COSINE) -> pa.Table:
     rep, n = table.column("rep").to_numpy(), table.column("n").to_numpy()
     side = table.column("side").to_numpy()
     v = unit(table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rep), -1))
-    earlier = _earlier_leaves([np.asarray(x.as_py()) for x in table.column("leaves")], table.column("leaf")[0].as_py())
+    earlier = _earlier_leaves([np.frombuffer(x.as_buffer(), "<u4") for x in table.column("leaves")], table.column("leaf")[0].as_py())
     one = bool(side.max() == side.min())
     group, found, edges = np.arange(len(rep)), np.zeros(len(rep), np.int64), []
     left = np.flatnonzero(side == side.min())
@@ -136,8 +139,9 @@ def compare(table: pa.Table, cosine: float = COSINE) -> pa.Table:
 def _dimension_links(classes: DataFrame, trees: int, leaf: int, cosine: float, block: int) -> DataFrame:
     total = classes.count()
     depth = max(0, int(np.ceil(np.log2(max(1, total / leaf)))))
-    bounded = min(1.0, 1.3 * SAMPLE / max(1, total))
-    sample = classes.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < int(bounded * (1 << 20))).select("v").limit(SAMPLE).toPandas()
+    # Bounded by the hash alone, so that the trees don't depend on the files: about SAMPLE rows, wherever they lie.
+    bounded = min(1.0, SAMPLE / max(1, total))
+    sample = classes.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < int(bounded * (1 << 30))).select("v").toPandas()
     # Splits need some vectors of the sample on either side; leaves that stay large are compared by blocks.
     depth = min(depth, max(0, int(np.log2(max(1, len(sample) / 8)))))
     fitted = unit(np.stack(sample.v.to_numpy())).astype(np.float32) if len(sample) else np.zeros((0, 1), np.float32)
@@ -156,10 +160,19 @@ def near_groups(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embed
     Links are pairs of equal labels whose cosine, in double precision, is found to reach the threshold. Vectors that are
     null, zero or hold null or non-finite components, and those whose label or id is null, have none; their component is
     their own id. Equal vectors of a label are one class, linked among themselves. Vectors of different lengths never
-    link. Rows that repeat an id with the same vector count as vectors of their own. Other columns don't matter.
+    link. Rows that repeat an id count as vectors of their own, each with the links of its own vector. Other columns
+    don't matter; an empty table gives an empty result.
     """
-    good = usable(vectors, id_col, vector, label)
-    classes = scratch_table(good.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "vector-classes")
+    key, v = "key", F.col(vector).cast("array<double>")
+    wide = vectors.schema[vector].dataType != T.ArrayType(T.FloatType())
+    body = v if wide else F.col(vector)
+    digest = F.concat_ws(":", F.xxhash64("v"), F.xxhash64(F.lit(SEED), "v"), F.size("v"), F.col("label").cast("string"))
+    good = vectors.where(usable(vector, label, id_col)).select(F.col(id_col).alias("id"), body.alias("v"), F.col(label).alias("label"))
+    # Numbered as they are written; an id may have several vectors.
+    classes = good.groupBy("label", "v").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    classes = scratch_table(classes.select(F.monotonically_increasing_id().alias("rep"), "label", "v", "first", "n", digest.alias(key)), "vector-classes")
+    if not classes.groupBy(key).count().where("count > 1").isEmpty():
+        raise RuntimeError("two vectors have one digest")  # 128 bits: not to be expected
     links = None
     for (dim,) in classes.select(F.size("v")).distinct().collect():
         some = _dimension_links(classes.where(F.size("v") == dim), trees, leaf, cosine, block)
@@ -169,10 +182,11 @@ def near_groups(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embed
     links = scratch_table(links, "vector-links")
     roots = connected_components(links.where("b is not null"), "a", "b")
     counts = links.groupBy("a").agg(F.sum("links").alias("links"))
-    # A representative is the smallest id of its class, so a root is the smallest of its component.
-    named = classes.join(counts, classes.rep == counts.a, "left").join(roots, classes.rep == roots.id, "left")
-    named = named.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
-    members = good.join(named, ["label", "v"]).select(F.col("id").alias("__id"), "n_links", "component_id").dropDuplicates(["__id"])
-    out = vectors.select(F.col(id_col)).join(members, F.col(id_col) == F.col("__id"), "left")
-    component = F.coalesce("component_id", id_col)
-    return out.select(id_col, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col(id_col).eqNullSafe(component).alias("kept"))
+    named = classes.select("rep", key, "first", "n").join(counts, classes.rep == counts.a, "left").join(roots, F.col("rep") == roots.id, "left")
+    named = scratch_table(named.select(key, "first", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root")), "vector-roots")
+    # The smallest id of a component, over all of its classes; joined to classes first, which equal vectors share.
+    least = named.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("classes"))
+    named = with_group(named, least, "root", "classes").select(key, "n", "n_links", "component_id")
+    linked = with_group(good.select("id", digest.alias(key)), named, key, "n").select(F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), "component_id")
+    alone = vectors.where(~usable(vector, label, id_col)).select(F.col(id_col), F.lit(0).cast("long").alias("n_links"), F.col(id_col).alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))

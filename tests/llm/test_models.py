@@ -281,3 +281,11 @@ def test_embeddings(spark, block):
                 root[a] = root[b] = min(root[a], root[b])
         assert all(got[r[0]].component_id == rows[root[i]][0] and got[r[0]].kept == (root[i] == i) for i, r in enumerate(rows))
     assert embedding.near_groups(df.limit(0)).count() == 0
+
+
+def test_embeddings_of_any_size_and_repeated_ids(spark):
+    big, w = [1e200, 1e200, 0.0], [0.0, 0.0, 1e-200]
+    rows = [(1, big, 0), (2, [1e200, 1.01e200, 0.0], 0), (1, w, 0), (3, w, 0), (4, w, 0), (5, big, 1), (None, big, 0)]
+    got = Counter(tuple(r) for r in embedding.near_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    # An id with two vectors comes twice, each time with what that vector is linked to.
+    assert got == Counter([(1, 1, 1, True), (2, 1, 1, False), (1, 2, 1, True), (3, 2, 1, False), (4, 2, 1, False), (5, 0, 5, True), (None, 0, None, True)])
