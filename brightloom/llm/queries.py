@@ -29,8 +29,8 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).cast("long").alias("taken"))
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), keep=("doc_id",))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,13 +89,13 @@ SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0
 
 OP4_SQL = r"""
 WITH d AS (SELECT doc_id, source, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS k, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
-cl AS (SELECT *, (size >> greatest(length(bin(size)) - 5, 0)) << greatest(length(bin(size)) - 5, 0) AS class, doc_id % 64 AS salt FROM d),
+cl AS (SELECT *, (size >> greatest(length(bin(size)) - 5, 0)) << greatest(length(bin(size)) - 5, 0) AS class, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT AS h FROM d),
 src AS (SELECT k, any_value(source) AS source, sum(size)::BIGINT AS source_size FROM d GROUP BY k),
 w AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w, source_size * 2.0::DOUBLE AS cap FROM src),
 l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 m AS (SELECT *, max(CASE WHEN cap / w > level THEN level END) OVER () AS top FROM l),
 t AS (SELECT k, source_size, coalesce(least(cap, w * top), cap) AS target, CASE WHEN source_size > 0 THEN coalesce(least(cap, w * top), cap) / source_size ELSE 0 END AS rate, ('0x' || substr(md5('mix-1:' || k), 1, 13))::BIGINT::DOUBLE / 4503599627370496 AS u FROM m),
-r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY class, salt, size, doc_id) AS rank FROM cl)
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY class, h, size, doc_id) AS rank FROM cl)
 SELECT doc_id, size, source_size, target, (least(floor(u + rate * rank) - floor(u + rate * (rank - 1)), 2) * size)::BIGINT AS taken FROM r JOIN t USING (k)
 """
 

@@ -4,12 +4,27 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brightloom.llm.common import scratch_table
 
 
+#: Rows of a bucket, on average, that are sorted in one task with its whole group in the same class.
+BUCKET = 20_000
+
+
+def hash32(col: str) -> Column:
+    """32 bits of the digest of a value as text, alike in any engine; null is a value of its own."""
+    text = F.coalesce(F.col(col).cast("string"), F.lit("null"))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+
+
+def split_bits(rows: int) -> int:
+    """Leading bits of a hash that split so many rows, were they all in one group, into buckets."""
+    return min(32, max(0, (rows // BUCKET).bit_length()))
+
+
 def ranked(df: DataFrame, levels: list[str], ties: list, by: list[str] = (), rank: str = "rank", name: str = "ranks", counted: DataFrame | None = None) -> DataFrame:
     """Adds rank, from 0 within each group of `by`: the order is by the levels, then by ties.
 

@@ -141,20 +141,20 @@ def fill(sizes, weights, share, most):
 def test_mixing(spark, awkward):
     rng = np.random.default_rng(3)
     rows = [(i, " ".join(["w"] * int(rng.pareto(1.5) * 20)), [None, "a", "b", "ü", "z"][min(4, int(rng.exponential(1)))]) for i in range(3000)]
-    got = mixing.mix(docs(spark, rows)).select("doc_id", "source", "__size", "__source_size", "__target", "__copies").collect()
-    assert len(got) == len(rows) and all(len(rows[r.doc_id][1].split()) == r["__size"] for r in got)
+    got = mixing.mix(docs(spark, rows)).select("doc_id", "source", "size", "source_size", "target", "copies").collect()
+    assert len(got) == len(rows) and all(len(rows[r.doc_id][1].split()) == r["size"] for r in got)
     sources = sorted({s for _, _, s in rows if s}, key=lambda s: s.encode()) + [None]
     sizes = [sum(len(t.split()) for _, t, s in rows if s == x) for x in sources]
     want = dict(zip(sources, fill(sizes, [(3, 1, 2)[i % 3] for i in range(len(sources))], 1.5, 2), strict=True))
     taken, largest = Counter(), Counter()
     for r in got:
-        assert r["__copies"] in (0, 1, 2) and r["__target"] == pytest.approx(want[r.source]) and r["__source_size"] == sizes[sources.index(r.source)]
-        taken[r.source] += r["__copies"] * r["__size"]
-        largest[r.source] = max(largest[r.source], r["__size"])
+        assert r["copies"] in (0, 1, 2) and r["target"] == pytest.approx(want[r.source]) and r["source_size"] == sizes[sources.index(r.source)]
+        taken[r.source] += r["copies"] * r["size"]
+        largest[r.source] = max(largest[r.source], r["size"])
     for s in sources:
         assert abs(taken[s] - want[s]) <= 1.5 * largest[s]
-    again = {r.doc_id: r["__copies"] for r in mixing.mix(docs(spark, rows[::-1]).repartition(7)).collect()}
-    assert again == {r.doc_id: r["__copies"] for r in got}
+    again = {r.doc_id: r["copies"] for r in mixing.mix(docs(spark, rows[::-1]).repartition(7)).collect()}
+    assert again == {r.doc_id: r["copies"] for r in got}
     mixed = mixing.mixture(docs(spark, rows))
     assert mixed.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ") and mixed.count() == sum(again.values())
     assert mixing.mixture(awkward).columns == awkward.columns and mixing.mix(awkward).count() == awkward.count() and mixing.mix(docs(spark, [])).count() == 0
@@ -205,6 +205,29 @@ def roots(n, links):
     return root
 
 
+def test_any_ids_and_names(spark, tmp_path):
+    rows = [(f"doc-{i:05d}", "word " * (i % 40), ("wikipedia_de", "wikipedia_en", "wikipedia_fr")[i % 3], 7) for i in range(600)]
+    rows += [(None, "no id", None, 7)] * 3 + [("doc-00001", "again again", "wikipedia_de", 7)] * 2
+    df = spark.createDataFrame(rows, "doc_id string, text string, source string, size int").withColumns({c: F.lit("mine") for c in ("lang", "rank", "s", "class", "copies", "shard", "slot", "row", "__source")})
+    mixed = mixing.mix(df)
+    assert mixed.columns == [*df.columns, "_size", "source_size", "target", "_copies"] and mixed.count() == len(rows)
+    assert mixed.where("size <> 7 or copies <> 'mine' or _size <> regexp_count(text, '[a-z]+')").count() == 0
+    assert mixing.mixture(df).columns == df.columns
+    placed = sharding.hilbert_shards(df, keep=("doc_id", "text", "source"))
+    got = placed.groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("top")).collect()
+    assert len(got) == 16 and max(r.n for r in got) - min(r.n for r in got) <= 1 and all(r.top == r.n - 1 for r in got)
+    # Sources that differ only at their ends are apart on the curve.
+    assert placed.select("row.source", "q_source").where("source is not null").distinct().groupBy("source").count().count() == 3
+    assert placed.where("row.source is not null").select("q_source").distinct().count() == 3
+    sharding.write_shards(df, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert set(back.columns) == {*df.columns, "_shard"} and back.count() == len(rows)
+    assert back.where("doc_id is null").count() == 3 and back.groupBy("_shard").count().count() == 16
+    same = spark.createDataFrame([(1, "a", "s", "x")] * 64, "doc_id long, text string, source string, lang string")
+    sharding.write_shards(same, str(tmp_path / "same"))
+    assert {r["count"] for r in spark.read.parquet(str(tmp_path / "same")).groupBy("shard").count().collect()} == {4}
+
+
 def test_components(spark):
     rng = np.random.default_rng(5)
     links = [*[(i, i + 1) for i in range(0, 60)], *[(100, int(i)) for i in range(101, 140)], *map(tuple, rng.integers(200, 400, (90, 2)).tolist()), (5, 5)]
