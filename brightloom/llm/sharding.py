@@ -6,11 +6,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from brightloom.llm.common import scratch_table, text_or_empty
-from brightloom.llm.ranking import ranked
+from brightloom.llm.common import scratch_table, text_or_empty, with_group
+from brightloom.llm.ranking import hash32, ranked, split_bits
 
-SHARDS, BITS, ACCURACY, SALTS = 16, 4, 10_000, 64
+SHARDS, BITS, ACCURACY = 16, 4, 10_000
 
 
 def hilbert_index(coords: np.ndarray, bits: int) -> np.ndarray:
@@ -40,7 +41,14 @@ def hilbert_index(coords: np.ndarray, bits: int) -> np.ndarray:
 
 def ordinal(col: Column) -> Column:
     """A number that sorts like the string's first seven bytes."""
-    return F.conv(F.substring(F.rpad(F.hex(F.encode(F.coalesce(col, F.lit("")), "utf-8")), 14, "0"), 1, 14), 16, 10).cast("long")
+    return F.conv(F.substring(F.rpad(F.hex(F.encode(col, "utf-8")), 14, "0"), 1, 14), 16, 10).cast("long")
+
+
+def with_rank(rows: DataFrame, value: str, out: str) -> DataFrame:
+    """Adds the place of each row's string among all distinct ones, in the order of whole strings."""
+    sizes = scratch_table(rows.groupBy(value).agg(F.count(F.lit(1)).alias("__rows")), "shard-values")
+    places = ranked(sizes.withColumn("__lead", ordinal(F.col(value))), ["__lead"], [F.col(value)], rank=out, name="shard-value-ranks")
+    return with_group(rows, places.select(value, out, "__rows"), value, "__rows").drop("__rows")
 
 
 def quantised(df: DataFrame, dims: list[str], bits: int) -> DataFrame:
@@ -55,38 +63,50 @@ def quantised(df: DataFrame, dims: list[str], bits: int) -> DataFrame:
     return df
 
 
-def hilbert_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text: str = "text", metadata: tuple[str, ...] = ("source", "lang"), bits: int = BITS) -> DataFrame:
-    """One row for each row of docs: id_col, size, text_crc32, the quantised dimensions, curve, shard and slot.
+def hilbert_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text: str = "text", metadata: tuple[str, ...] = ("source", "lang"), bits: int = BITS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row of docs: id_col, size, text_crc32, the quantised dimensions, curve, shard, slot and, if there
+    are columns to keep, a struct of those named row.
 
-    Dimensions are the metadata columns, the size and the id. Rows are sorted by their cell's place on the curve, then
-    by id, and the order is cut into runs whose counts differ by at most one; slot is the row's place in its run. A file
-    for each run so covers a narrow range of every dimension. A null text has no bytes; null metadata and ids sort
-    first; repeated rows take places of their own. An empty table gives an empty result.
+    Dimensions are the metadata columns, by the places of their values among all values, the size and, if it is a whole
+    number, the id. Rows are sorted by their cell's place on the curve, then by a hash of the id, and the order is cut
+    into runs whose counts differ by at most one; slot is the row's place in its run. A file for each run so covers a
+    narrow range of every dimension. A null text has no bytes; null metadata count as empty, null ids as 0; repeated rows
+    take places of their own; other columns don't matter. An empty table gives an empty result.
     """
     body = text_or_empty(text)
-    rows = docs.select(F.col(id_col), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), *[ordinal(F.col(m)).alias(f"d_{m}") for m in metadata])
-    rows = scratch_table(rows.withColumn("d_id", F.coalesce(F.col(id_col), F.lit(0))), "shard-rows")
-    dims = [*[f"d_{m}" for m in metadata], "size", "d_id"]
-    rows = quantised(rows, dims, bits)
+    numeric = isinstance(docs.schema[id_col].dataType, T.IntegralType)
+    carried = [F.struct(*[F.col(c) for c in keep]).alias("row")] if keep else []
+    rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("crc"), *[F.coalesce(F.col(m).cast("string"), F.lit("")).alias(f"m_{i}") for i, m in enumerate(metadata)], *carried)
+    rows = scratch_table(rows.withColumn("hash", hash32("id")).withColumn("d_id", F.coalesce(F.col("id"), F.lit(0)) if numeric else F.lit(0)), "shard-rows")
+    for i in range(len(metadata)):
+        rows = with_rank(rows, f"m_{i}", f"d_{i}")
+    dims = {**{f"d_{i}": m for i, m in enumerate(metadata)}, "size": "size", **({"d_id": "id"} if numeric else {})}
+    rows = quantised(scratch_table(rows, "shard-ranks"), list(dims), bits)
 
     def index(*cols: pd.Series) -> pd.Series:
         return pd.Series(hilbert_index(np.column_stack(cols), bits))
 
     curve = F.pandas_udf(index, "long")(*[F.col(f"q_{d}") for d in dims])
-    # A cell that holds too many equal rows is split by a salt, which is part of the order.
-    rows = rows.withColumn("curve", curve).withColumn("__salt", F.pmod("d_id", F.lit(SALTS)).cast("int"))
-    rows = scratch_table(rows.withColumn("__high", F.shiftright("curve", len(dims) * bits // 2)), "shard-cells")
-    out = ranked(rows, ["__high", "curve", "__salt"], ["d_id", "text_crc32", "size"], rank="__rank", name="shard-counts")
     n = rows.count()
+    # A cell is split by bits of the hash, which is part of the order, so many as the rows there are ask for.
+    rows = rows.withColumn("curve", curve).withColumn("part", F.shiftright("hash", 32 - split_bits(n)))
+    rows = scratch_table(rows.withColumn("high", F.shiftright("curve", len(dims) * bits // 2)), "shard-cells")
+    out = ranked(rows, ["high", "curve", "part"], ["hash", "d_id", "crc", "size"], rank="rank", name="shard-counts")
     few, more = divmod(n, shards)  # the first `more` runs hold one row more
     long_runs = more * (few + 1)
-    shard = F.when(F.col("__rank") < long_runs, F.floor(F.col("__rank") / F.lit(few + 1))).otherwise(F.lit(more) + F.floor((F.col("__rank") - long_runs) / F.lit(max(few, 1))))
-    slot = F.when(F.col("__rank") < long_runs, F.pmod("__rank", F.lit(few + 1))).otherwise(F.pmod(F.col("__rank") - long_runs, F.lit(max(few, 1))))
-    return out.withColumn("shard", shard.cast("int")).withColumn("slot", slot.cast("long")).select(id_col, "size", "text_crc32", *[f"q_{d}" for d in dims], "curve", "shard", "slot")
+    shard = F.when(F.col("rank") < long_runs, F.floor(F.col("rank") / F.lit(few + 1))).otherwise(F.lit(more) + F.floor((F.col("rank") - long_runs) / F.lit(max(few, 1))))
+    slot = F.when(F.col("rank") < long_runs, F.pmod("rank", F.lit(few + 1))).otherwise(F.pmod(F.col("rank") - long_runs, F.lit(max(few, 1))))
+    out = out.withColumn("shard", shard.cast("int")).withColumn("slot", slot.cast("long"))
+    return out.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), *[F.col(f"q_{d}").alias(f"q_{name}") for d, name in dims.items()], "curve", "shard", "slot", *(["row"] if keep else []))
 
 
 def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", **how) -> None:
-    """Writes docs as Parquet, a folder for each shard and in it as many files as its size asks for, rows in curve order; readers prune by the files' statistics."""
-    places = hilbert_shards(docs, id_col=id_col, **how).select(F.col(id_col).alias("__id"), "shard", "slot").dropDuplicates(["__id"])
-    out = docs.join(places, docs[id_col].eqNullSafe(F.col("__id"))).drop("__id")
-    out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").parquet(path)
+    """Writes docs as Parquet, every row in its own place: a folder for each shard and in it as many files as its size
+    asks for, rows in curve order; readers prune by the files' statistics. The folders' column is named shard, with an
+    underscore before it where docs has such a column."""
+    placed = hilbert_shards(docs, id_col=id_col, keep=tuple(docs.columns), **how).select("shard", "slot", "row")
+    name = "shard"
+    while name in docs.columns:
+        name = f"_{name}"
+    out = placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    out.select("row.*", F.col("shard").alias(name)).write.partitionBy(name).parquet(path)
