@@ -53,9 +53,9 @@ def eroded(px: DataFrame, radius: int) -> DataFrame:
 
 
 def components(px: DataFrame, neighbours=EIGHT, rounds: int = 1000) -> DataFrame:
-    """Adds component, the smallest y * 65536 + x of the inside pixels that are joined with this one through any of the
+    """Adds component, the smallest y * 2**32 + x of the inside pixels that are joined with this one through any of the
     neighbours. Labels spread along whole runs of rows and columns in each round, then to the neighbours given."""
-    own = px.where("in").select("image", "y", "x", (F.col("y").cast("long") * 65536 + F.col("x")).alias("label"))
+    own = px.where("in").select("image", "y", "x", (F.col("y").cast("long") * (1 << 32) + F.col("x")).alias("label"))
     for a, b in (("y", "x"), ("x", "y")):
         step = Window.partitionBy("image", a).orderBy(b)
         own = own.withColumn(f"run_{a}", F.col(b) - F.row_number().over(step))

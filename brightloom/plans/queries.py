@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brightloom.functions import clean, labels
-from brightloom.operators import bags, filters, glm, joins, models, plotdata, raster, scale, select, summary
+from brightloom.operators import bags, cells, filters, glm, joins, models, plotdata, raster, scale, select, summary
 from brightloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -547,6 +547,21 @@ def raster_entropy(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(raster.entropy(_pixels(spark, sf)))
 
 
+@query(f"""
+WITH {_PX}, ends AS (SELECT image, y, min(x) AS a, max(x) AS b FROM ins GROUP BY ALL),
+pts AS (SELECT DISTINCT image, u, w FROM (SELECT image, 2 * y + o.dy AS u, 2 * e.x + o.dx AS w FROM (SELECT image, y, unnest([a, b]) AS x FROM ends) e, (VALUES (0, -1), (0, 1), (-1, 0), (1, 0)) o(dy, dx))),
+sides AS (SELECT p.image, p.u AS u1, p.w AS w1, q.u AS u2, q.w AS w2 FROM pts p JOIN pts q ON p.image = q.image AND (p.u, p.w) <> (q.u, q.w) JOIN pts r ON r.image = p.image GROUP BY ALL HAVING min((q.u - p.u) * (r.w - p.w) - (q.w - p.w) * (r.u - p.u)) >= 0),
+hull AS (SELECT px.image, px.y, px.x FROM px JOIN sides s ON s.image = px.image GROUP BY ALL HAVING min((u2 - u1) * (2 * px.x - w1) - (w2 - w1) * (2 * px.y - u1)) >= 0)
+SELECT image, n AS convex_area, round(m / n::DOUBLE, 6) AS solidity FROM (SELECT image, count(*) AS n FROM hull GROUP BY ALL) JOIN (SELECT image, count(*) AS m FROM ins GROUP BY ALL) USING (image)""")
+def raster_solidity(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(cells.solidity(_pixels(spark, sf)))
+
+
+@query()
+def raster_measures(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(cells.measured(_pixels(spark, sf), least_run=7))
+
+
 @query()
 def raster_texture(spark: SparkSession, sf: str) -> DataFrame:
     px = _pixels(spark, sf)

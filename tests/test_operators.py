@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brightloom.functions import clean, labels
-from brightloom.operators import bags, filters, glm, joins, models, raster, scale, select, summary
+from brightloom.operators import bags, cells, filters, glm, joins, models, raster, scale, select, summary
 from brightloom.sources import runs, tables
 from brightloom.streaming.incremental import follow
 
@@ -141,6 +141,25 @@ def test_disk_with_speckle(spark):
     assert raster.eroded(raster.dilated(px, 2), 2).where("in").count() == mask.sum()
 
 
+def test_measures_of_pictures(spark):
+    mask = round_mask(40, 9, 20, 20)
+    whole = mask.copy()
+    whole[2:5, 2:5] = True
+    corner, empty = np.zeros((40, 40), bool), np.zeros((40, 40), bool)
+    corner[:20, :20] = True
+    px = image(spark, whole).union(image(spark, empty, name="e")).union(image(spark, corner, name="c"))
+    got = {r.image: r for r in cells.measured(px).collect()}
+    assert len([n for kind in cells.MEASURES.values() for n in kind]) == 27
+    r = got["i"]
+    assert (r.area, r.component_count, r.qc_flags, r.qc_ok) == (mask.sum(), 2, "ok", True) and r.circularity > 0.85 and 0.9 < r.solidity <= 1
+    assert r.intensity_cell_mean == pytest.approx(0.3) and r.intensity_background_ring_mean == pytest.approx(0.8) and r.texture_glcm_energy is not None
+    assert got["e"].qc_flags == "empty_mask" and got["e"].area is None and not got["e"].qc_ok and got["e"].component_count == 0
+    assert got["c"].qc_flags == "touches_border" and got["c"].solidity == 1
+    # A bar and a dot: pixel by pixel, the hull is all that no side leaves out.
+    assert cells.hull_pixels(np.array([0, 1, 2]), np.array([0, 0, 0]), np.array([2, 0, 0])) == 6
+    assert cells.hull_pixels(np.array([3]), np.array([2]), np.array([2])) == 1
+
+
 def test_border_runs(spark):
     for n in (0, 1, 9, 14):
         for turns in range(4):
@@ -251,6 +270,13 @@ def test_readers_and_writers(spark, tmp_path):
     found = tables.fingerprinted(tables.scan_images(spark, str(tmp_path / "raw"))).collect()
     assert [r.image_id for r in found] == ["a/1.PNG"] and len(found[0].sha256) == 64
     assert tuple(tables.image_sizes(spark, str(tmp_path / "raw"), "g").first()) == ("1.PNG", "g", 7, 5, 35)
+    (tmp_path / "raw/raw").mkdir()
+    (tmp_path / "raw/raw/x.png").write_bytes(png(2, 3))
+    assert sorted(r.image_id for r in tables.scan_images(spark, str(tmp_path / "raw")).collect()) == ["a/1.PNG", "raw/x.png"]
+    decoded = tables.decode_images(spark, str(tmp_path / "raw/a"))
+    grey = tables.grey_pixels(decoded).collect()
+    assert len(grey) == 35 and {(r.y, r.x) for r in grey} == {(y, x) for y in range(5) for x in range(7)} and grey[0].v == pytest.approx(16 / 255)
+    assert not any(r["in"] for r in tables.mask_pixels(decoded).collect())
     (tmp_path / "none").mkdir()
     (tmp_path / "none/x.txt").write_text("no")
     with pytest.raises(FileNotFoundError):
