@@ -42,10 +42,20 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in spark.checkpoint.dir. Only a session of one machine, as in tests, gets a
+    folder of its own where none is set; on a cluster that is an error, as other machines wouldn't see it."""
+    sc = spark.sparkContext
+    if (root := sc.getCheckpointDir()) is None:
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
+        sc.setCheckpointDir(root or tempfile.mkdtemp(prefix="brightloom-"))
+        root = sc.getCheckpointDir()
+    return root
+
+
 def checkpointed(df):
-    """Cuts the lineage of df by writing it to the shared folder of checkpoints; a folder of its own only where none is
-    set, as in tests."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="brightloom-"))
+    """Cuts the lineage of df by writing it to the shared folder of checkpoints."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
