@@ -43,18 +43,26 @@ def sha256(chunk: Column) -> Column:
     return F.unhex(F.sha2(chunk.cast("binary"), 256))
 
 
-def with_recipe(docs: DataFrame, text: str = "text", digest: Callable[[Column], Column] = sha256, sha: str | None = None, **how) -> tuple[DataFrame, str]:
-    """The rows of docs with a column, whose name is returned, of the ordered chunk identifiers; sha: a column to add
-    with the digest of the normalised text. Null counts as empty, and the recipe of an empty text is empty. Equal recipes
-    mean equal normalised texts."""
+def with_recipe(docs: DataFrame, text: str = "text", digest: Callable[[Column], Column] = sha256, sha: str | None = None, keep: list[str] | None = None, **how) -> tuple[DataFrame, str]:
+    """The rows of docs, with the columns to keep (all if None) and one, whose name is returned, of the ordered chunk
+    identifiers; sha: a column to add with the digest of the normalised text. Null counts as empty, and the recipe of an
+    empty text is empty. Equal recipes mean equal normalised texts."""
+    kept = list(docs.columns if keep is None else keep)
     normal, parts, ids, recipe, key, bad = free_names(docs, "normal", "chunks", "ids", "recipe", "key", "bad")
     out = docs.withColumn(normal, ascii_lower(text_or_empty(text))).withColumn(parts, chunks(F.col(normal), **how))
     out = out.withColumn(ids, F.transform(parts, digest))
     if sha:
         out = out.withColumn(sha, F.sha2(F.col(normal).cast("binary"), 256))
-    # Cut and hashed once; identifiers are checked against the chunks that were written beside them.
-    out = scratch_table(out.drop(normal), "chunks")
-    untrusted = out.select(F.inline(F.arrays_zip(F.col(ids).alias("digest"), F.col(parts).alias("chunk")))).distinct().groupBy("digest").count().where("count > 1").select("digest")
+    more = [ids, *([sha] if sha else [])]
+    if text in kept:
+        # Whole rows are written once; their texts are cut again for the check, rather than written twice.
+        out = scratch_table(out.select(*kept, *more), "recipes").withColumn(parts, chunks(ascii_lower(text_or_empty(text)), **how))
+    else:
+        # Cut and hashed once; identifiers are checked against the chunks that were written beside them.
+        out = scratch_table(out.select(*kept, *more, parts), "chunks")
+    # An outer inline: else Spark first cuts each text to see whether it has chunks.
+    found = out.select(F.inline_outer(F.arrays_zip(F.col(ids).alias("digest"), F.col(parts).alias("chunk")))).where("digest is not null")
+    untrusted = found.distinct().groupBy("digest").count().where("count > 1").select("digest")
     untrusted = scratch_table(untrusted, "untrusted")
     listed = F.unhex(F.array_join(F.transform(ids, lambda d: F.hex(d)), ""))
     if untrusted.isEmpty():
@@ -74,7 +82,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **
     of their text but stay only if it has no other id; a repeated row is counted, and marked, as often as it is there.
     Other columns of docs don't matter. An empty table gives an empty result.
     """
-    rows, recipe = with_recipe(docs.select(F.col(id_col), F.col(text)), text, sha="text_sha256", **how)
+    rows, recipe = with_recipe(docs.select(F.col(id_col), F.col(text)), text, sha="text_sha256", keep=[id_col], **how)
     # What is grouped and joined are recipes, a small part of their texts.
     groups = rows.groupBy(recipe).agg(F.max(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     return with_group(rows, groups, recipe, "group_size").select(id_col, "keep_id", "group_size", F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
