@@ -5,7 +5,6 @@ from __future__ import annotations
 import ctypes
 import gc
 import inspect
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightloom.session import ship
+from brightloom.session import checkpoint_folder, ship
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -46,19 +45,10 @@ def crc_mod(col: str, n: int) -> Column:
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % n, F.lit(0))
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of its own only where none is set, as in tests."""
-    sc = spark.sparkContext
-    if (root := sc.getCheckpointDir()) is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="brightloom-"))
-        root = sc.getCheckpointDir()
-    return root
-
-
 def scratch_table(df: DataFrame, name: str) -> DataFrame:
     """Writes df once to the shared folder and reads it back, so that later jobs neither recompute it nor depend on the
     executors that made it."""
-    path = f"{checkpoint_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -12,13 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brightloom.llm.common import pieces, scratch_table, tidied
+from brightloom.llm.common import free_names, scratch_table, tidied, with_group
 from brightloom.llm.components import connected_components
 
 #: Words of a shingle, differing bits of a link, seed of the hash.
 WORDS, BITS, SEED = 3, 3, 42
-#: Bytes of text taken up at a time, hashes counted at a time, and members of a grid cell that are compared pair by pair.
-PIECE, HASHES, CROWDED = 1 << 22, 1 << 15, 512
+#: Hashes counted at a time, and members of a grid cell that are compared pair by pair.
+HASHES, CROWDED = 1 << 15, 512
 
 
 def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
@@ -43,17 +43,23 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """(id_col, fp) for each row: the fingerprint as a signed long. Null texts count as empty."""
+def fingerprint_of(text: str, words: int = WORDS, seed: int = SEED) -> Column:
+    """The fingerprint of a column of texts, as a signed long; null counts as empty. Only the text goes to Python."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            for low, high in pieces(batch, 1, PIECE):
-                part = batch.slice(low, high - low)
-                fps = np.array([fingerprint(t.as_py(), words, seed) for t in part.column(1)], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], [id_col, "fp"])
+            yield pa.array(np.array([fingerprint(t.as_py(), words, seed) for t in batch], np.uint64).view(np.int64))
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from tidied(of_batches)(batches)
 
-    return docs.select(F.col(id_col), F.col(text).alias("__text")).mapInArrow(tidied(run), T.StructType([docs.schema[id_col], T.StructField("fp", T.LongType())]))
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, T.LongType())(F.col(text))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, seed: int = SEED) -> DataFrame:
+    """(id_col, fp) for each row: the fingerprint as a signed long. Null texts count as empty."""
+    return docs.select(F.col(id_col), fingerprint_of(text, words, seed).alias("fp"))
 
 
 # ---- the embedding: 32 segments of two bits, whose counts 0, 1 or 2 stay packed in the segments' own bits
@@ -151,22 +157,30 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wor
     Rows with a null id take part; a group of only such rows has a null component_id. Repeated rows come back as often
     as they are there; other columns don't matter; an empty table gives an empty result.
     """
-    rows = scratch_table(fingerprints(docs, id_col, text, words), "fingerprints")
-    classes = scratch_table(rows.groupBy("fp").agg(F.min(id_col).alias("first_id")), "fp-classes")
-    reach = connected_components(fingerprint_links(classes.select("fp"), crowded))
-    roots = classes.join(reach, classes.fp == reach.id, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    names = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = roots.join(names, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(id_col, "fp", "component_id")
+    return grouped(scratch_table(fingerprints(docs, id_col, text, words), "fingerprints"), id_col, crowded)
 
 
-def dedupe(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of docs that stay: of each group the one with the smallest id, a row that is repeated once. Rows with a
-    null id all stay, since nothing tells them apart."""
-    groups = near_groups(docs.where(F.col(id_col).isNotNull()), id_col, text, **how)
-    kept = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__id")).distinct()
-    stay = docs.join(kept, docs[id_col] == F.col("__id"), "left_semi").dropDuplicates([id_col])
-    return stay.unionByName(docs.where(F.col(id_col).isNull()))
+def grouped(rows: DataFrame, id_col: str, crowded: int = CROWDED) -> DataFrame:
+    """near_groups of rows (id_col, fp) that are cheap to read."""
+    classes = scratch_table(rows.groupBy("fp").agg(F.min(id_col).alias("first_id"), F.count(F.lit(1)).alias("rows")), "fp-classes")
+    reach = connected_components(fingerprint_links(classes.select("fp"), crowded))
+    roots = classes.join(reach, classes.fp == reach.id, "left").select("fp", "first_id", "rows", F.coalesce("root", "fp").alias("root"))
+    names = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = roots.join(names, "root").select("fp", "rows", "component_id")
+    return with_group(rows, named, "fp", "rows").select(id_col, "fp", "component_id")
+
+
+def dedupe(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, crowded: int = CROWDED) -> DataFrame:
+    """The rows of docs that stay, with all their columns: of each group the one with the smallest id. A row that is
+    repeated, or an id whose texts have one fingerprint, stays once; an id that has texts of several groups stays in each
+    that it is the smallest of. Rows with a null id all stay, since nothing tells them apart. An empty table gives an
+    empty result."""
+    (fp,) = free_names(docs, "fp")
+    full = scratch_table(docs.withColumn(fp, fingerprint_of(text, words)), "fingerprinted")
+    named = full.where(F.col(id_col).isNotNull()).select(F.col(id_col), F.col(fp).alias("fp"))
+    kept = grouped(named, id_col, crowded).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col), F.col("fp").alias(fp)).distinct()
+    stay = full.join(kept, [id_col, fp], "left_semi").dropDuplicates([id_col, fp])
+    return stay.unionByName(full.where(F.col(id_col).isNull())).select(*docs.columns)
 
 
 def as_hex(fp: str = "fp") -> Column:
