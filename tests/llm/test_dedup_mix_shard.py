@@ -293,3 +293,11 @@ def test_near_groups(spark, awkward):
     kept = simhash.dedupe(df)
     assert kept.columns == df.columns and Counter(r.doc_id for r in kept.collect() if r.doc_id is not None) == Counter({i for k, i in smallest.items() if i is not None and any(r.doc_id == i for r in texts)} & {i for ids in [smallest.values()] for i in ids})
     assert simhash.near_groups(df.limit(0)).count() == 0
+
+
+def test_ids_with_several_texts_keep_each(spark):
+    texts = ["the quick brown fox jumps over the lazy dog", "completely other words stand in this second text here", "and a third one that is like none of those before"]
+    df = docs(spark, [(1, texts[0], "s"), (1, texts[1], "s"), (2, texts[1], "s"), (3, texts[2], "s"), (3, texts[2], "s")]).withColumn("__fp", F.lit("mine"))
+    kept = simhash.dedupe(df)
+    assert kept.columns == df.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(1, texts[0]), (1, texts[1]), (3, texts[2])])

@@ -9,6 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from brute import buckets_of, toxicity_scores
+
 from brightloom.llm import bpe, common, embedding, langid, lm, queries, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -88,16 +90,6 @@ def test_toxicity_held_out(spark):
     assert model.score(df.drop("score").limit(0)).count() == 0
 
 
-def grams_of(text):
-    """The distinct n-grams of characters of a text, between two spaces, in plain Python."""
-    low = " " + "".join(c.lower() if "A" <= c <= "Z" else c for c in text) + " "
-    return {low[i : i + n] for n in toxicity.NGRAMS for i in range(len(low) - n + 1)}
-
-
-def bucket(gram):
-    return int(list(toxicity.hashes(np.array([*map(ord, gram)], np.uint32)))[toxicity.NGRAMS.index(len(gram))][0])
-
-
 def test_scores_like_brute_force():
     rng = np.random.default_rng(0)
     ratio, weights = rng.standard_normal(toxicity.BUCKETS), rng.standard_normal(toxicity.BUCKETS)
@@ -106,7 +98,7 @@ def test_scores_like_brute_force():
     raw = [t.encode() for t in texts]
     got = model.scores(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
     for t, s in zip(texts, got, strict=True):
-        at = np.array(sorted({bucket(g) for g in grams_of(t)}), int)
+        at = buckets_of(t)
         assert sorted(toxicity.features(t.encode()).tolist()) == at.tolist()
         assert s == pytest.approx(1 / (1 + math.exp(-(ratio[at] @ weights[at] / np.sqrt(ratio[at] @ ratio[at] + toxicity.SHORT) + 0.1))), abs=1e-5)
 
@@ -127,24 +119,16 @@ def test_toxicity_trains_like_brute_force(spark):
     model = toxicity.ToxicityModel.fit(df, labels)
     order = [r.doc_id for r in df.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id").collect()]
     truth = {i: (t, max(y, int(i == 5))) for i, t, y in rows}
-    sets = {i: np.array(sorted({bucket(g) for g in grams_of(truth[i][0])})) for i in order}
-    seen, n = np.zeros((2, toxicity.BUCKETS)), np.zeros(2)
-    for i in order:
-        seen[truth[i][1], sets[i]] += 1
-        n[truth[i][1]] += 1
-    prior, p = toxicity.PRIOR / n.sum(), toxicity.PRIOR
-    ratio = np.log((seen[1] + n[1] * prior) / (n[1] + p)) - np.log((seen[0] + n[0] * prior) / (n[0] + p))
-    w, bias = np.zeros(toxicity.BUCKETS), toxicity.LEAN
-    for _ in range(toxicity.ROUNDS):
-        for i in order:
-            x = ratio[sets[i]] / np.sqrt(ratio[sets[i]] @ ratio[sets[i]] + toxicity.SHORT)
-            step = toxicity.STEP * n.sum() / 2 / n[truth[i][1]] * (1 / (1 + math.exp(-(w[sets[i]] @ x + bias))) - truth[i][1])
-            w[sets[i]] -= step * x
-            bias = min(toxicity.LEAN, bias - 0.05 * step)
+    want = dict(zip(order, toxicity_scores([truth[i] for i in order], [truth[i][0] for i in order]), strict=True))
     got = {r.doc_id: r.score for r in model.score(df, keep=("doc_id",)).collect()}
-    for i in order:
-        x = ratio[sets[i]] / np.sqrt(ratio[sets[i]] @ ratio[sets[i]] + toxicity.SHORT)
-        assert got[i] == pytest.approx(1 / (1 + math.exp(-(w[sets[i]] @ x + bias))), abs=1e-4)
+    assert got == pytest.approx(want, abs=1e-4)
+
+
+def test_toxicity_query(spark):
+    got = queries.op1_toxicity(spark, SF).toPandas()
+    held = [zlib.crc32(str(i).encode()) % 5 == 0 for i in got.doc_id]
+    assert got.held_out.tolist() == held and got.score.between(0, 1).all() and ((got.score >= 0.5) == got.predicted).all()
+    assert len(got) == spark.read.parquet(f"{SF}/documents.parquet").count()
 
 
 def test_language_held_out(spark):

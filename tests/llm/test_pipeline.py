@@ -1,11 +1,14 @@
 """The pipeline's stages against brute force, each on its own input; queries with SQL against DuckDB."""
 
 import hashlib
+import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import pytest
+from brute import toxicity_scores
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -28,7 +31,13 @@ def test_stages(spark, tmp_path):
         if k < 4:
             assert frames[-1].columns == columns
     raw, clean, exact, near, mixed, encoded = map(rows_of, frames)
-    assert {r["doc_id"] for r in clean} <= {r["doc_id"] for r in raw}
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    order = [r.doc_id for r in docs.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id").collect()]
+    text = {r["doc_id"]: r["text"] for r in raw}
+    taught = [(text[i], toxic[i]) for i in order if i in toxic and zlib.crc32(str(i).encode()) % 5]
+    scores = dict(zip(order, toxicity_scores(taught, [text[i] for i in order]), strict=True))
+    stay = Counter(r["doc_id"] for r in clean)
+    assert all((s < 0.5) == bool(stay[i]) for i, s in scores.items() if abs(s - 0.5) > 1e-4)
 
     best = defaultdict(int)
     for r in clean:
@@ -65,9 +74,30 @@ def test_stages(spark, tmp_path):
         assert np.frombuffer(r["ids"], "<u4").tolist() == ids and r["decoded_sha256"] == hashlib.sha256(tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
-def test_run_is_the_stages_in_turn(spark):
-    out = entry.queries()["pipeline"](spark, SF)
-    assert {"doc_id", "ids", "n_tokens"} <= set(out.columns) and out.count() > 0
+    # run() is those stages in turn.
+    digest = lambda rows: Counter((r["doc_id"], r["source"], r["lang"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in rows)
+    assert digest(rows_of(entry.queries()["pipeline"](spark, SF))) == digest(encoded)
+
+
+def test_stages_on_awkward_rows(spark):
+    long = " ".join(f"word{i % 977}." for i in range(30_000))
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (3, long, None, "s", 1), (None, "Abc def ghi", "en", None, 3), (4, "Abc def ghi", "en", "t", 3), (5, "abc DEF ghi", "en", "t", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit("mine") for c in ("score", "size", "fp", "row", "kept", "__fp", "__recipe", "copies")})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert name == "bpe" or out.columns == docs.columns
+        got = out.collect()
+        ids = Counter(r.doc_id for r in got)
+        if name == "toxicity":
+            assert len(got) == len(rows)
+        elif name == "exact_dedup":
+            assert ids == Counter([2, 3, 5])  # null texts are empty ones; of the rest the largest id stays
+        elif name == "simhash_dedup":
+            assert set(ids) == {1, 3, None, 4, 5} - ({5} if ids[5] == 0 else {4}) and ids[1] == 1
+        elif name == "bpe":
+            assert len(got) == len(rows) and {r.n_tokens for r in got if r.doc_id == 2} == {0}
+        empty = stage(spark, docs.limit(0), SF)
+        assert empty.count() == 0
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
