@@ -27,15 +27,14 @@ from pyspark.sql import types as T
 from brightloom.llm.common import most_frequent, pieces, scratch_table, tidied
 
 #: Classes of frequent words and entries in each; the same for all other words, by hashes of their first and of their last
-#: bytes; rows of hashed word pairs; weights of entries.
-CLASSES, PER, AFFIX, PAIRS, WEIGHTS = 32, 32, 2, 1 << 13, 1 << 18
+#: bytes; rows of hashed word pairs; hashed rows of weights, one for each entry of a class.
+CLASSES, PER, AFFIX, PAIRS, WEIGHTS = 32, 32, 2, 1 << 13, 1 << 14
 #: Bytes of text in a block and documents at most; tokens of an update; step; partial results that one task adds up.
 BLOCK, BLOCK_DOCS, TOKENS, STEP, FAN_IN, CHUNKS = 1 << 23, 60_000, 8192, 0.15, 64, 16
 #: Entries of frequent words, and in all; what stands before a text is one symbol more.
 SIZE, ENTRIES = CLASSES * PER, 2 * CLASSES * PER
 SYMBOLS = ENTRIES + 1
 ROWS = 2 * SYMBOLS + PAIRS
-WORD_HASHES = (np.arange(ENTRIES, dtype=np.uint32) * np.uint32(0x85EBCA6B)).reshape(2 * CLASSES, PER)
 END = b""
 
 
@@ -165,8 +164,8 @@ def count_sums(blocks: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 class Maxent:
-    """Parameters: biases of classes and entries from counts, rows of class weights for each feature, and a hashed table
-    of weights of features and entries. head: the frequent words; shared: for each other entry, the tokens and distinct
+    """Parameters: biases of classes and entries from counts, rows of class weights for each feature, and hashed rows of
+    the entries' weights for each feature and class. head: the frequent words; shared: for each other entry, the tokens and distinct
     words of the training texts that share it."""
 
     def __init__(self, head: list[tuple[bytes, int]], shared: np.ndarray):
@@ -181,7 +180,7 @@ class Maxent:
         self.class_bias = np.log(total / total.sum()).astype(np.float32)
         with np.errstate(divide="ignore"):
             self.word_bias = np.maximum(np.log(mass), -60).astype(np.float32)
-        self.rows, self.weights = np.zeros((ROWS, 2 * CLASSES), np.float32), np.zeros(WEIGHTS, np.float32)
+        self.rows, self.weights = np.zeros((ROWS, 2 * CLASSES), np.float32), np.zeros((WEIGHTS, PER), np.float32)
 
     def sequence(self, words: list[bytes]) -> np.ndarray:
         """The entries of a text's words and its end; a number below SIZE is a word's own."""
@@ -202,13 +201,14 @@ class Maxent:
         return one, SYMBOLS + two, 2 * SYMBOLS + both.astype(np.int64)
 
     def places(self, features: tuple, cls: np.ndarray) -> list[np.ndarray]:
-        """For each feature, where the weights of all entries of each token's class are."""
-        words, out = WORD_HASHES[cls], []
+        """For each feature, the row with the weights of all entries of each token's class."""
+        out, own = [], cls.astype(np.uint32) * np.uint32(0x85EBCA6B)
         for f in features:
-            h = (f.astype(np.uint32) * np.uint32(0x9E3779B1))[:, None] + words
+            h = (f.astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1) + own
             h ^= h >> np.uint32(15)
-            h &= np.uint32(WEIGHTS - 1)
-            out.append(h)
+            h *= np.uint32(0x2C1B3C6D)
+            h ^= h >> np.uint32(13)
+            out.append((h & np.uint32(WEIGHTS - 1)).astype(np.int64))
         return out
 
     def class_scores(self, features: tuple) -> np.ndarray:
@@ -237,23 +237,29 @@ class Maxent:
         places = self.places(features, cls)
         error = _errors(self.class_scores(features), cls)
         for f in features:
-            # Sums over the tokens of each feature that occurs.
-            order = np.argsort(f, kind="stable")
-            found, first, times = np.unique(f[order], return_index=True, return_counts=True)
-            g = np.add.reduceat(error[order], first, axis=0)
+            found, times, g = _sums(error, f)
             seen["row_squares"][found] += (g * g).mean(1)
             self.rows[found] -= g * (STEP / np.sqrt(seen["row_squares"][found]))[:, None]
             seen["row_times"][found] += times
-        error = _errors(self.word_scores(places, cls), sequence % PER).ravel().astype(np.float64)
-        g = sum(np.bincount(p.ravel(), error, WEIGHTS) for p in places).astype(np.float32)
-        seen["weight_squares"] += g * g
-        self.weights -= STEP * g / np.sqrt(seen["weight_squares"])
-        seen["weight_times"] += g != 0
+        error = _errors(self.word_scores(places, cls), sequence % PER)
+        for p in places:
+            found, times, g = _sums(error, p)
+            seen["weight_squares"][found] += g * g
+            self.weights[found] -= g * (STEP / np.sqrt(seen["weight_squares"][found]))
+            seen["weight_times"][found] += times
+
+
+def _sums(error: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places that occur, how often, and the sums of the rows of each."""
+    order = np.argsort(at, kind="stable")
+    ordered = at[order]
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    return ordered[first], np.diff(np.append(first, len(at))), np.add.reduceat(error[order], first, axis=0)
 
 
 def fresh() -> dict:
     """What updates keep account of, before the first."""
-    return {"row_squares": np.full(ROWS, 1e-4, np.float32), "row_times": np.zeros(ROWS), "weight_squares": np.full(WEIGHTS, 1e-2, np.float32), "weight_times": np.zeros(WEIGHTS)}
+    return {"row_squares": np.full(ROWS, 1e-4, np.float32), "row_times": np.zeros(ROWS), "weight_squares": np.full((WEIGHTS, PER), 1e-2, np.float32), "weight_times": np.zeros(WEIGHTS)}
 
 
 def _log_of(z: np.ndarray, chosen: np.ndarray) -> np.ndarray:
@@ -332,7 +338,7 @@ def train(rows: DataFrame, head: list[tuple[bytes, int]], shared: np.ndarray, pa
             for c in range(CHUNKS):
                 (a, b), (x, y) = ((k[c], k[c + 1]) for k in cuts)
                 den = np.append(seen["row_times"][a:b], seen["weight_times"][x:y])
-                num = np.append((local.rows[a:b] * seen["row_times"][a:b, None]).ravel(), local.weights[x:y] * seen["weight_times"][x:y])
+                num = np.append((local.rows[a:b] * seen["row_times"][a:b, None]).ravel(), (local.weights[x:y] * seen["weight_times"][x:y, None]).ravel())
                 parts.append((c, part, num.astype(np.float32).tobytes(), den.astype(np.float32).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*parts, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["chunk", "part", "num", "den"])
 
@@ -346,9 +352,9 @@ def train(rows: DataFrame, head: list[tuple[bytes, int]], shared: np.ndarray, pa
         for r in partial.collect():
             (a, b), (x, y) = ((k[r.chunk], k[r.chunk + 1]) for k in cuts)
             num, den = np.frombuffer(bytes(r.num), np.float32), np.frombuffer(bytes(r.den), np.float32)
-            wide = np.append(np.repeat(den[: b - a], 2 * CLASSES), den[b - a :])
+            wide = np.append(np.repeat(den[: b - a], 2 * CLASSES), np.repeat(den[b - a :], PER))
             mean = np.divide(num, wide, out=np.zeros_like(num), where=wide > 0).astype(np.float32)
-            model.rows[a:b], model.weights[x:y] = mean[: (b - a) * 2 * CLASSES].reshape(b - a, -1), mean[(b - a) * 2 * CLASSES :]
+            model.rows[a:b], model.weights[x:y] = mean[: (b - a) * 2 * CLASSES].reshape(b - a, -1), mean[(b - a) * 2 * CLASSES :].reshape(y - x, -1)
         sent.unpersist()
     return model
 
