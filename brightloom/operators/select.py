@@ -15,7 +15,8 @@ def seeded(seed: int, key: str):
 
 def round_robin(df: DataFrame, group: str, key: str, n: int) -> DataFrame:
     """The first of each group, then the second of each, and so on, until there are n."""
-    return numbered(df, [group], [key]).orderBy("rn", group, key).limit(n)
+    # No group gives more than n: Spark keeps that many of each before it deals groups out, and sorts those alone.
+    return numbered(df, [group], [key]).where(F.col("rn") <= n).orderBy("rn", group, key).limit(n)
 
 
 def group_head(df: DataFrame, keys: list[str], key: str, n: int = 1, seed: int = 42) -> DataFrame:

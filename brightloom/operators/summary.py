@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 STATS = {"count": F.count, "mean": F.avg, "median": F.median, "std": F.stddev_samp, "min": F.min, "max": F.max}
@@ -43,9 +43,10 @@ def long_profile(df: DataFrame, keys: list[str], features: list[str], stats=("me
 def z_across_groups(df: DataFrame, key: str, features: list[str], stat: str = "mean") -> DataFrame:
     """Each group's mean or median, standardised over the groups (sample deviation)."""
     groups = group_summary(df, [key], features, (stat,))
-    over = Window.partitionBy()
-    z = {f: F.try_divide(F.col(f"{f}_{stat}") - F.avg(f"{f}_{stat}").over(over), F.stddev_samp(f"{f}_{stat}").over(over)) for f in features}
-    return groups.select(key, *[c.alias(f"{f}_z") for f, c in z.items()])
+    # One row of moments, which is joined back.
+    moments = groups.agg(*[c for i, f in enumerate(features) for c in (F.avg(f"{f}_{stat}").alias(f"__m{i}"), F.stddev_samp(f"{f}_{stat}").alias(f"__s{i}"))])
+    z = [F.try_divide(F.col(f"{f}_{stat}") - F.col(f"__m{i}"), F.col(f"__s{i}")).alias(f"{f}_z") for i, f in enumerate(features)]
+    return groups.crossJoin(F.broadcast(moments)).select(key, *z)
 
 
 def histogram(df: DataFrame, key: str, feature: str, bins: int = 25, shared: bool = True) -> DataFrame:
