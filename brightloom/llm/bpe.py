@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brightloom.llm.common import most_frequent, pieces, tidied
+from brightloom.llm.common import most_frequent, pieces, released, tidied
 
 #: Words in the lexicon; bytes of text taken up at a time; distinct words that a task counts before it hands them on.
-LEXICON, PIECE, COUNTED = 32_768, 1 << 19, 50_000
+LEXICON, PIECE, COUNTED = 32_768, 1 << 18, 50_000
 #: Longer words aren't merged in a batch but one by one, over a heap.
 BATCHED = 48
 NONE = np.iinfo(np.int32).max
@@ -513,6 +513,8 @@ class Codec:
                         text_of = [decode_ids(v, ids[a:b]).tobytes().decode("utf-8", "replace") for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
                         cols.append(pa.array(text_of, pa.string()))
                     yield pa.RecordBatch.from_arrays(cols, [f.name for f in fields])
+                # Freed memory goes back between batches, not only at the end.
+                released()
 
         return docs.select(id_col, *keep, F.col(text).alias("__text")).mapInArrow(tidied(run), T.StructType(fields))
 

@@ -85,9 +85,8 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
     return df.repartition(max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *cols)
 
 
-def tidy() -> None:
-    """Gives freed memory back to the system: a Python worker stays for later tasks, of the JVM too, that need it."""
-    gc.collect()
+def released() -> None:
+    """Gives freed memory back to the system."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -95,6 +94,12 @@ def tidy() -> None:
         pass  # another C library
 
 
+def tidy() -> None:
+    """The same after garbage is collected: a Python worker stays for later tasks, of the JVM too, that need the memory."""
+    gc.collect()
+    released()
+
+
 def tidied(work):
     """A function of a task, over batches or over a group, that tidies up behind itself."""
 
