@@ -458,6 +458,7 @@ def frequent_words(docs: DataFrame, text: str, vocabulary: dict, most: int = LEX
                 counts.update([raw[s:e] for s, e in zip(starts[plain].tolist(), (starts + lengths)[plain].tolist(), strict=True)])
                 if len(counts) > COUNTED:
                     yield rows()
+                    released()
         yield rows()
 
     words = docs.select(F.col(text)).mapInArrow(tidied(count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
