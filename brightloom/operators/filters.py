@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brightloom.functions.clean import contains_any, finite
+from brightloom.operators.quantiles import quantiles
 
 
 class ContractError(ValueError):
@@ -40,7 +41,7 @@ def common_groups(df: DataFrame, keys: list[str], least: int) -> DataFrame:
 
 def cutoffs(df: DataFrame, wanted: list[tuple[str, str, float]]) -> DataFrame:
     """One row: the exact quantile of each (name, column, q)."""
-    return df.agg(*[F.percentile(c, F.lit(q)).alias(name) for name, c, q in wanted])
+    return quantiles(df, [], wanted)
 
 
 def extreme_in_both(df: DataFrame, first: tuple[str, str], second: tuple[str, str], part: float) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brightloom.operators.quantiles import joined, quantiles
 from brightloom.session import checkpointed
 
 #: What a border pixel adds to the perimeter, by the code that its neighbourhood sums up to.
@@ -109,8 +110,9 @@ def cleaned(px: DataFrame, radius: int = 5, object_part: float = 0.001, hole_par
 
 def intensity(px: DataFrame) -> DataFrame:
     """Mean, population deviation and percentiles inside the mask, and the same of a ring around it."""
-    inside = px.where("in").groupBy("image").agg(F.avg("v").alias("cell_mean"), F.stddev_pop("v").alias("cell_std"), F.percentile("v", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("q"))
-    return inside.select("image", "cell_mean", "cell_std", *[F.col("q")[i].alias(n) for i, n in enumerate(("cell_p05", "cell_p50", "cell_p95"))])
+    inside = px.where("in")
+    moments = inside.groupBy("image").agg(F.avg("v").alias("cell_mean"), F.stddev_pop("v").alias("cell_std"))
+    return joined(moments, quantiles(inside, ["image"], [("cell_p05", "v", 0.05), ("cell_p50", "v", 0.5), ("cell_p95", "v", 0.95)]), ["image"])
 
 
 def ring_intensity(px: DataFrame, radius: int = 5) -> DataFrame:

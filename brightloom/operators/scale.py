@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brightloom.functions.clean import finite
 from brightloom.operators.filters import varying_columns
+from brightloom.operators.quantiles import medians
 
 
 def zscore(df: DataFrame, features: list[str], suffix: str = "") -> DataFrame:
@@ -17,7 +18,7 @@ def zscore(df: DataFrame, features: list[str], suffix: str = "") -> DataFrame:
 
 
 def impute_median(df: DataFrame, features: list[str]) -> DataFrame:
-    m = df.agg(*[F.median(c).alias(f"__m{i}") for i, c in enumerate(features)])
+    m = medians(df, [], features).toDF(*[f"__m{i}" for i in range(len(features))])
     return df.crossJoin(F.broadcast(m)).withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"__m{i}")) for i, c in enumerate(features)}).drop(*[f"__m{i}" for i in range(len(features))])
 
 
@@ -30,4 +31,4 @@ def prepare_matrix(df: DataFrame, features: list[str]) -> tuple[DataFrame, list[
 
 def group_median_z(df: DataFrame, key: str, features: list[str]) -> DataFrame:
     scaled, kept = prepare_matrix(df, features)
-    return scaled.where(F.col(key).isNotNull()).groupBy(key).agg(*[F.median(c).alias(f"{c}_z") for c in kept])
+    return medians(scaled, [key], kept, "_z") if kept else scaled.select(key).dropna().distinct()

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-STATS = {"count": F.count, "mean": F.avg, "median": F.median, "std": F.stddev_samp, "min": F.min, "max": F.max}
+from brightloom.operators.quantiles import joined, medians, quantiles
+
+STATS = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
 
 
 def group_counts(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -15,13 +17,17 @@ def group_counts(df: DataFrame, keys: list[str]) -> DataFrame:
 def group_summary(df: DataFrame, keys: list[str], features: list[str], stats=("count", "median", "mean", "std")) -> DataFrame:
     """<feature>_<stat> for each group; groups with a null key are left out."""
     kept = df.dropna(subset=keys)
-    return kept.groupBy(*keys).agg(*[STATS[s](f).alias(f"{f}_{s}") for f in features for s in stats])
+    sums = [STATS[s](f).alias(f"{f}_{s}") for f in features for s in stats if s != "median"]
+    groups = kept.groupBy(*keys).agg(*sums) if sums else kept.select(*keys).distinct()
+    if "median" in stats:
+        groups = joined(groups, medians(kept, keys, features, "_median"), keys)
+    return groups.select(*keys, *[f"{f}_{s}" for f in features for s in stats])
 
 
 def describe(df: DataFrame, keys: list[str], feature: str) -> DataFrame:
-    q = F.percentile(feature, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.dropna(subset=keys).groupBy(*keys).agg(F.count(feature).alias("n"), F.avg(feature).alias("mean"), F.stddev_samp(feature).alias("std"), F.min(feature).alias("min"), q.alias("__q"), F.max(feature).alias("max"))
-    return out.select(*keys, "n", "mean", "std", "min", *[F.col("__q")[i].alias(n) for i, n in enumerate(("p25", "p50", "p75"))], "max")
+    out = df.dropna(subset=keys).groupBy(*keys).agg(F.count(feature).alias("n"), F.avg(feature).alias("mean"), F.stddev_samp(feature).alias("std"), F.min(feature).alias("min"), F.max(feature).alias("max"))
+    parts = quantiles(df, keys, [("p25", feature, 0.25), ("p50", feature, 0.5), ("p75", feature, 0.75)])
+    return joined(out, parts, keys).select(*keys, "n", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def crosstab(df: DataFrame, rows: str, columns: str, values: list, per_cent: bool = False) -> DataFrame:
@@ -61,8 +67,7 @@ def histogram(df: DataFrame, key: str, feature: str, bins: int = 25, shared: boo
 def box_stats(df: DataFrame, key: str, feature: str, reach: float = 1.5) -> DataFrame:
     """Quartiles, whiskers (the outermost values within `reach` quartile ranges) and the number beyond them."""
     rows = df.where(F.col(feature).isNotNull() & F.col(key).isNotNull())
-    q = rows.groupBy(key).agg(F.percentile(feature, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q = q.select(key, *[F.col("q")[i].alias(n) for i, n in enumerate(("q1", "med", "q3"))])
+    q = quantiles(rows, [key], [("q1", feature, 0.25), ("med", feature, 0.5), ("q3", feature, 0.75)])
     inside = F.col(feature).between(F.col("q1") - reach * (F.col("q3") - F.col("q1")), F.col("q3") + reach * (F.col("q3") - F.col("q1")))
     out = rows.join(q, key).groupBy(key, "q1", "med", "q3")
     return out.agg(F.min(F.when(inside, F.col(feature))).alias("whisker_low"), F.max(F.when(inside, F.col(feature))).alias("whisker_high"), F.count_if(~inside).alias("fliers"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -59,3 +60,11 @@ def checkpointed(df):
     """Cuts the lineage of df by writing it to the shared folder of checkpoints."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df, name: str = "table"):
+    """Writes df once to the shared folder and reads it back: later jobs neither make it again nor need the executors that
+    made it."""
+    path = f"{checkpoint_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
