@@ -33,8 +33,7 @@ def kmeans(df: DataFrame, features: list[str] | str, k: int = 4, seed: int = 42,
 
 
 def plane(df: DataFrame, features: list[str] | str, scaled: bool = True) -> DataFrame:
-    """Adds pc1 and pc2, the first two principal components. It takes the place of neighbour embeddings, which need all
-    rows in one process."""
+    """Adds pc1 and pc2, the first two principal components."""
     rows = as_vectors(df, features, scaled=scaled)
     out = PCA(k=2, inputCol="__vector", outputCol="__pc").fit(rows).transform(rows).withColumn("__pc", vector_to_array("__pc"))
     return out.withColumns({"pc1": F.col("__pc")[0], "pc2": F.col("__pc")[1]}).drop("__pc", "__vector")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brightloom.functions import clean, labels
-from brightloom.operators import bags, cells, filters, glm, joins, models, plotdata, raster, scale, select, summary
+from brightloom.operators import bags, cells, filters, glm, joins, models, neighbours, plotdata, raster, scale, select, summary
 from brightloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -463,6 +463,12 @@ def kmeans_groups(spark: SparkSession, sf: str) -> DataFrame:
     return models.kmeans(table(spark, sf, "embeddings").select("vec_id", "embedding"), "embedding", 4).select("vec_id", "cluster")
 
 
+@query()
+def neighbour_plane(spark: SparkSession, sf: str) -> DataFrame:
+    """Places in the plane by a graph of nearest neighbours."""
+    return rounded(neighbours.plane(table(spark, sf, "embeddings"), "vec_id", "embedding").withColumnRenamed("id", "vec_id"))
+
+
 @query()
 def plane_embedding(spark: SparkSession, sf: str) -> DataFrame:
     return models.plane(table(spark, sf, "embeddings").select("vec_id", "embedding"), "embedding").select("vec_id", "pc1", "pc2")
