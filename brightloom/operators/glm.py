@@ -12,11 +12,12 @@ from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brightloom.operators import joins
+from brightloom.operators.ranks import step_up
 
 Z95 = NormalDist().inv_cdf(0.975)
 
@@ -200,13 +201,14 @@ def _fitted(df: DataFrame, models: list[Model], cluster: str | None, small_sampl
 
 
 def false_discovery(df: DataFrame, p: str = "p", by: list[str] = (), key: list[str] = (), level: float = 0.05) -> DataFrame:
-    """Adds q (Benjamini and Hochberg) and significant, within each group of `by`; null p-values keep a null q."""
-    parts = [F.col(c) for c in by] + [F.col(p).isNull().alias("__none")]
-    by_p = Window.partitionBy(*parts).orderBy(F.col(p), *key)
-    tested = df.withColumn("__rank", F.row_number().over(by_p)).withColumn("__m", F.count(F.lit(1)).over(Window.partitionBy(*parts)))
-    q = F.min(F.col(p) * F.col("__m") / F.col("__rank")).over(Window.partitionBy(*parts).orderBy(F.desc("__rank")).rowsBetween(Window.unboundedPreceding, 0))
-    tested = tested.withColumn("q", F.when(F.col(p).isNotNull(), F.least(q, F.lit(1.0))))
-    return tested.withColumn("significant", F.coalesce(F.col("q") <= level, F.lit(False))).drop("__rank", "__m")
+    """Adds q (Benjamini and Hochberg) and significant, within each group of `by`; p-values that are null or NaN keep a null
+    q. Columns of these names give way. Groups may be of any size (see `ranks.step_up`)."""
+    rows = df.drop("q", "significant")
+    value = F.col(f"`{p}`").cast("double")
+    known = value.isNotNull() & ~F.isnan(value)
+    tested = step_up(rows.where(known), value, [F.col(f"`{c}`") for c in by], [F.col(f"`{c}`") for c in key])
+    out = tested.unionByName(rows.where(~F.coalesce(known, F.lit(False))), allowMissingColumns=True)
+    return out.withColumn("significant", F.coalesce(F.col("q") <= level, F.lit(False)))
 
 
 def _tested(effects: DataFrame, family: dict[str, list[str]], by: list[str] = ()) -> DataFrame:
@@ -221,8 +223,8 @@ def _tested(effects: DataFrame, family: dict[str, list[str]], by: list[str] = ()
 
 def feature_association(df: DataFrame, targets: list[str], features: list[str], cluster: str, families: dict[str, str] | None = None, covariates: list[str] = ()) -> DataFrame:
     """A model for each target and feature, with covariates beside it, all of them in common passes; q over all pairs'
-    features. Pairs that can't carry a model are left out. A target's family is binomial unless it is named."""
-    pairs = [Model(t, [f, *covariates], (families or {}).get(t, "binomial"), name=f"{t}~{f}") for t in targets for f in features]
+    features. Pairs that can't carry a model are left out. A target's family is gaussian unless it is named."""
+    pairs = [Model(t, [f, *covariates], (families or {}).get(t, "gaussian"), name=f"{t}~{f}") for t in targets for f in features]
     return _tested(fit(df, pairs, cluster, guard=True).where(F.col("term") != "Intercept"), {"is_feature": list(features)})
 
 

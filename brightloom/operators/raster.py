@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brightloom.operators.graph import connected
 from brightloom.operators.quantiles import joined, quantiles
-from brightloom.session import checkpointed
+from brightloom.session import checkpointed, stored
 
 #: What a border pixel adds to the perimeter, by the code that its neighbourhood sums up to.
 PERIMETER = {1.0: (5, 7, 15, 17, 25, 27), 2**0.5: (21, 33), (1 + 2**0.5) / 2: (13, 23)}
@@ -53,24 +54,31 @@ def eroded(px: DataFrame, radius: int) -> DataFrame:
     return dilated(outside, radius).withColumn("in", ~F.col("in"))
 
 
-def components(px: DataFrame, neighbours=EIGHT, rounds: int = 1000) -> DataFrame:
-    """Adds component, the smallest y * 2**32 + x of the inside pixels that are joined with this one through any of the
-    neighbours. Labels spread along whole runs of rows and columns in each round, then to the neighbours given."""
-    own = px.where("in").select("image", "y", "x", (F.col("y").cast("long") * (1 << 32) + F.col("x")).alias("label"))
-    for a, b in (("y", "x"), ("x", "y")):
-        step = Window.partitionBy("image", a).orderBy(b)
-        own = own.withColumn(f"run_{a}", F.col(b) - F.row_number().over(step))
-    own, before = checkpointed(own), None
-    for _ in range(rounds):
-        own = own.repartition("image")  # once for all windows of a round
-        for a in ("y", "x", "y", "x"):
-            own = own.withColumn("label", F.min("label").over(Window.partitionBy("image", a, f"run_{a}")))
-        near = shifted(own, neighbours, "label").groupBy("image", "y", "x").agg(F.min("label").alias("near"))
-        own = checkpointed(own.join(near, ["image", "y", "x"], "left").withColumn("label", F.least("label", "near")).drop("near"))
-        if (now := tuple(own.agg(F.sum("label"), F.bit_xor(F.xxhash64("image", "y", "x", "label"))).first())) == before:
-            break
-        before = now
-    return px.join(own.select("image", "y", "x", F.col("label").alias("component")), ["image", "y", "x"], "left")
+def touching(runs: DataFrame, diagonal: bool) -> DataFrame:
+    """(image, a, b): labels of runs (image, y, label, lo, hi) of neighbouring rows of an image that lie beside each other.
+    Of two such runs the one that starts later starts within the other, which is the last of its row to start before."""
+    sides = F.explode(F.array(F.struct(F.col("y").alias("pair"), F.lit(0).alias("side")), F.struct((F.col("y") - 1).alias("pair"), F.lit(1).alias("side")))).alias("s")
+    rows = runs.select("image", "label", "lo", "hi", sides).select("image", "label", "lo", "hi", "s.*")
+    upto = Window.partitionBy("image", "pair").orderBy("lo", "side").rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda side: F.last(F.when(F.col("side") == side, F.struct("label", "hi")), ignorenulls=True).over(upto)
+    beside = rows.select("image", F.col("label").alias("a"), "lo", F.when(F.col("side") == 0, last(1)).otherwise(last(0)).alias("other"))
+    return beside.where(F.col("other.hi") + int(diagonal) >= F.col("lo")).select("image", "a", F.col("other.label").alias("b"))
+
+
+def components(px: DataFrame, neighbours=EIGHT) -> DataFrame:
+    """Adds component, the smallest y * 2**32 + x of the inside pixels that are joined with this one through all eight, or
+    the four nearest, neighbours; null outside. Runs of pixels in a row are the vertices of a graph, whose links are runs
+    that touch in the next row, so that rounds grow with the logarithm of their number and not with a path's turns."""
+    along = Window.partitionBy("image", "y").orderBy("x")
+    own = px.where("in").select("image", "y", "x", (F.col("x") - F.row_number().over(along)).alias("run"))
+    label = F.col("y").cast("long") * (1 << 32) + F.min("x").over(Window.partitionBy("image", "y", "run"))
+    own = stored(own.select("image", "y", "x", label.alias("label")), "runs")
+    runs = own.groupBy("image", "y", "label").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    links = touching(runs, (1, 1) in neighbours)
+    roots = connected(links.select(F.struct("image", F.col("a").alias("label")).alias("a"), F.struct("image", F.col("b").alias("label")).alias("b")))
+    roots = roots.select("id.image", "id.label", F.col("root.label").alias("root"))
+    own = own.join(roots, ["image", "label"], "left").select("image", "y", "x", F.coalesce("root", "label").alias("component"))
+    return px.join(own, ["image", "y", "x"], "left")
 
 
 def largest(px: DataFrame) -> DataFrame:

@@ -397,7 +397,7 @@ def feature_association(spark: SparkSession, sf: str) -> DataFrame:
     df = table(spark, sf, "lineitem").select("l_suppkey", *[(F.col("l_returnflag") == f).cast("int").alias(f"flag_{f}") for f in "ANR"], "l_quantity", "l_discount", "l_tax")
     # A flat column and a target that never occurs can't carry a model and drop out.
     df = df.withColumns({"l_flat": F.lit(1.0), "flag_X": F.lit(0)})
-    return _tested(glm.feature_association(scale.zscore(df, ["l_quantity", "l_discount", "l_tax"]), ["flag_A", "flag_N", "flag_R", "flag_X"], ["l_quantity", "l_discount", "l_tax", "l_flat"], "l_suppkey"))
+    return _tested(glm.feature_association(scale.zscore(df, ["l_quantity", "l_discount", "l_tax"]), ["flag_A", "flag_N", "flag_R", "flag_X"], ["l_quantity", "l_discount", "l_tax", "l_flat"], "l_suppkey", dict.fromkeys(("flag_A", "flag_N", "flag_R", "flag_X"), "binomial")))
 
 
 _COUNTS = " UNION ALL ".join(f"SELECT 'c_{k}' AS target, 'building' AS term, c_custkey AS g, c_{k} AS y, (c_mktsegment = 'BUILDING')::INT AS x, ln(n) AS o FROM bags" for k in (1, 2, 3))
