@@ -23,7 +23,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one class that may be sorted for the last places among the most frequent.
 FEW = 1 << 16
 
-#: A key of more than one row in so many is hot; bytes of a key that is sent to all tasks.
+#: A key of more than one row in so many is hot; bytes, as JSON, of a row about it that is sent to all tasks.
 HOT, HOT_BYTES = 4096, 4096
 
 
@@ -53,6 +53,11 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def quoted(names) -> list[Column]:
+    """Columns by their names, whatever these hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in names]
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """Names for columns of one's own that no column of df has."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -67,16 +72,17 @@ def with_group(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataF
     """rows joined with the row of groups that has their key; size: the column of groups that counts the rows of a key.
 
     A key that more than one row in HOT has, of which there are fewer than HOT, doesn't meet its rows in one task: such
-    rows of groups go to wherever their rows are, if their keys are short enough to be sure of what that takes.
+    rows of groups go to wherever their rows are, if they are all short enough to be sure of what that takes. Long keys
+    come as digests.
     """
     groups = scratch_table(groups, "groups")
     total = groups.agg(F.sum(size)).first()[0] or 0
-    width = F.octet_length(key) if dict(groups.dtypes)[key] in ("binary", "string") else F.lit(8)
-    few = (F.col(size) > max(1, total // HOT)) & (width <= HOT_BYTES)
-    hot = scratch_table(groups.where(few), "hot-groups")
+    hot = groups.where(F.col(size) > max(1, total // HOT))
+    hot = scratch_table(hot.where(F.octet_length(F.to_json(F.struct("*"))) <= HOT_BYTES), "hot-groups")
     if hot.isEmpty():
         return rows.join(groups, key)
-    cool = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.where(~few), key)
+    keys = F.broadcast(hot.select(key))
+    cool = rows.join(keys, key, "left_anti").join(groups.join(keys, key, "left_anti"), key)
     return rows.join(F.broadcast(hot), key).unionByName(cool)
 
 

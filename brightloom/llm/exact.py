@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brightloom.llm.common import ascii_lower, free_names, scratch_table, text_or_empty, with_group
+from brightloom.llm.common import ascii_lower, free_names, quoted, scratch_table, text_or_empty, with_group
 
 #: One unit (a sentence, a word where no sentence ends) in so many ends a chunk; characters in which a sentence is to end,
 #: and of a chunk at most.
@@ -56,10 +56,10 @@ def with_recipe(docs: DataFrame, text: str = "text", digest: Callable[[Column],
     more = [ids, *([sha] if sha else [])]
     if text in kept:
         # Whole rows are written once; their texts are cut again for the check, rather than written twice.
-        out = scratch_table(out.select(*kept, *more), "recipes").withColumn(parts, chunks(ascii_lower(text_or_empty(text)), **how))
+        out = scratch_table(out.select(*quoted(kept), *more), "recipes").withColumn(parts, chunks(ascii_lower(text_or_empty(text)), **how))
     else:
         # Cut and hashed once; identifiers are checked against the chunks that were written beside them.
-        out = scratch_table(out.select(*kept, *more, parts), "chunks")
+        out = scratch_table(out.select(*quoted(kept), *more, parts), "chunks")
     # An outer inline: else Spark first cuts each text to see whether it has chunks.
     found = out.select(F.inline_outer(F.arrays_zip(F.col(ids).alias("digest"), F.col(parts).alias("chunk")))).where("digest is not null")
     untrusted = found.distinct().groupBy("digest").count().where("count > 1").select("digest")
@@ -83,9 +83,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **
     Other columns of docs don't matter. An empty table gives an empty result.
     """
     rows, recipe = with_recipe(docs.select(F.col(id_col), F.col(text)), text, sha="text_sha256", keep=[id_col], **how)
-    # What is grouped and joined are recipes, a small part of their texts.
+    # What is grouped are recipes, a small part of their texts; what is joined, as that of a long text is long, are digests.
     groups = rows.groupBy(recipe).agg(F.max(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return with_group(rows, groups, recipe, "group_size").select(id_col, "keep_id", "group_size", F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    (mark,) = free_names(rows, "mark")
+    marked = lambda df: df.withColumn(mark, F.unhex(F.sha2(recipe, 256))).drop(recipe)
+    return with_group(marked(rows), marked(groups), mark, "group_size").select(id_col, "keep_id", "group_size", F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def dedupe(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -93,6 +95,6 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -
     its own rows, so that a group of any size moves no more than one row from each task. Of rows with the same id any
     may stay; null ids count as the smallest; an empty table gives an empty result."""
     rows, recipe = with_recipe(docs, text, **how)
-    whole = F.struct(*[F.col(c) for c in docs.columns])
+    whole = F.struct(*quoted(docs.columns))
     best = rows.groupBy(recipe).agg(F.max_by(whole, F.struct(F.col(id_col))).alias("row"))
     return best.select("row.*")

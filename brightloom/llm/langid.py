@@ -17,9 +17,9 @@ from pyspark.sql import types as T
 from brightloom.llm.common import scratch_table, tidied
 
 UNKNOWN = "und"
-#: Documents sampled for each language's dictionary, the bytes of those that are preferred, the dictionary's size, to which
-#: every one of them adds a passage, and the languages that there may be.
-ROWS, SHORTEST, LONGEST, SIZE, LANGUAGES = 128, 200, 8000, 1 << 16, 2000
+#: Documents sampled for each language's dictionary, the characters of a long one that travel, the dictionary's size, to
+#: which every one of them adds a passage, and the languages that there may be.
+ROWS, LONGEST, SIZE, LANGUAGES = 128, 8000, 1 << 16, 2000
 #: Texts are compressed in pieces of so many bytes, each from the dictionary alone, so that a long text doesn't become
 #: its own dictionary. The margin is what the runner-up needs more, as a part; below NARROW a text is rejected.
 PIECE, LEVEL, MIN_MATCH, NARROW = 2048, 6, 3, 0.02
@@ -65,27 +65,26 @@ class LanguageModel:
 
     @classmethod
     def fit(cls, docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = ROWS) -> LanguageModel:
-        """Learns from the rows of docs with a language: a sample of at most `rows` documents of each, chosen by a hash,
-        those of moderate length first. Each teaches a passage from a place that a hash chooses, all of them equally long
+        """Learns from the rows of docs with a language: a sample of at most `rows` documents of each, chosen by a hash
+        alone, whatever their length. Each teaches a passage from a place that a hash chooses, all of them equally long
         together SIZE bytes; shorter documents teach whole. Rows that are null in either column or have no letter teach
         nothing. More than LANGUAGES values are taken for an error, since a dictionary of each goes to all tasks."""
         known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-        known = known.withColumn("taught", F.rlike("text", F.lit(r"\p{L}"))).withColumn("moderate", F.octet_length("text").between(SHORTEST, LONGEST))
-        counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("taught") & F.col("moderate")).alias("fair"), F.count_if(F.col("taught") & ~F.col("moderate")).alias("other"))
+        known = known.withColumn("taught", F.rlike("text", F.lit(r"\p{L}")))
+        counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if("taught").alias("able"))
         counts = scratch_table(counts, "languages")
         if (found := counts.count()) > LANGUAGES:
             raise ValueError(f"{found} values of {lang}, more than {LANGUAGES}")
         # A hash below a bound that lets about four times as many pass, then the first of those. The counts, one row for
         # each language, are broadcast: else all texts would first be dealt out by language.
-        draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-        near = lambda among: F.col("h") < F.lit(float(1 << 30)) * 4 * rows / F.greatest(F.col(among), F.lit(1))
-        wanted = F.when(F.col("moderate"), near("fair")).otherwise((F.col("fair") < rows) & near("other"))
+        draw = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30))
+        wanted = F.col("h") < F.lit(float(1 << 30)) * 4 * rows / F.greatest(F.col("able"), F.lit(1))
         passed = known.where("taught").withColumn("h", draw).join(F.broadcast(counts), "lang").where(wanted)
         # Of a long text a passage with letters travels, from a place that the hash chooses.
         spoken = F.regexp_replace("text", r"\P{L}+", " ")
         start = F.pmod(F.col("h"), F.greatest(F.char_length(spoken) - LONGEST, F.lit(1)))
         passed = passed.withColumn("text", F.when(F.octet_length("text") > LONGEST, F.substr(spoken, (start + 1).cast("int"), F.lit(LONGEST))).otherwise(F.col("text")))
-        first = Window.partitionBy("lang").orderBy(F.desc("moderate"), "h", "id")
+        first = Window.partitionBy("lang").orderBy("h", "id")
         chosen = passed.withColumn("k", F.row_number().over(first)).where(F.col("k") <= rows)
 
         def build(group: pd.DataFrame) -> pd.DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brightloom.llm.common import WORD, scratch_table, text_or_empty
+from brightloom.llm.common import WORD, quoted, scratch_table, text_or_empty
 from brightloom.llm.ranking import hash32, ranked, split_bits
 
 #: Weights of the sources, in their order and repeating; what the mix takes of all sizes; the most of a source.
@@ -49,7 +49,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     size = F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long")
     key = F.when(F.col(source).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source)))
     # What is kept travels in one column, so that no name of it meets one of ours.
-    sized = docs.select(F.struct(*[F.col(c) for c in kept]).alias("row"), size.alias("size"), key.alias("s"), F.col(id_col).alias("id"), F.col(source).alias("__source"))
+    sized = docs.select(F.struct(*quoted(kept)).alias("row"), size.alias("size"), key.alias("s"), F.col(id_col).alias("id"), F.col(source).alias("__source"))
     sized = sized.withColumn("class", F.expr("shiftleft(shiftright(size, greatest(length(bin(size)) - 5, 0)), greatest(length(bin(size)) - 5, 0))"))
     sized = sized.withColumn("hash", hash32("id"))
     small = scratch_table(sized.drop("row"), "mix-sizes")
@@ -74,4 +74,4 @@ def mixture(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: every row of docs as often as it is taken, with its own columns."""
     mixed = mix(docs, **how)
     copies = mixed.columns[-1]
-    return mixed.withColumn(copies, F.explode(F.expr(f"if({copies} > 0, sequence(1, {copies}), array())"))).select(*docs.columns)
+    return mixed.withColumn(copies, F.explode(F.expr(f"if({copies} > 0, sequence(1, {copies}), array())"))).select(*quoted(docs.columns))

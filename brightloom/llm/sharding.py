@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brightloom.llm.common import scratch_table, text_or_empty, with_group
+from brightloom.llm.common import quoted, scratch_table, text_or_empty, with_group
 from brightloom.llm.ranking import hash32, ranked, split_bits
 
 SHARDS, BITS, ACCURACY = 16, 4, 10_000
@@ -75,7 +75,7 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id"
     """
     body = text_or_empty(text)
     numeric = isinstance(docs.schema[id_col].dataType, T.IntegralType)
-    carried = [F.struct(*[F.col(c) for c in keep]).alias("row")] if keep else []
+    carried = [F.struct(*quoted(keep)).alias("row")] if keep else []
     rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("crc"), *[F.coalesce(F.col(m).cast("string"), F.lit("")).alias(f"m_{i}") for i, m in enumerate(metadata)], *carried)
     rows = scratch_table(rows.withColumn("hash", hash32("id")).withColumn("d_id", F.coalesce(F.col("id"), F.lit(0)) if numeric else F.lit(0)), "shard-rows")
     for i in range(len(metadata)):

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brightloom.llm.common import free_names, scratch_table, tidied, with_group
+from brightloom.llm.common import free_names, quoted, scratch_table, tidied, with_group
 from brightloom.llm.components import connected_components
 
 #: Words of a shingle, differing bits of a link, seed of the hash.
@@ -180,7 +180,7 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: i
     named = full.where(F.col(id_col).isNotNull()).select(F.col(id_col), F.col(fp).alias("fp"))
     kept = grouped(named, id_col, crowded).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col), F.col("fp").alias(fp)).distinct()
     stay = full.join(kept, [id_col, fp], "left_semi").dropDuplicates([id_col, fp])
-    return stay.unionByName(full.where(F.col(id_col).isNull())).select(*docs.columns)
+    return stay.unionByName(full.where(F.col(id_col).isNull())).select(*quoted(docs.columns))
 
 
 def as_hex(fp: str = "fp") -> Column:

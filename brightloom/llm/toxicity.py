@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brightloom.llm.bpe import text_bytes
-from brightloom.llm.common import pieces, scratch_table, tidied
+from brightloom.llm.common import free_names, pieces, quoted, scratch_table, tidied
 
 #: Lengths of n-grams in characters, hash buckets, labelled texts of each class that are learned from at most.
 NGRAMS, BUCKETS, SAMPLE = (3, 4, 5, 6, 7), 1 << 20, 10_000
@@ -220,11 +220,12 @@ class ToxicityModel:
             yield from tidied(of_batches)(texts)
 
         run.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
-        return docs.select(*kept, F.arrow_udf(run, T.DoubleType())(F.col(text)).alias(out))
+        return docs.select(*quoted(kept), F.arrow_udf(run, T.DoubleType())(F.col(text)).alias(out))
 
 
 def clean(docs: DataFrame, labels: DataFrame, training: DataFrame | None = None, threshold: float = 0.5, **how) -> DataFrame:
     """The rows of docs that score below the threshold, with all their columns; training: where to learn, if not all of
     docs. Null and empty texts stay, repeated rows fare alike, an empty table gives an empty result."""
     model = ToxicityModel.fit(docs if training is None else training, labels, **how)
-    return model.score(docs, out="__toxic").where(F.col("__toxic") < threshold).drop("__toxic")
+    (score,) = free_names(docs, "toxic")
+    return model.score(docs, out=score).where(F.col(score) < threshold).drop(score)
