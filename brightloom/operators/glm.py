@@ -7,7 +7,7 @@ k * (k + 1) / 2 + k numbers for each model.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from statistics import NormalDist
 
@@ -17,12 +17,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brightloom.operators import joins
+from brightloom.operators.filters import ContractError
 from brightloom.operators.ranks import step_up
 
 Z95 = NormalDist().inv_cdf(0.975)
 
 #: Models whose sums are taken in one pass.
 TOGETHER = 64
+#: Levels that a text or boolean term may have.
+LEVELS = 64
 #: Below this a feature's greatest absolute value or its population variance can't carry a model.
 ALL_ZERO, NEAR_CONSTANT = 1e-8, 1e-10
 
@@ -42,12 +45,12 @@ class Model:
     converged: bool = False
 
     def columns(self) -> list[Column]:
-        return [F.lit(1.0), *[F.col(t).cast("double") for t in self.terms]]
+        return [F.lit(1.0), *[F.col(f"`{t}`").cast("double") for t in self.terms]]
 
     def usable(self) -> Column:
         ok = F.col(self.response).isNotNull()
         for c in [*self.terms, *([self.offset] if self.offset else [])]:
-            ok = ok & F.col(c).isNotNull()
+            ok = ok & F.col(f"`{c}`").isNotNull()
         return ok
 
     def shift(self) -> Column:
@@ -95,21 +98,36 @@ def _matrix(row, name: str, k: int) -> np.ndarray:
 
 
 def dummies(df: DataFrame, column: str) -> tuple[DataFrame, list[str]]:
-    """Indicators of all levels but the first in their order; the levels are few and come to the driver."""
-    levels = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).collect()]
+    """Indicators (column[level]) of all levels but the first in their order, null where the column is. The levels come
+    to the driver; more than LEVELS of them are an error."""
+    of = F.col(f"`{column}`")
+    levels = sorted(r[0] for r in df.select(of.alias("v")).where("v is not null").distinct().limit(LEVELS + 1).collect())
+    if len(levels) > LEVELS:
+        raise ContractError(f"{column} has more than {LEVELS} levels")
     names = {f"{column}[{v}]": v for v in levels[1:]}
-    return df.withColumns({n: F.when(F.col(column).isNotNull(), (F.col(column) == v).cast("double")) for n, v in names.items()}), list(names)
+    return df.withColumns({n: F.when(of.isNotNull(), (of == v).cast("double")) for n, v in names.items()}), list(names)
+
+
+def _expanded(df: DataFrame, models: list[Model]) -> tuple[DataFrame, list[Model]]:
+    """Text and boolean terms give way to indicators of their levels."""
+    kinds, levels = dict(df.dtypes), {}
+    for t in dict.fromkeys(t for m in models for t in m.terms if kinds.get(t) in ("string", "boolean")):
+        df, levels[t] = dummies(df, t)
+    return df, [replace(m, terms=[n for t in m.terms for n in levels.get(t, [t])]) for m in models] if levels else models
 
 
 def fit(df: DataFrame, models: list[Model], cluster: str | None = None, small_sample: bool = True, rounds: int = 50, tolerance: float = 1e-10, guard: bool = False) -> DataFrame:
     """A row for each term of each model: model, target, term, coef, se, p, ci_lo, ci_hi, exp_coef, exp_ci_lo, exp_ci_hi,
     effect, effect_lo, effect_hi (ratios, but for the gaussian family), family, nobs, deviance, pearson_chi2, converged.
 
-    Errors are robust, without a factor for few rows, which is how the usual libraries treat general linear models; or
+    A term of text or truth values stands for indicators of its levels but the first (see `dummies`). Errors are robust, without a factor for few rows, which is how the usual libraries treat general linear models; or
     clustered if a cluster column is named (with the factor G/(G-1) * (n-1)/(n-k) unless small_sample is off). Rows with
-    a null that a model needs don't take part in it; a model that can't be solved is left out, and with guard also one
+    a null that a model needs, or without a cluster, don't take part in it; a model that can't be solved is left out, and with guard also one
     whose response or a term is all about zero or next to constant over its rows.
     """
+    if cluster:
+        df = df.where(F.col(f"`{cluster}`").isNotNull())
+    df, models = _expanded(df, models)
     if len(models) > TOGETHER:
         return reduce(DataFrame.unionByName, [fit(df, models[i : i + TOGETHER], cluster, small_sample, rounds, tolerance, guard) for i in range(0, len(models), TOGETHER)])
     needed = {c for m in models for c in (m.response, *m.terms, *([m.offset] if m.offset else []))} | ({cluster} if cluster else set())
@@ -124,7 +142,7 @@ def fit(df: DataFrame, models: list[Model], cluster: str | None = None, small_sa
 def _carries(df: DataFrame, models: list[Model]) -> list[Model]:
     """The models none of whose columns is degenerate over the rows that it uses; one pass for all."""
     columns = [(i, c) for i, m in enumerate(models) for c in (m.response, *m.terms)]
-    of = lambda i, c: F.when(models[i].usable(), F.col(c).cast("double"))
+    of = lambda i, c: F.when(models[i].usable(), F.col(f"`{c}`").cast("double"))
     row = df.agg(*[f(of(i, c)).alias(f"{n}{k}") for k, (i, c) in enumerate(columns) for n, f in (("m", lambda x: F.max(F.abs(x))), ("v", F.var_pop))]).first()
     bad = {i for k, (i, _) in enumerate(columns) if row[f"m{k}"] is None or row[f"m{k}"] <= ALL_ZERO or row[f"v{k}"] < NEAR_CONSTANT}
     return [m for i, m in enumerate(models) if i not in bad]
@@ -225,7 +243,10 @@ def feature_association(df: DataFrame, targets: list[str], features: list[str],
     """A model for each target and feature, with covariates beside it, all of them in common passes; q over all pairs'
     features. Pairs that can't carry a model are left out. A target's family is gaussian unless it is named."""
     pairs = [Model(t, [f, *covariates], (families or {}).get(t, "gaussian"), name=f"{t}~{f}") for t in targets for f in features]
-    return _tested(fit(df, pairs, cluster, guard=True).where(F.col("term") != "Intercept"), {"is_feature": list(features)})
+    effects = fit(df, pairs, cluster, guard=True).where(F.col("term") != "Intercept")
+    # A pair whose feature has no error is left out whole.
+    sound = effects.where(F.col("term").isin(*features) & F.col("p").isNotNull()).select("model") if features else effects.select("model")
+    return _tested(effects.join(sound, "model", "left_semi"), {"is_feature": list(features)})
 
 
 def bag_association(design: DataFrame, outcomes: DataFrame, bag: str, targets: list[str], covariates: list[str] = (), use_global: bool = True, use_community: bool = False, families: dict[str, str] | None = None) -> DataFrame:

@@ -392,6 +392,19 @@ _SCALED = ", ".join(f"(l_{c} - avg(l_{c}) OVER ()) / stddev_pop(l_{c}) OVER () A
 _PAIRS = " UNION ALL ".join(f"SELECT 'flag_{f}' AS target, 'l_{c}' AS term, l_suppkey AS g, (l_returnflag = '{f}')::INT AS y, l_{c} AS x, 0 AS o FROM s" for f in "ANR" for c in ("quantity", "discount", "tax"))
 
 
+@query("""
+WITH r AS (SELECT l_returnflag AS g, l_quantity AS x, l_extendedprice / 1000 AS y FROM lineitem),
+m AS (SELECT g, avg(x) AS mx, avg(y) AS my FROM r GROUP BY g), a AS (SELECT * FROM m WHERE g = (SELECT min(g) FROM m)),
+d AS (SELECT x - mx AS dx, y - my AS dy FROM r JOIN m USING (g)), b AS (SELECT sum(dx * dy) / sum(dx * dx) AS b, sum(dx * dx) AS xx FROM d)
+SELECT 'l_quantity' AS term, round(b, 6) AS coef, round((SELECT sqrt(sum(dx * dx * (dy - b.b * dx) * (dy - b.b * dx))) FROM d) / xx, 6) AS se FROM b
+UNION ALL SELECT 'l_returnflag[' || m.g || ']', round(m.my - a.my - b * (m.mx - a.mx), 6), NULL FROM m, a, b WHERE m.g > a.g""")
+def glm_text_covariate(spark: SparkSession, sf: str) -> DataFrame:
+    """A covariate of text enters a model as indicators of its levels."""
+    rows = table(spark, sf, "lineitem").select("l_returnflag", "l_quantity", (F.col("l_extendedprice") / 1000).alias("price"))
+    effects = glm.fit(rows, [glm.Model("price", ["l_quantity", "l_returnflag"])]).where("term <> 'Intercept'")
+    return rounded(effects.select("term", "coef", F.when(F.col("term") == "l_quantity", F.col("se")).alias("se")))
+
+
 @query(f"WITH s AS (SELECT l_suppkey, l_returnflag, {_SCALED} FROM lineitem), {newton_sql(_PAIRS, 'binomial', True)} {tested_sql()}")
 def feature_association(spark: SparkSession, sf: str) -> DataFrame:
     df = table(spark, sf, "lineitem").select("l_suppkey", *[(F.col("l_returnflag") == f).cast("int").alias(f"flag_{f}") for f in "ANR"], "l_quantity", "l_discount", "l_tax")

@@ -31,36 +31,41 @@ class RunStore:
     def exists(self, name: str) -> bool:
         return bool(self._versions(name))
 
-    def save(self, name: str, df: DataFrame) -> DataFrame:
+    def save(self, name: str, df: DataFrame, mark: str = "") -> DataFrame:
         """Writes a new version in a folder of its own; only when that is complete (Spark's _SUCCESS file) do readers see
-        it, and only then do older versions go, so that a failure at any moment leaves the table before or after."""
+        it, and only then do older versions go, so that a failure at any moment leaves the table before or after. mark:
+        what the version is told by afterwards (see `marked`), letters and digits."""
         before = self._versions(name)
-        version = f"{self.base}/{name}/v{(before[-1] if before else 0) + 1:08d}"
-        df.write.mode("overwrite").parquet(version)
+        version = f"{self.base}/{name}/v{(int(before[-1][1:9]) if before else 0) + 1:08d}"
+        df.write.mode("overwrite").parquet(version + (f"-{mark}" if mark else ""))
         for old in before[:-1]:  # the one before stays for whoever still reads it
-            fs, p = self._fs(f"{self.base}/{name}/v{old:08d}")
+            fs, p = self._fs(f"{self.base}/{name}/{old}")
             fs.delete(p, True)
         return self.load(name)
 
-    def _versions(self, name: str) -> list[int]:
-        """Complete versions of a table, in their order."""
+    def marked(self, name: str, mark: str) -> bool:
+        """Whether the table's last version has this mark."""
+        versions = self._versions(name)
+        return bool(versions) and versions[-1][10:] == mark
+
+    def _versions(self, name: str) -> list[str]:
+        """Folders of complete versions of a table, in their order."""
         fs, p = self._fs(f"{self.base}/{name}")
         if not fs.exists(p):
             return []
         folders = [f.getPath().getName() for f in fs.listStatus(p)]
-        done = [f for f in folders if f[:1] == "v" and f[1:].isdigit() and self._has(f"{self.base}/{name}/{f}/_SUCCESS")]
-        return sorted(int(f[1:]) for f in done)
+        return sorted(f for f in folders if f[:1] == "v" and f[1:9].isdigit() and self._has(f"{self.base}/{name}/{f}/_SUCCESS"))
 
     def _has(self, path: str) -> bool:
         fs, p = self._fs(path)
         return fs.exists(p)
 
     def load(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.base}/{name}/v{self._versions(name)[-1]:08d}")
+        return self.spark.read.parquet(f"{self.base}/{name}/{self._versions(name)[-1]}")
 
-    def merge(self, name: str, rows: DataFrame, key: str) -> DataFrame:
+    def merge(self, name: str, rows: DataFrame, key: str, mark: str = "") -> DataFrame:
         """A manifest's new rows, with those before that weren't visited."""
-        return self.save(name, carried_over(rows, self.load(name), key) if self.exists(name) else rows)
+        return self.save(name, carried_over(rows, self.load(name), key) if self.exists(name) else rows, mark)
 
     def save_settings(self, stage: str, settings: dict, overwrite: bool = False) -> str:
         """Keeps a stage's settings; an error if others are kept already, unless they are to be replaced."""
