@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brightloom.functions import clean, labels
-from brightloom.operators import bags, cells, filters, glm, joins, models, neighbours, plotdata, raster, scale, select, summary
+from brightloom.operators import bags, cells, filters, glm, joins, models, neighbours, plotdata, preprocess, raster, scale, select, summary
 from brightloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -592,6 +592,71 @@ def raster_cleanup(spark: SparkSession, sf: str) -> DataFrame:
     return raster.cleaned(_pixels(spark, sf), radius=1).groupBy("image").agg(F.count_if("in").alias("area"))
 
 
+# ---- pictures made ready: each embedding is taken as a picture with 256 grey levels
+
+
+def _greys(spark: SparkSession, sf: str, width: int) -> DataFrame:
+    px = raster.pixels(table(spark, sf, "embeddings"), "vec_id", "embedding", width)
+    return px.withColumn("v", F.floor(F.col("v") * 255 + 0.5).cast("int"))
+
+
+def _greys_sql(width: int) -> str:
+    return f"{_PX}, g AS (SELECT image, (8 * y + x) // {width} AS y, (8 * y + x) % {width} AS x, floor(v * 255 + 0.5)::INT AS v FROM px)"
+
+
+@query(f"""
+WITH {_greys_sql(2)}, profile AS (SELECT image, y, avg((v < 55)::INT) AS dark, avg(v) AS mean FROM g WHERE y < 9 GROUP BY image, y),
+f AS (SELECT *, min(CASE WHEN dark >= 0.7::DOUBLE AND y >= 7 THEN y END) OVER (PARTITION BY image) AS since, abs(mean - lag(mean) OVER (PARTITION BY image ORDER BY y)) AS step, avg(dark) OVER (PARTITION BY image ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM profile),
+s AS (SELECT *, min(CASE WHEN dark < 0.7::DOUBLE AND y > since THEN y END) OVER (PARTITION BY image) AS stop, row_number() OVER (PARTITION BY image ORDER BY round(step, 9) DESC NULLS LAST, y) AS place FROM f)
+SELECT image, greatest(coalesce(max(CASE WHEN dark >= 0.7::DOUBLE AND (stop IS NULL OR y < stop) THEN y + 1 END), 0), max(CASE WHEN place = 1 AND y BETWEEN 6 AND 7 AND above >= 0.55::DOUBLE THEN y ELSE 0 END))::INT AS bar FROM s GROUP BY image""")
+def top_bars(spark: SparkSession, sf: str) -> DataFrame:
+    return preprocess.top_bars(_greys(spark, sf, 2))
+
+
+_KERNEL = "SELECT i, exp(-(i * i) / (2 * {d} * {d})) / sum(exp(-(i * i) / (2 * {d} * {d}))) OVER () AS k FROM (SELECT unnest(range(-{r}, {r} + 1)) AS i)"
+_MIRROR = "CASE WHEN (({p} + o.i) % 14 + 14) % 14 < 8 THEN (({p} + o.i) % 14 + 14) % 14 ELSE 14 - (({p} + o.i) % 14 + 14) % 14 END"
+
+
+def _blur_sql(name: str, of: str, radius: int, deviation: float) -> str:
+    """Kernels along x, then y, of pictures of 8 by 8."""
+    return f"""k_{name} AS ({_KERNEL.format(r=radius, d=f"{deviation}::DOUBLE")}),
+x_{name} AS (SELECT a.image, a.y, a.x, sum(o.k * b.v) AS v FROM {of} a, k_{name} o, {of} b WHERE b.image = a.image AND b.y = a.y AND b.x = {_MIRROR.format(p="a.x")} GROUP BY a.image, a.y, a.x),
+{name} AS (SELECT a.image, a.y, a.x, floor(round(sum(o.k * b.v), 6) + 0.5)::INT AS v FROM x_{name} a, k_{name} o, x_{name} b WHERE b.image = a.image AND b.x = a.x AND b.y = {_MIRROR.format(p="a.y")} GROUP BY a.image, a.y, a.x)"""
+
+
+def _square_sql(name: str, of: str, radius: int, f: str) -> str:
+    return f"{name} AS (SELECT a.image, a.y, a.x, {f}(b.v) AS v FROM {of} a JOIN {of} b ON b.image = a.image AND abs(b.y - a.y) <= {radius} AND abs(b.x - a.x) <= {radius} GROUP BY a.image, a.y, a.x)"
+
+
+@query(f"""
+WITH RECURSIVE {_greys_sql(8)}, {_blur_sql("soft", "g", 3, 1.4)}, {_blur_sql("ground", "soft", 63, 21.0)},
+d AS (SELECT image, y, x, abs(soft.v - ground.v) AS v FROM soft JOIN ground USING (image, y, x)),
+h AS (SELECT image, v, sum(n) OVER up AS w1, sum(n * v) OVER up AS s1, sum(n) OVER al AS w, sum(n * v) OVER al AS s FROM (SELECT image, v, count(*) AS n FROM d GROUP BY image, v) WINDOW up AS (PARTITION BY image ORDER BY v), al AS (PARTITION BY image)),
+b AS (SELECT image, v, CASE WHEN w1 < w THEN ((w1 * s - w * s1)::DOUBLE * (w1 * s - w * s1)::DOUBLE) / (w1 * (w - w1))::DOUBLE END AS between_ FROM h),
+cut AS (SELECT image, coalesce(max(v) FILTER (place = 1 AND between_ > 0), 0) AS cut FROM (SELECT *, row_number() OVER (PARTITION BY image ORDER BY between_ DESC NULLS LAST, v) AS place FROM b) GROUP BY image),
+m0 AS (SELECT d.image, y, x, (d.v > cut)::INT AS v FROM d JOIN cut USING (image)), {_square_sql("m1", "m0", 4, "max")}, {_square_sql("m2", "m1", 4, "min")}, {_square_sql("m3", "m2", 2, "min")}, {_square_sql("m4", "m3", 2, "max")},
+inside AS (SELECT * FROM m4 WHERE v = 1),
+t(image, y, x, label) AS (SELECT image, y, x, y * 8 + x FROM inside UNION SELECT i.image, i.y, i.x, t.label FROM t JOIN inside i ON i.image = t.image AND abs(i.y - t.y) <= 1 AND abs(i.x - t.x) <= 1),
+c AS (SELECT image, y, x, min(label) AS component FROM t GROUP BY image, y, x),
+box AS (SELECT image, component, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS bw, max(y) - min(y) + 1 AS bh, count(*) AS area FROM c GROUP BY image, component),
+fit AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY round(area / (1 + 6 * (((x + bw / 2 - 4) / 8) ** 2 + ((y + bh / 2 - 4) / 8) ** 2)), 9) DESC, component) AS place FROM box WHERE area BETWEEN 0.256::DOUBLE AND 44.8::DOUBLE AND bw / bh BETWEEN 0.15::DOUBLE AND 6)
+SELECT vec_id AS image, x::INT AS x1, y::INT AS y1, (x + bw)::INT AS x2, (y + bh)::INT AS y2 FROM embeddings LEFT JOIN fit ON image = vec_id AND place = 1""")
+def cell_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    found = preprocess.cell_boxes(_greys(spark, sf, 8))
+    return found.select("image", *[F.col(c).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")])
+
+
+@query(f"""
+WITH RECURSIVE {_PX}, t(image, y, x, label) AS (SELECT image, y, x, y * 8 + x FROM ins UNION SELECT i.image, i.y, i.x, t.label FROM t JOIN ins i ON i.image = t.image AND abs(i.y - t.y) <= 1 AND abs(i.x - t.x) <= 1),
+c AS (SELECT image, y, x, min(label) AS component FROM t GROUP BY image, y, x),
+p AS (SELECT image, component, count(*) AS area, avg(y) AS cy, avg(x) AS cx FROM c GROUP BY image, component),
+o AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY round(area * (0.35::DOUBLE + 0.65::DOUBLE * (1 - least(1, sqrt((cy - 3.5) ** 2 + (cx - 3.5) ** 2) / (sqrt(128) / 2)))), 9) DESC, component) AS best, row_number() OVER (PARTITION BY image ORDER BY area DESC, component) AS largest, sum(area) OVER (PARTITION BY image) AS total, count(*) OVER (PARTITION BY image) AS n FROM p),
+k AS (SELECT image, area, total, n > 1 AND (area / total >= 0.85::DOUBLE OR largest = 1 AND area / total >= 0.72::DOUBLE AND total - area <= 16) AS dominant FROM o WHERE best = 1)
+SELECT vec_id AS image, coalesce(CASE WHEN dominant THEN area ELSE total END, 0)::BIGINT AS area, coalesce(dominant, false) AS dominant FROM embeddings LEFT JOIN k ON image = vec_id""")
+def raster_dominant(spark: SparkSession, sf: str) -> DataFrame:
+    return preprocess.dominant(_pixels(spark, sf), 4).groupBy("image").agg(F.count_if("in").alias("area"), F.bool_or("dominant").alias("dominant"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
