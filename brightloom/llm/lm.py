@@ -31,6 +31,8 @@ from brightloom.llm.common import most_frequent, pieces, scratch_table, tidied
 CLASSES, PER, AFFIX, PAIRS, WEIGHTS = 32, 32, 2, 1 << 13, 1 << 14
 #: Bytes of text in a block and documents at most; tokens of an update; step; partial results that one task adds up.
 BLOCK, BLOCK_DOCS, TOKENS, STEP, FAN_IN, CHUNKS = 1 << 23, 60_000, 8192, 0.15, 64, 16
+#: Rows of a place that are added up together with those of other places; words whose entry a task remembers.
+TOGETHER, REMEMBERED = 12, 1 << 16
 #: Entries of frequent words, and in all; what stands before a text is one symbol more.
 SIZE, ENTRIES = CLASSES * PER, 2 * CLASSES * PER
 SYMBOLS = ENTRIES + 1
@@ -163,6 +165,16 @@ def count_sums(blocks: DataFrame, counts: DataFrame) -> DataFrame:
 # ---- the maximum-entropy model
 
 
+class Entries(dict):
+    """The entry of each word: of frequent ones their own; of others one by a rule, remembered for the first that come."""
+
+    def __missing__(self, word: bytes) -> int:
+        entry = shared_entry(word)
+        if len(self) < REMEMBERED:
+            self[word] = entry
+        return entry
+
+
 class Maxent:
     """Parameters: biases of classes and entries from counts, rows of class weights for each feature, and hashed rows of
     the entries' weights for each feature and class. head: the frequent words; shared: for each other entry, the tokens and distinct
@@ -170,6 +182,7 @@ class Maxent:
 
     def __init__(self, head: list[tuple[bytes, int]], shared: np.ndarray):
         self.number = {w: i for i, (w, _) in enumerate(head)}
+        self.entries = Entries(self.number)
         counts = np.zeros(SIZE)
         counts[: len(head)] = [n for _, n in head]
         self.log_counts = np.log10(counts + 1)
@@ -184,8 +197,8 @@ class Maxent:
 
     def sequence(self, words: list[bytes]) -> np.ndarray:
         """The entries of a text's words and its end; a number below SIZE is a word's own."""
-        get = self.number.get
-        found = [shared_entry(w) if (k := get(w)) is None else k for w in words]
+        entry = self.entries
+        found = [entry[w] for w in words]
         found.append(self.number[END])
         return np.array(found, np.int64)
 
@@ -238,23 +251,37 @@ class Maxent:
         error = _errors(self.class_scores(features), cls)
         for f in features:
             found, times, g = _sums(error, f)
-            seen["row_squares"][found] += (g * g).mean(1)
-            self.rows[found] -= g * (STEP / np.sqrt(seen["row_squares"][found]))[:, None]
+            squares = seen["row_squares"][found] + np.einsum("ij,ij->i", g, g) / g.shape[1]
+            seen["row_squares"][found] = squares
+            g *= (STEP / np.sqrt(squares))[:, None]
+            self.rows[found] -= g
             seen["row_times"][found] += times
         error = _errors(self.word_scores(places, cls), sequence % PER)
         for p in places:
             found, times, g = _sums(error, p)
-            seen["weight_squares"][found] += g * g
-            self.weights[found] -= g * (STEP / np.sqrt(seen["weight_squares"][found]))
+            squares = seen["weight_squares"][found]
+            squares += g * g
+            seen["weight_squares"][found] = squares
+            g *= STEP
+            g /= np.sqrt(squares, out=squares)
+            self.weights[found] -= g
             seen["weight_times"][found] += times
 
 
 def _sums(error: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The places that occur, how often, and the sums of the rows of each."""
-    order = np.argsort(at, kind="stable")
+    """The places that occur, how often, and the sums of the rows of each. Most places occur a few times: the first rows of
+    all are added up together, then the second ones, and so on, and what frequent places have beyond that by itself."""
+    order = np.argsort(at.astype(np.uint16), kind="stable")
     ordered = at[order]
     first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-    return ordered[first], np.diff(np.append(first, len(at))), np.add.reduceat(error[order], first, axis=0)
+    times = np.diff(np.append(first, len(at)))
+    sums, more = error[order[first]], np.flatnonzero(times > 1)
+    for k in range(1, TOGETHER):
+        sums[more] += error[order[first[more] + k]]
+        more = more[times[more] > k + 1]
+    for i in more.tolist():
+        sums[i] += error[order[first[i] + TOGETHER : first[i] + times[i]]].sum(0)
+    return ordered[first], times, sums
 
 
 def fresh() -> dict:
@@ -266,7 +293,7 @@ def _log_of(z: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """The logarithm of each row's chosen entry of its softmax; z is used up."""
     z -= z.max(1, keepdims=True)
     picked = z[np.arange(len(z)), chosen].astype(np.float64)
-    return picked - np.log(np.exp(z, out=z).sum(1, dtype=np.float64))
+    return picked - np.log(np.exp(z, out=z).sum(1).astype(np.float64))
 
 
 def _errors(z: np.ndarray, chosen: np.ndarray) -> np.ndarray:
