@@ -150,21 +150,3 @@ def processed(files: DataFrame, records: DataFrame, image: str = "origin", faile
     known = files.select(F.col(image).alias("image"), bad.alias("bad")).join(records, "image", "left")
     error = F.when(F.col("bad") | F.col("raw_width").isNull(), "image could not be decoded")
     return known.select("*", F.when(error.isNull(), F.concat(F.lit("images/"), "image", F.lit(".png"))).alias("processed_path"), F.when(error.isNull(), "ok").otherwise("error").alias("preprocess_status"), F.coalesce(error, F.lit("")).alias("error")).drop("bad")
-
-
-def dominant(px: DataFrame, least_object: int) -> DataFrame:
-    """Narrows each mask to the component that is large and central, where it is most of the mask: 85 %, or 72 % if it is
-    also the largest and the rest is small. Adds dominant, whether that was done."""
-    found = stored(components(px, EIGHT), "parts")
-    size = found.groupBy("image").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
-    parts = found.where("component is not null").groupBy("image", "component").agg(F.count(F.lit(1)).alias("area"), F.avg("y").alias("cy"), F.avg("x").alias("cx")).join(size, "image")
-    away = F.sqrt((F.col("cy") - (F.col("h") - 1) / 2) ** 2 + (F.col("cx") - (F.col("w") - 1) / 2) ** 2) / (F.sqrt(F.col("h") ** 2 + F.col("w") ** 2) / 2)
-    score = F.round(F.col("area") * (0.35 + 0.65 * (1 - F.least(F.lit(1.0), away))), 9)
-    first = lambda by: F.max_by(F.struct("component", "area"), F.struct(by, -F.col("component")))
-    best = parts.groupBy("image", "h", "w").agg(first(score).alias("best"), first(F.col("area")).alias("largest"), F.sum("area").alias("total"), F.count(F.lit(1)).alias("n"))
-    part, rest = F.col("best.area") / F.col("total"), F.col("total") - F.col("best.area")
-    small = rest <= F.greatest(F.lit(4 * least_object), 0.04 * F.col("h") * F.col("w"))
-    keep = (F.col("n") > 1) & ((part >= 0.85) | ((F.col("best.component") == F.col("largest.component")) & (part >= 0.72) & small))
-    chosen = best.select("image", F.when(keep, F.col("best.component")).alias("chosen"))
-    out = found.join(chosen, "image", "left")
-    return out.withColumns({"in": F.col("in") & (F.col("chosen").isNull() | F.coalesce(F.col("component") == F.col("chosen"), F.lit(False))), "dominant": F.col("chosen").isNotNull()}).drop("component", "chosen")

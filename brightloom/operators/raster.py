@@ -99,10 +99,29 @@ def without_small(px: DataFrame, least: int, objects: bool = True) -> DataFrame:
     return px.join(marked.where("__small").select("image", "y", "x", F.lit(not objects).alias("__in")), ["image", "y", "x"], "left").withColumn("in", F.coalesce("__in", "in")).drop("__in")
 
 
-def cleaned(px: DataFrame, radius: int = 5, object_part: float = 0.001, hole_part: float = 0.01, relative: float = 0.08, absolute: float = 0.01) -> DataFrame:
+def dominant(px: DataFrame, least_object: int) -> DataFrame:
+    """Narrows each mask to the component that is large and central, where it is most of the mask: 85 %, or 72 % if it is
+    also the largest and the rest is small. Adds dominant, whether that was done."""
+    found = stored(components(px, EIGHT), "parts")
+    size = found.groupBy("image").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
+    parts = found.where("component is not null").groupBy("image", "component").agg(F.count(F.lit(1)).alias("area"), F.avg("y").alias("cy"), F.avg("x").alias("cx")).join(size, "image")
+    away = F.sqrt((F.col("cy") - (F.col("h") - 1) / 2) ** 2 + (F.col("cx") - (F.col("w") - 1) / 2) ** 2) / (F.sqrt(F.col("h") ** 2 + F.col("w") ** 2) / 2)
+    score = F.round(F.col("area") * (0.35 + 0.65 * (1 - F.least(F.lit(1.0), away))), 9)
+    first = lambda by: F.max_by(F.struct("component", "area"), F.struct(by, -F.col("component")))
+    best = parts.groupBy("image", "h", "w").agg(first(score).alias("best"), first(F.col("area")).alias("largest"), F.sum("area").alias("total"), F.count(F.lit(1)).alias("n"))
+    part, rest = F.col("best.area") / F.col("total"), F.col("total") - F.col("best.area")
+    small = rest <= F.greatest(F.lit(4 * least_object), 0.04 * F.col("h") * F.col("w"))
+    keep = (F.col("n") > 1) & ((part >= 0.85) | ((F.col("best.component") == F.col("largest.component")) & (part >= 0.72) & small))
+    chosen = best.select("image", F.when(keep, F.col("best.component")).alias("chosen"))
+    out = found.join(chosen, "image", "left")
+    return out.withColumns({"in": F.col("in") & (F.col("chosen").isNull() | F.coalesce(F.col("component") == F.col("chosen"), F.lit(False))), "dominant": F.col("chosen").isNotNull()}).drop("component", "chosen")
+
+
+def cleaned(px: DataFrame, radius: int = 5, object_part: float = 0.001, hole_part: float = 0.01, relative: float = 0.08, absolute: float = 0.01, central: bool = False) -> DataFrame:
     """Light morphology of masks of one size: small objects and holes go, the rest is opened and closed by a disk. Where
     that changes an area too much, both relatively and absolutely, the image keeps its mask without small parts; one that
-    would be left empty keeps what it had."""
+    would be left empty keeps what it had. central: masks are narrowed to their dominant component in the end, where that
+    keeps to the same bounds."""
     n = px.groupBy("image").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     objects, holes = max(4, round(object_part * n)), max(6, round(hole_part * n))
     base = checkpointed(without_small(without_small(px, objects), holes, objects=False))
@@ -113,7 +132,15 @@ def cleaned(px: DataFrame, radius: int = 5, object_part: float = 0.001, hole_par
     change = F.abs(F.col("c") - F.col("a"))
     kept = F.when((F.col("c") > 0) & ((change <= relative * F.col("a")) | (change <= absolute * F.col("n"))), "soft").when(F.col("b") > 0, "base").otherwise("in")
     out = both.join(area.select("image", kept.alias("kept")), "image")
-    return out.withColumn("in", F.when(F.col("kept") == "soft", F.col("soft")).when(F.col("kept") == "base", F.col("base")).otherwise(F.col("in"))).drop("kept", "base", "soft")
+    out = out.withColumn("result", F.when(F.col("kept") == "soft", F.col("soft")).when(F.col("kept") == "base", F.col("base")).otherwise(F.col("in")))
+    if central:
+        out = stored(out, "cleaned")
+        one = dominant(out.withColumn("in", F.col("result")).select("image", "y", "x", "in"), objects).where("dominant").select("image", "y", "x", F.col("in").alias("one"))
+        out = out.join(one, ["image", "y", "x"], "left")
+        sizes = out.groupBy("image").agg(F.count_if("in").alias("a"), F.count_if("one").alias("c"), F.count(F.lit(1)).alias("n"))
+        fits = (F.abs(F.col("c") - F.col("a")) <= relative * F.col("a")) | (F.abs(F.col("c") - F.col("a")) <= absolute * F.col("n"))
+        out = out.join(sizes.select("image", fits.alias("fits")), "image").withColumn("result", F.when(F.col("fits") & F.col("one").isNotNull(), F.col("one")).otherwise(F.col("result"))).drop("one", "fits")
+    return out.withColumn("in", F.col("result")).drop("kept", "base", "soft", "result")
 
 
 def intensity(px: DataFrame) -> DataFrame:

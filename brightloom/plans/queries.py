@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brightloom.functions import clean, labels
-from brightloom.operators import bags, cells, filters, glm, joins, models, neighbours, plotdata, preprocess, raster, scale, select, summary
+from brightloom.operators import bags, cells, filters, glm, joins, models, neighbours, overlays, plotdata, preprocess, raster, scale, select, summary
 from brightloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -654,7 +654,18 @@ o AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY round(area * (0.3
 k AS (SELECT image, area, total, n > 1 AND (area / total >= 0.85::DOUBLE OR largest = 1 AND area / total >= 0.72::DOUBLE AND total - area <= 16) AS dominant FROM o WHERE best = 1)
 SELECT vec_id AS image, coalesce(CASE WHEN dominant THEN area ELSE total END, 0)::BIGINT AS area, coalesce(dominant, false) AS dominant FROM embeddings LEFT JOIN k ON image = vec_id""")
 def raster_dominant(spark: SparkSession, sf: str) -> DataFrame:
-    return preprocess.dominant(_pixels(spark, sf), 4).groupBy("image").agg(F.count_if("in").alias("area"), F.bool_or("dominant").alias("dominant"))
+    return raster.dominant(_pixels(spark, sf), 4).groupBy("image").agg(F.count_if("in").alias("area"), F.bool_or("dominant").alias("dominant"))
+
+
+@query(f"""
+WITH {_greys_sql(8)}, o AS (SELECT g.image, g.y, g.x, g.v, px.m, CASE WHEN px.m THEN round_even(g.v * 0.6::DOUBLE, 0)::INT ELSE g.v END AS rb, CASE WHEN px.m THEN round_even(g.v * 0.6::DOUBLE + 102::DOUBLE, 0)::INT ELSE g.v END AS gr FROM g JOIN px USING (image, y, x))
+SELECT image, sum(rb)::BIGINT AS r, sum(gr)::BIGINT AS g, sum(rb)::BIGINT AS b, count(*) FILTER (NOT m AND (rb <> v OR gr <> v)) AS changed_outside FROM o GROUP BY image""")
+def mask_overlays(spark: SparkSession, sf: str) -> DataFrame:
+    px = _greys(spark, sf, 8).select("image", "y", "x", "v", *[F.col("v").alias(c) for c in overlays.CHANNELS])
+    mask = _pixels(spark, sf).select("image", "y", "x", "in")
+    shown = overlays.blended(px, mask).join(px.select("image", "y", "x", "v"), ["image", "y", "x"]).join(mask, ["image", "y", "x"])
+    changed = ~F.col("in") & ((F.col("r") != F.col("v")) | (F.col("g") != F.col("v")))
+    return shown.groupBy("image").agg(*[F.sum(c).alias(c) for c in overlays.CHANNELS], F.count_if(changed).alias("changed_outside"))
 
 
 def queries() -> dict:

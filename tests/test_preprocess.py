@@ -3,9 +3,11 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from brightloom.operators import preprocess
+from brightloom.operators import overlays, preprocess, raster
+from brightloom.operators.filters import ContractError
 
 
 def pixels(spark, pictures, value="v", kind="int"):
@@ -160,8 +162,44 @@ def test_dominant_components(spark):
         pictures[f"p{i}"] = m
     want = {n: dominant_of(m, 4) for n, m in pictures.items()}
     got = {}
-    for r in preprocess.dominant(pixels(spark, pictures, "in", "boolean"), 4).collect():
+    for r in raster.dominant(pixels(spark, pictures, "in", "boolean"), 4).collect():
         assert r.dominant == want[r.image][1]
         got.setdefault(r.image, set()).update({(r.y, r.x)} if getattr(r, "in") else ())
     assert got == {n: set(map(tuple, np.argwhere(m).tolist())) for n, (m, _) in want.items()}
     assert 2 <= sum(kept for _, kept in want.values()) < len(want)
+
+
+def test_cleaned_to_the_central_component(spark):
+    m = np.zeros((60, 60), bool)
+    m[15:45, 15:45] = True
+    m[2:8, 2:8] = True  # 36 of 936 pixels: within the bounds
+    far = m.copy()
+    far[2:14, 2:14] = True  # 144 of 1044: more than they allow
+    px = pixels(spark, {"m": m, "far": far}, "in", "boolean")
+    got = {(r.image, c): r.n for c in (False, True) for r in raster.cleaned(px, radius=1, central=c).where("in").groupBy("image").agg(F.count("*").alias("n")).collect()}
+    assert got["m", True] < got["m", False]
+    assert got["far", True] == got["far", False]
+
+
+def test_overlays(spark):
+    rng = np.random.default_rng(5)
+    a, mask = rng.integers(0, 256, (9, 7, 3)), rng.random((9, 7)) < 0.4
+    rows = [("a", y, x, *map(int, a[y, x])) for y in range(9) for x in range(7)]
+    px = spark.createDataFrame(rows, "image string, y int, x int, r int, g int, b int")
+    marks = pixels(spark, {"a": mask}, "in", "boolean")
+    over = overlays.blended(px, marks, 0.3, (10, 255, 0))
+    want = np.where(mask[..., None], np.rint(a * 0.7 + np.array([10, 255, 0]) * 0.3).astype(int), a)
+    assert {(r.y, r.x): (r.r, r.g, r.b) for r in over.collect()} == {(y, x): tuple(map(int, want[y, x])) for y in range(9) for x in range(7)}
+    pair = {(r.y, r.x): (r.r, r.g, r.b) for r in overlays.beside(px, over).collect()}
+    assert len(pair) == 126 and all(pair[y, x] == tuple(map(int, a[y, x])) and pair[y, x + 7] == tuple(map(int, want[y, x])) for y in range(9) for x in range(7))
+    with pytest.raises(ContractError):
+        overlays.blended(px, marks, 1.5)
+    with pytest.raises(Exception, match="differ in size"):
+        overlays.blended(px, marks.where("x < 6")).collect()
+
+
+def test_overlay_jobs(spark):
+    images = spark.createDataFrame([("a.png", "ok", "images/f/a.png.png"), ("b.jpg", "ok", "images/b.jpg.png"), ("c", "error", None), ("d", "ok", "images/d.png"), ("e", "ok", "images/e.png")], "image_id string, preprocess_status string, processed_path string")
+    masks = spark.createDataFrame([("a.png", "ok", "m/a"), ("b.jpg", "empty", "m/b"), ("c", "ok", "m/c"), ("d", "error", "m/d")], "image_id string, status string, mask_path string")
+    got = {r.image_id: (r.overlay_path, r.skipped) for r in overlays.overlay_jobs(images, masks).collect()}
+    assert got == {"a.png": ("overlays/f/a.png", None), "b.jpg": ("overlays/b.jpg", None), "c": (None, "picture not ready"), "d": (None, "mask failed"), "e": (None, "no mask")}
