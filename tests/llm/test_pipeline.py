@@ -103,7 +103,8 @@ def test_stages_on_awkward_rows(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    for table in ("documents", "conversations", "embeddings"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
     df, want = entry.queries()[name](spark, SF), con.sql(entry.oracle_sql()[name])
     columns = sorted(df.columns)
     assert columns == sorted(want.columns)

@@ -9,7 +9,6 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
-import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -217,16 +216,3 @@ def test_keys_sort_as_they_should(spark):
     found = [(negatives.unpack(r.key), (r.a, r.s, r.kind, r.k)) for r in df.orderBy("key").collect()]
     assert all(x == y for x, y in found)
     assert [y for _, y in found] == sorted(rows, key=lambda r: (r[0], -r[1], r[2], r[3]))
-
-
-# ---- queries against their SQL
-
-
-@pytest.mark.parametrize("name, table", [("op11_license_scan", "documents"), ("op12_conversation_repair", "conversations"), ("op13_hard_negatives", "embeddings")])
-def test_same_as_sql(spark, name, table):
-    sf = "/root/testdata/sf0.001"
-    con = duckdb.connect()
-    con.sql(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{sf}/{table}.parquet')")
-    df, want = queries.queries()[name](spark, sf), con.sql(queries.oracle_sql()[name])
-    assert df.columns == want.columns
-    assert Counter(map(tuple, df.collect())) == Counter(map(tuple, want.fetchall()))
