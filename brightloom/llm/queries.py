@@ -122,7 +122,7 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 """
 
 
-def op11_sql() -> str:
+def license_sql() -> str:
     """Every block against every template, without filters."""
     quoted = lambda x: "'" + x + "'"
     rows = ", ".join(f"('{t.name}', '{t.label}', {t in licenses.BASE}, {t.phrase}, [{', '.join(map(quoted, t.words))}])" for t in licenses.TEMPLATES)
@@ -182,4 +182,4 @@ WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIF
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scan": OP2_SQL, "op4_source_mixing": OP4_SQL, "op8_exact_dedup": OP8_SQL, "op11_license_scan": op11_sql(), "op12_conversation_repair": OP12_SQL, "op13_hard_negatives": OP13_SQL}
+    return {"op2_secret_scan": OP2_SQL, "op4_source_mixing": OP4_SQL, "op8_exact_dedup": OP8_SQL, "op11_license_scan": license_sql(), "op12_conversation_repair": OP12_SQL, "op13_hard_negatives": OP13_SQL}

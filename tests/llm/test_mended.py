@@ -44,3 +44,10 @@ def test_short_texts_teach_beside_others(spark):
     model = langid.LanguageModel.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     body = dict(model.packed.value)["de"].decode(errors="ignore")
     assert sum(c in "äöüß" for c in body) > 1000 < sum(c in "abcdef" for c in body)
+
+
+def test_thirteen_queries():
+    from brightloom.llm import queries
+
+    names = list(queries.queries())
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and set(queries.oracle_sql()) <= set(names)
