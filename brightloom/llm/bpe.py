@@ -508,8 +508,9 @@ class Codec:
                 for low, high in pieces(batch, at, PIECE):
                     part = batch.slice(low, high - low)
                     ids, upto = encode_piece(v, *text_bytes(part.column(at)))
-                    raw = memoryview(ids.astype("<u4").tobytes())
-                    cols = [*part.columns[:at], pa.array(np.diff(upto)), pa.array([raw[4 * a : 4 * b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)], pa.binary())]
+                    # Out of buffers: an array made of memoryviews never gives them back.
+                    packed = [None, pa.py_buffer((4 * upto).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))]
+                    cols = [*part.columns[:at], pa.array(np.diff(upto)), pa.Array.from_buffers(pa.binary(), part.num_rows, packed)]
                     if decoded:
                         text_of = [decode_ids(v, ids[a:b]).tobytes().decode("utf-8", "replace") for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
                         cols.append(pa.array(text_of, pa.string()))
