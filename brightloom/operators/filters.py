@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from brightloom.functions.clean import contains_any, finite
 from brightloom.operators.quantiles import quantiles
+from brightloom.session import stored
 
 
 class ContractError(ValueError):
@@ -34,9 +35,10 @@ def complete(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def common_groups(df: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """Rows of groups with so many rows at least. Only the frequent groups' keys are joined, as sizes are summed first."""
+    """Rows of groups with so many rows at least. Only the frequent groups' keys are joined, as sizes are summed first; they
+    are written before, so that rows aren't shuffled for keys that turn out to be few."""
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= least).drop("__n")
-    return df.join(sizes, keys, "left_semi")
+    return df.join(stored(sizes, "common-groups"), keys, "left_semi")
 
 
 def cutoffs(df: DataFrame, wanted: list[tuple[str, str, float]]) -> DataFrame:

@@ -10,7 +10,16 @@ from brightloom.operators.quantiles import joined, medians, quantiles
 STATS = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
 
 
-def group_counts(df: DataFrame, keys: list[str]) -> DataFrame:
+#: Rows of about as many groups that one task holds.
+TASK_ROWS = 1 << 20
+
+
+def group_counts(df: DataFrame, keys: list[str], rows: int | None = None, most: int = TASK_ROWS) -> DataFrame:
+    """(keys, n). rows: about how many df has, for keys that tell most of them apart; they are dealt out so that no task
+    gets more than about `most`, however many there are."""
+    parts = -(-(rows or 0) // most)
+    if parts > 1:
+        df = df.repartition(parts, *keys)
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 

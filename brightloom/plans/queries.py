@@ -175,7 +175,8 @@ def tiered_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem WHERE l_suppkey IN (SELECT l_suppkey FROM lineitem GROUP BY ALL HAVING count(*) >= 600) GROUP BY ALL")
 def common_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return summary.group_counts(filters.common_groups(table(spark, sf, "lineitem"), ["l_suppkey"], 600), ["l_suppkey", "l_partkey"])
+    df = table(spark, sf, "lineitem")
+    return summary.group_counts(filters.common_groups(df, ["l_suppkey"], 600), ["l_suppkey", "l_partkey"], df.count())
 
 
 @query(r"""SELECT p_partkey, p_name FROM part WHERE NOT (contains(lower(p_name), 'widget') OR contains(regexp_replace(lower(p_name), '[\s_]+', '_', 'g'), 'small_ring'))""")
