@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brightloom.session import stored
+from brightloom.session import sorted_side, stored
 
 
 def connected(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 200) -> DataFrame:
@@ -27,10 +27,10 @@ def connected(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 200) -
         by_hash: Column = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("hash"), F.col(c).alias("id"))
         best = edges.groupBy("u").agg(F.min(by_hash("v")).alias("near"))
         went = stored(best.select("u", F.least("near", by_hash("u"))["id"].alias("to")), "contraction")
-        low = went.select("to", F.col("u").alias("low")) if lows is None else went.join(lows, "u").select("to", "low")
+        low = went.select("to", F.col("u").alias("low")) if lows is None else went.join(sorted_side(lows), "u").select("to", "low")
         lows = stored(low.groupBy("to").agg(F.min("low").alias("low")).withColumnRenamed("to", "u"), "lows")
         levels.append((went, lows))
-        edges = edges.join(went, "u").select(F.col("to").alias("u"), F.col("v").alias("w")).join(went.select(F.col("u").alias("w"), F.col("to").alias("v")), "w").where("u <> v").select("u", "v").distinct()
+        edges = edges.join(sorted_side(went), "u").select(F.col("to").alias("u"), F.col("v").alias("w")).join(sorted_side(went.select(F.col("u").alias("w"), F.col("to").alias("v"))), "w").where("u <> v").select("u", "v").distinct()
         edges = stored(edges, "links")
     else:
         if not edges.isEmpty():
@@ -39,6 +39,6 @@ def connected(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 200) -
     for went, lows in reversed(levels):
         ends = lows.select(F.col("u").alias("to"), "low")
         if out is not None:
-            ends = ends.join(out.select(F.col("id").alias("to"), "root"), "to", "left").select("to", F.coalesce("root", "low").alias("low"))
-        out = stored(went.join(ends, "to").select(F.col("u").alias("id"), F.col("low").alias("root")), "roots")
+            ends = ends.join(sorted_side(out.select(F.col("id").alias("to"), "root")), "to", "left").select("to", F.coalesce("root", "low").alias("low"))
+        out = stored(went.join(sorted_side(ends), "to").select(F.col("u").alias("id"), F.col("low").alias("root")), "roots")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root")) if out is None else out

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from brightloom.operators.graph import connected
 from brightloom.operators.quantiles import joined, quantiles
-from brightloom.session import checkpointed, stored
+from brightloom.session import checkpointed, sorted_side, stored
 
 #: What a border pixel adds to the perimeter, by the code that its neighbourhood sums up to.
 PERIMETER = {1.0: (5, 7, 15, 17, 25, 27), 2**0.5: (21, 33), (1 + 2**0.5) / 2: (13, 23)}
@@ -45,7 +45,7 @@ def shifted(px: DataFrame, offsets: list[tuple[int, int]], *more: str) -> DataFr
 def dilated(px: DataFrame, radius: int) -> DataFrame:
     """The mask grown by a disk, within the image."""
     near = shifted(px.where("in"), disk(radius)).select("image", "y", "x").distinct().withColumn("__in", F.lit(True))
-    return px.join(near, ["image", "y", "x"], "left").withColumn("in", F.coalesce("__in", F.lit(False))).drop("__in")
+    return px.join(sorted_side(near), ["image", "y", "x"], "left").withColumn("in", F.coalesce("__in", F.lit(False))).drop("__in")
 
 
 def eroded(px: DataFrame, radius: int) -> DataFrame:
@@ -77,8 +77,8 @@ def components(px: DataFrame, neighbours=EIGHT) -> DataFrame:
     links = touching(runs, (1, 1) in neighbours)
     roots = connected(links.select(F.struct("image", F.col("a").alias("label")).alias("a"), F.struct("image", F.col("b").alias("label")).alias("b")))
     roots = roots.select("id.image", "id.label", F.col("root.label").alias("root"))
-    own = own.join(roots, ["image", "label"], "left").select("image", "y", "x", F.coalesce("root", "label").alias("component"))
-    return px.join(own, ["image", "y", "x"], "left")
+    own = own.join(sorted_side(roots), ["image", "label"], "left").select("image", "y", "x", F.coalesce("root", "label").alias("component"))
+    return px.join(sorted_side(own), ["image", "y", "x"], "left")
 
 
 def largest(px: DataFrame) -> DataFrame:
@@ -87,7 +87,7 @@ def largest(px: DataFrame) -> DataFrame:
     found = components(px)
     sizes = found.where("component is not null").groupBy("image", "component").agg(F.count(F.lit(1)).alias("n"))
     best = sizes.groupBy("image").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("best"), F.count(F.lit(1)).alias("component_count"), (F.max("n") / F.sum("n")).alias("selected_fraction"))
-    out = found.join(best, "image", "left").withColumn("in", F.coalesce(F.col("component") == F.col("best"), F.lit(False)))
+    out = found.join(sorted_side(best), "image", "left").withColumn("in", F.coalesce(F.col("component") == F.col("best"), F.lit(False)))
     return out.withColumn("component_count", F.coalesce("component_count", F.lit(0))).drop("component", "best")
 
 
@@ -95,8 +95,8 @@ def without_small(px: DataFrame, least: int, objects: bool = True) -> DataFrame:
     """Drops components of fewer pixels from the mask (joined through four neighbours), or fills such holes."""
     found = components(px if objects else px.withColumn("in", ~F.col("in")), FOUR)
     small = found.where("component is not null").groupBy("image", "component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < least)
-    marked = found.join(small.withColumn("__small", F.lit(True)), ["image", "component"], "left")
-    return px.join(marked.where("__small").select("image", "y", "x", F.lit(not objects).alias("__in")), ["image", "y", "x"], "left").withColumn("in", F.coalesce("__in", "in")).drop("__in")
+    marked = found.join(sorted_side(small.withColumn("__small", F.lit(True))), ["image", "component"], "left")
+    return px.join(sorted_side(marked.where("__small").select("image", "y", "x", F.lit(not objects).alias("__in"))), ["image", "y", "x"], "left").withColumn("in", F.coalesce("__in", "in")).drop("__in")
 
 
 def dominant(px: DataFrame, least_object: int) -> DataFrame:
@@ -104,7 +104,7 @@ def dominant(px: DataFrame, least_object: int) -> DataFrame:
     also the largest and the rest is small. Adds dominant, whether that was done."""
     found = stored(components(px, EIGHT), "parts")
     size = found.groupBy("image").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
-    parts = found.where("component is not null").groupBy("image", "component").agg(F.count(F.lit(1)).alias("area"), F.avg("y").alias("cy"), F.avg("x").alias("cx")).join(size, "image")
+    parts = found.where("component is not null").groupBy("image", "component").agg(F.count(F.lit(1)).alias("area"), F.avg("y").alias("cy"), F.avg("x").alias("cx")).join(sorted_side(size), "image")
     away = F.sqrt((F.col("cy") - (F.col("h") - 1) / 2) ** 2 + (F.col("cx") - (F.col("w") - 1) / 2) ** 2) / (F.sqrt(F.col("h") ** 2 + F.col("w") ** 2) / 2)
     score = F.round(F.col("area") * (0.35 + 0.65 * (1 - F.least(F.lit(1.0), away))), 9)
     first = lambda by: F.max_by(F.struct("component", "area"), F.struct(by, -F.col("component")))
@@ -113,7 +113,7 @@ def dominant(px: DataFrame, least_object: int) -> DataFrame:
     small = rest <= F.greatest(F.lit(4 * least_object), 0.04 * F.col("h") * F.col("w"))
     keep = (F.col("n") > 1) & ((part >= 0.85) | ((F.col("best.component") == F.col("largest.component")) & (part >= 0.72) & small))
     chosen = best.select("image", F.when(keep, F.col("best.component")).alias("chosen"))
-    out = found.join(chosen, "image", "left")
+    out = found.join(sorted_side(chosen), "image", "left")
     return out.withColumns({"in": F.col("in") & (F.col("chosen").isNull() | F.coalesce(F.col("component") == F.col("chosen"), F.lit(False))), "dominant": F.col("chosen").isNotNull()}).drop("component", "chosen")
 
 
@@ -127,19 +127,19 @@ def cleaned(px: DataFrame, radius: int = 5, object_part: float = 0.001, hole_par
     base = checkpointed(without_small(without_small(px, objects), holes, objects=False))
     soft = dilated(eroded(base, radius), radius)
     soft = checkpointed(without_small(without_small(eroded(dilated(soft, radius), radius), objects), holes, objects=False))
-    both = px.join(base.select("image", "y", "x", F.col("in").alias("base")), ["image", "y", "x"]).join(soft.select("image", "y", "x", F.col("in").alias("soft")), ["image", "y", "x"])
+    both = px.join(sorted_side(base.select("image", "y", "x", F.col("in").alias("base"))), ["image", "y", "x"]).join(sorted_side(soft.select("image", "y", "x", F.col("in").alias("soft"))), ["image", "y", "x"])
     area = both.groupBy("image").agg(F.count_if("in").alias("a"), F.count_if("base").alias("b"), F.count_if("soft").alias("c"), F.count(F.lit(1)).alias("n"))
     change = F.abs(F.col("c") - F.col("a"))
     kept = F.when((F.col("c") > 0) & ((change <= relative * F.col("a")) | (change <= absolute * F.col("n"))), "soft").when(F.col("b") > 0, "base").otherwise("in")
-    out = both.join(area.select("image", kept.alias("kept")), "image")
+    out = both.join(sorted_side(area.select("image", kept.alias("kept"))), "image")
     out = out.withColumn("result", F.when(F.col("kept") == "soft", F.col("soft")).when(F.col("kept") == "base", F.col("base")).otherwise(F.col("in")))
     if central:
         out = stored(out, "cleaned")
         one = dominant(out.withColumn("in", F.col("result")).select("image", "y", "x", "in"), objects).where("dominant").select("image", "y", "x", F.col("in").alias("one"))
-        out = out.join(one, ["image", "y", "x"], "left")
+        out = out.join(sorted_side(one), ["image", "y", "x"], "left")
         sizes = out.groupBy("image").agg(F.count_if("in").alias("a"), F.count_if("one").alias("c"), F.count(F.lit(1)).alias("n"))
         fits = (F.abs(F.col("c") - F.col("a")) <= relative * F.col("a")) | (F.abs(F.col("c") - F.col("a")) <= absolute * F.col("n"))
-        out = out.join(sizes.select("image", fits.alias("fits")), "image").withColumn("result", F.when(F.col("fits") & F.col("one").isNotNull(), F.col("one")).otherwise(F.col("result"))).drop("one", "fits")
+        out = out.join(sorted_side(sizes.select("image", fits.alias("fits"))), "image").withColumn("result", F.when(F.col("fits") & F.col("one").isNotNull(), F.col("one")).otherwise(F.col("result"))).drop("one", "fits")
     return out.withColumn("in", F.col("result")).drop("kept", "base", "soft", "result")
 
 

@@ -68,3 +68,9 @@ def stored(df, name: str = "table"):
     path = f"{checkpoint_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sorted_side(df):
+    """A side of a join that grows with the input: it is sorted where its rows are, and never sent through the driver, not
+    even while it is small, as many such joins in a row would add up there."""
+    return df.hint("merge")

@@ -4,7 +4,8 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from brightloom.operators import filters, summary
+from brightloom.operators import filters, raster, summary
+from brightloom.operators.graph import connected
 
 
 def test_counts_of_many_groups_are_dealt_out(spark):
@@ -15,3 +16,12 @@ def test_counts_of_many_groups_are_dealt_out(spark):
     want = Counter((i % 7, i % 1000 if i % 11 else None) for i in range(4000))
     assert {(r.a, r.b): r.n for r in out.collect()} == want == {(r.a, r.b): r.n for r in summary.group_counts(df, ["a", "b"]).collect()}
     assert filters.common_groups(df, ["a"], 572).select("a").distinct().count() == 3 and filters.common_groups(df, ["b"], 500).count() == 0
+
+
+def test_joins_of_pixels_and_links_pass_nothing_through_the_driver(spark):
+    rows = [(i, [float((i * 7 + k * k) % 11) for k in range(16)]) for i in range(2)]
+    px = raster.masked(raster.pixels(spark.createDataFrame(rows, "id long, e array<double>"), "id", "e", 4))
+    links = spark.range(3).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    for df in (raster.dilated(px, 1), raster.largest(px), connected(links)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan, plan
