@@ -163,7 +163,7 @@ def _members(edges: DataFrame, most: int, turn: int) -> DataFrame:
     at most, others of its links, and the row itself."""
 
     def links(of: DataFrame) -> DataFrame:
-        return _some(of.select(F.col("id").alias("at"), F.col("other").alias("id")).union(of.select(F.col("other").alias("at"), "id")).distinct(), most, turn)
+        return _some(of.select(F.col("id").alias("at"), F.col("other").alias("id")).union(of.select(F.col("other").alias("at"), "id")).repartition("at").distinct(), most, turn)
 
     fresh = links(edges.where("fresh"))
     at = fresh.select("at").distinct()
