@@ -33,6 +33,8 @@ CLASSES, PER, AFFIX, PAIRS, WEIGHTS = 32, 32, 2, 1 << 13, 1 << 14
 BLOCK, BLOCK_DOCS, TOKENS, STEP, FAN_IN, CHUNKS = 1 << 23, 60_000, 8192, 0.15, 64, 16
 #: Rows of a place that are added up together with those of other places; words whose entry a task remembers.
 TOGETHER, REMEMBERED = 12, 1 << 16
+#: Tokens whose rows are gathered at a time.
+AT_ONCE = 1024
 #: Entries of frequent words, and in all; what stands before a text is one symbol more.
 SIZE, ENTRIES = CLASSES * PER, 2 * CLASSES * PER
 SYMBOLS = ENTRIES + 1
@@ -225,17 +227,12 @@ class Maxent:
         return out
 
     def class_scores(self, features: tuple) -> np.ndarray:
-        z = self.rows[features[0]]
-        z += self.rows[features[1]]
-        z += self.rows[features[2]]
+        z = _added(self.rows, features)
         z += self.class_bias
         return z
 
     def word_scores(self, places: list[np.ndarray], cls: np.ndarray) -> np.ndarray:
-        z = self.word_bias[cls]
-        for p in places:
-            z += self.weights[p]
-        return z
+        return _added(self.weights, places, _rows(self.word_bias, cls))
 
     def log10s(self, sequence: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """log10 of the probability of each token's entry."""
@@ -259,7 +256,7 @@ class Maxent:
         error = _errors(self.word_scores(places, cls), sequence % PER)
         for p in places:
             found, times, g = _sums(error, p)
-            squares = seen["weight_squares"][found]
+            squares = _rows(seen["weight_squares"], found)
             squares += g * g
             seen["weight_squares"][found] = squares
             g *= STEP
@@ -268,6 +265,25 @@ class Maxent:
             seen["weight_times"][found] += times
 
 
+def _rows(table: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """table[places], for places that are there, without a check of each."""
+    return np.take(table, places, 0, mode="clip")
+
+
+def _added(table: np.ndarray, places, z: np.ndarray | None = None) -> np.ndarray:
+    """The sums of the rows at the places of all features, on top of z. Some tokens at a time, over the same room, as fresh
+    memory for all of them takes longer than the sums."""
+    n, places = len(places[0]), list(places)
+    if z is None:
+        z = _rows(table, places.pop(0))
+    room = np.empty((min(n, AT_ONCE), table.shape[1]), table.dtype)
+    for k in range(0, n, AT_ONCE):
+        part = z[k : k + AT_ONCE]
+        for p in places:
+            part += np.take(table, p[k : k + AT_ONCE], 0, out=room[: len(part)], mode="clip")
+    return z
+
+
 def _sums(error: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The places that occur, how often, and the sums of the rows of each. Most places occur a few times: the first rows of
     all are added up together, then the second ones, and so on, and what frequent places have beyond that by itself."""
@@ -275,12 +291,14 @@ def _sums(error: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     ordered = at[order]
     first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
     times = np.diff(np.append(first, len(at)))
-    sums, more = error[order[first]], np.flatnonzero(times > 1)
+    sums, more = _rows(error, order[first]), np.flatnonzero(times > 1)
     for k in range(1, TOGETHER):
-        sums[more] += error[order[first[more] + k]]
+        if not len(more):
+            break
+        sums[more] = _rows(sums, more) + _rows(error, order[first[more] + k])
         more = more[times[more] > k + 1]
     for i in more.tolist():
-        sums[i] += error[order[first[i] + TOGETHER : first[i] + times[i]]].sum(0)
+        sums[i] += _rows(error, order[first[i] + TOGETHER : first[i] + times[i]]).sum(0)
     return ordered[first], times, sums
 
 

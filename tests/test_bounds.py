@@ -2,8 +2,10 @@
 
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from brightloom.llm import lm
 from brightloom.operators import filters, raster, summary
 from brightloom.operators.graph import connected
 
@@ -25,3 +27,12 @@ def test_joins_of_pixels_and_links_pass_nothing_through_the_driver(spark):
     for df in (raster.dilated(px, 1), raster.largest(px), connected(links)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastHashJoin" not in plan, plan
+
+
+def test_rows_gathered_some_at_a_time_give_the_same_sums():
+    rng = np.random.default_rng(3)
+    table, bias = rng.normal(size=(500, 8)).astype(np.float32), rng.normal(size=(40, 8)).astype(np.float32)
+    for n in (0, 1, lm.AT_ONCE, 2 * lm.AT_ONCE + 7):
+        places, cls = [rng.integers(0, 500, n) for _ in range(3)], rng.integers(0, 40, n)
+        assert np.array_equal(lm._added(table, places), table[places[0]] + table[places[1]] + table[places[2]])
+        assert np.array_equal(lm._added(table, places, lm._rows(bias, cls)), bias[cls] + table[places[0]] + table[places[1]] + table[places[2]])
