@@ -1,8 +1,10 @@
 """Scores of texts under language models: a smoothed unigram base, and a hashed maximum-entropy model whose softmax is
 factored into classes and words.
 
-Exact word counts come from blocks of documents: each block sends its distinct words, dealt into buckets, and gets their
-counts in the corpus back, so that no vocabulary is ever whole in one place. The maximum-entropy model predicts the
+Texts are cut into words once, in blocks of documents, which are kept as numbers of the block's distinct words; training
+and scores read those, so what depends on a word alone is looked up once for each distinct word of a block. Exact word
+counts come from the blocks, too: each sends its distinct words, dealt into buckets, and gets their counts in the corpus
+back, so that no vocabulary is ever whole in one place. The maximum-entropy model predicts the
 class of the next word, then its entry in that class, from hashed features of the words before. Every word has a class:
 the most frequent words are entries of their own, all others share an entry with words of like beginning and end, and
 among those the counts decide. It is trained by gradient updates in every partition, which start from the counts and
@@ -13,7 +15,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
 
@@ -31,8 +33,8 @@ from brightloom.llm.common import most_frequent, pieces, scratch_table, tidied
 CLASSES, PER, AFFIX, PAIRS, WEIGHTS = 32, 32, 2, 1 << 13, 1 << 14
 #: Bytes of text in a block and documents at most; tokens of an update; step; partial results that one task adds up.
 BLOCK, BLOCK_DOCS, TOKENS, STEP, FAN_IN, CHUNKS = 1 << 23, 60_000, 8192, 0.15, 64, 16
-#: Rows of a place that are added up together with those of other places; words whose entry a task remembers.
-TOGETHER, REMEMBERED = 12, 1 << 16
+#: Rows of a place that are added up together with those of other places.
+TOGETHER = 32
 #: Tokens whose rows are gathered at a time.
 AT_ONCE = 1024
 #: Entries of frequent words, and in all; what stands before a text is one symbol more.
@@ -40,11 +42,30 @@ SIZE, ENTRIES = CLASSES * PER, 2 * CLASSES * PER
 SYMBOLS = ENTRIES + 1
 ROWS = 2 * SYMBOLS + PAIRS
 END = b""
+#: Scores between these need no shift before they are exponents of float32.
+LOW, HIGH = -60, 80
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Words with A-Z lower-cased, cut at ASCII white space; null counts as empty."""
-    return (text or "").encode().lower().split()
+def numbered(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of texts (A-Z lower-cased, cut at ASCII white space; null counts as empty), the number of each
+    word in them, text by text, and how many words each text has. Frequent words come first, equally frequent ones in
+    order, as both numbers and words take less room then."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    lengths, coded = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten().dictionary_encode()
+    words, numbers = coded.dictionary.cast(pa.binary()), coded.indices.to_numpy()
+    empty = pc.index(words, b"").as_py()
+    if empty >= 0:  # before white space that begins a text, and behind what ends it
+        doc, there = np.repeat(np.arange(len(lengths)), lengths), numbers != empty
+        numbers, lengths = numbers[there], np.bincount(doc[there], minlength=len(lengths))
+    order, times = pc.sort_indices(words).to_numpy(), np.bincount(numbers, minlength=len(words))
+    order = order[np.argsort((65535 - np.minimum(times[order], 65535)).astype(np.uint16), kind="stable")]
+    number = np.empty(len(words), np.int64)
+    number[order] = np.arange(len(words))
+    return words.take(pa.array(order[: len(words) - (empty >= 0)])).to_pylist(), number[numbers], lengths
+
+
+def buckets_of(words: list[bytes], buckets: int) -> np.ndarray:
+    return np.array([zlib.crc32(w) % buckets for w in words], np.int64)
 
 
 def shared_entry(word: bytes) -> int:
@@ -62,56 +83,57 @@ def _ranges(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
 
 
 def word_blocks(rows: DataFrame, buckets: int) -> DataFrame:
-    """From (id, h, train, text): for each block and bucket the distinct words, how often each stands in training
-    documents, and their postings (document, times). A block's row of bucket -1 has its documents."""
+    """From (id, train, text): for each block and bucket the distinct words and how often each stands in training
+    documents. A block's row of bucket -1 has all of its words and its documents, as the numbers of their words among
+    the block's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _ranges(batch, 3):
-                number: dict[bytes, int] = defaultdict(count().__next__)  # in the order of their first places
-                ids, lengths = [], []
-                for t in part.column(3):
-                    words = tokens(t.as_py())
-                    lengths.append(len(words))
-                    ids.append(np.array([number[w] for w in words], np.int64))
-                train = np.asarray(part.column(2).to_numpy(zero_copy_only=False), bool)
-                words, n = list(number), max(1, part.num_rows)
-                pair, times = np.unique(np.concatenate([*ids, np.empty(0, np.int64)]) * n + np.repeat(np.arange(part.num_rows), lengths), return_counts=True)
-                # A count of more than 16 bits is several postings.
-                again = (times - 1) // 65535
-                pair, rest = np.repeat(pair, again + 1), np.repeat(times, again + 1)
-                first = np.cumsum(again + 1) - (again + 1)
-                nth = np.arange(len(pair)) - np.repeat(first, again + 1)
-                times = np.minimum(rest - 65535 * nth, 65535)
-                word, doc = pair // n, pair % n
-                taught = np.bincount(word, times * train[doc], len(words)).astype(np.int64)
-                held = np.bincount(word, minlength=len(words))
-                bucket = np.array([zlib.crc32(w) % buckets for w in words], np.int64)
-                of_pair = bucket[word]
-                order = np.argsort(of_pair, kind="stable")
-                at_pair = np.searchsorted(of_pair[order], np.arange(buckets + 1))
+            for part in _ranges(batch, 2):
+                words, numbers, lengths = numbered(part.column(2))
+                train = np.asarray(part.column(1).to_numpy(zero_copy_only=False), bool)
+                taught = np.bincount(numbers[np.repeat(train, lengths)], minlength=len(words)).astype("<i8")
+                bucket = buckets_of(words, buckets)
                 chosen = np.argsort(bucket, kind="stable")
                 at_word = np.searchsorted(bucket[chosen], np.arange(buckets + 1))
                 block, out = uuid.uuid4().hex, []
                 for b in range(buckets):
                     w = chosen[at_word[b] : at_word[b + 1]]
                     if len(w):
-                        p = order[at_pair[b] : at_pair[b + 1]]
-                        out.append((b, b" ".join(words[i] for i in w), taught[w].astype("<i8").tobytes(), held[w].astype("<u4").tobytes(), doc[p].astype("<u2").tobytes(), times[p].astype("<u2").tobytes()))
-                cols = list(zip(*out, strict=True)) if out else [()] * 6
+                        out.append((b, b" ".join([words[i] for i in w.tolist()]), taught[w].tobytes()))
+                cols = list(zip(*out, strict=True)) if out else [()] * 3
                 k = len(out)
-                yield pa.RecordBatch.from_arrays([pa.array([block] * k, pa.string()), pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]], *[pa.nulls(k, f.type) for f in extra]], names)
-                lists = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(i)) for i in range(3)]
-                lists.append(pa.array([lengths], pa.list_(pa.int64())))
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([-1], pa.int32()), *[pa.nulls(1, pa.binary())] * 5, *lists], names)
+                yield pa.RecordBatch.from_arrays([pa.array([block] * k, pa.string()), pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]], *[pa.nulls(k, pa.binary())] * 2, *[pa.nulls(k, f.type) for f in extra]], names)
+                whole = [pa.array([x], pa.binary()) for x in (_packed(b" ".join(words)), _packed((numbers & 65535).astype("<u2").tobytes() + (numbers >> 16).astype("<u2").tobytes()))]
+                lists = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), x) for x in (part.column(0), part.column(1), pa.array(lengths))]
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([-1], pa.int32()), *[pa.nulls(1, pa.binary())] * 2, *whole, *lists], names)
 
-    kinds = [rows.schema["id"].dataType, T.LongType(), T.BooleanType(), T.LongType()]
+    kinds = [rows.schema["id"].dataType, T.BooleanType(), T.LongType()]
     from pyspark.sql.pandas.types import to_arrow_type
 
-    names = ["block", "bucket", "words", "taught", "held", "docs", "times", "ids", "hs", "trains", "lengths"]
+    names = ["block", "bucket", "words", "taught", "own", "numbers", "ids", "trains", "lengths"]
     extra = [pa.field("x", pa.list_(to_arrow_type(k))) for k in kinds]
-    schema = T.StructType([T.StructField("block", T.StringType()), T.StructField("bucket", T.IntegerType()), *[T.StructField(c, T.BinaryType()) for c in names[2:7]], *[T.StructField(c, T.ArrayType(k)) for c, k in zip(names[7:], kinds, strict=True)]])
-    return rows.select("id", "h", "train", "text").mapInArrow(tidied(run), schema)
+    schema = T.StructType([T.StructField("block", T.StringType()), T.StructField("bucket", T.IntegerType()), *[T.StructField(c, T.BinaryType()) for c in names[2:6]], *[T.StructField(c, T.ArrayType(k)) for c, k in zip(names[6:], kinds, strict=True)]])
+    return rows.select("id", "train", "text").mapInArrow(tidied(run), schema)
+
+
+def _packed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _own(packed: bytes) -> list[bytes]:
+    words = _unpacked(packed)
+    return words.split(b" ") if words else []
+
+
+def _numbers(packed: bytes) -> np.ndarray:
+    """Their lower halves come first, then their upper ones."""
+    low, high = np.frombuffer(_unpacked(packed), "<u2").reshape(2, -1)
+    return low + (high.astype(np.int64) << 16)
 
 
 def bucket_counts(blocks: DataFrame, top: int = SIZE) -> DataFrame:
@@ -127,7 +149,9 @@ def bucket_counts(blocks: DataFrame, top: int = SIZE) -> DataFrame:
             totals[at] += n  # a block's words are distinct
         counts = dict(zip(number, totals.tolist(), strict=True))
         back = [totals[at].astype("<i8").tobytes() for at in places]
-        best = sorted(((-n, w) for w, n in counts.items() if n), key=lambda x: x)[:top]
+        # Only words that are as frequent as the last of the most frequent ones are sorted.
+        least = max(1, np.partition(totals, -top)[-top]) if len(totals) > top else 1
+        best = sorted((-n, w) for w, n in counts.items() if n >= least)[:top]
         k = table.num_rows
         shared = np.array([shared_entry(w) - SIZE for w in counts], np.int64)
         entries = [np.bincount(shared, x, SIZE).astype(np.int64).tolist() for x in (totals, totals > 0)]
@@ -141,42 +165,9 @@ def bucket_counts(blocks: DataFrame, top: int = SIZE) -> DataFrame:
     return blocks.where("bucket >= 0").select("block", "bucket", "words", "taught").groupBy("bucket").applyInArrow(tidied(run), "block string, bucket int, counts binary, words array<binary>, ns array<long>, total long, known long, entry_n array<long>, entry_v array<long>")
 
 
-def count_sums(blocks: DataFrame, counts: DataFrame) -> DataFrame:
-    """For each document: id, h, train, n_words, known (words with a count) and sum, of log10(count + 1) over its words."""
-    id_type = blocks.schema["ids"].dataType.elementType
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        docs = next(r for r in left.to_batches() for r in [r.filter(pc.equal(r.column("bucket"), -1))] if r.num_rows)
-        n = len(docs.column("lengths")[0])
-        total, known = np.zeros(n), np.zeros(n)
-        back = dict(zip(right.column("bucket").to_pylist(), right.column("counts"), strict=True))
-        for bucket, held, doc, times in zip(left.column("bucket").to_pylist(), left.column("held"), left.column("docs"), left.column("times"), strict=True):
-            if bucket >= 0:
-                c = np.repeat(np.frombuffer(back[bucket].as_py(), "<i8"), np.frombuffer(held.as_py(), "<u4"))
-                d, t = np.frombuffer(doc.as_py(), "<u2"), np.frombuffer(times.as_py(), "<u2")
-                total += np.bincount(d, t * np.log10(c + 1.0), n)
-                known += np.bincount(d, t * (c > 0), n)
-        flat = lambda c: docs.column(c).flatten()
-        return pa.table([flat("ids"), flat("hs"), flat("trains"), flat("lengths"), pa.array(known.astype(np.int64)), pa.array(total)], ["id", "h", "train", "n_words", "known", "sum"])
-
-    schema = T.StructType([T.StructField("id", id_type), T.StructField("h", T.LongType()), T.StructField("train", T.BooleanType()), T.StructField("n_words", T.LongType()), T.StructField("known", T.LongType()), T.StructField("sum", T.DoubleType())])
-    left = blocks.select("block", "bucket", "held", "docs", "times", "ids", "hs", "trains", "lengths").groupBy("block")
-    return left.cogroup(counts.where("block is not null").select("block", "bucket", "counts").groupBy("block")).applyInArrow(tidied(run), schema)
-
-
 # ---- the maximum-entropy model
 
 
-class Entries(dict):
-    """The entry of each word: of frequent ones their own; of others one by a rule, remembered for the first that come."""
-
-    def __missing__(self, word: bytes) -> int:
-        entry = shared_entry(word)
-        if len(self) < REMEMBERED:
-            self[word] = entry
-        return entry
-
-
 class Maxent:
     """Parameters: biases of classes and entries from counts, rows of class weights for each feature, and hashed rows of
     the entries' weights for each feature and class. head: the frequent words; shared: for each other entry, the tokens and distinct
@@ -184,10 +175,8 @@ class Maxent:
 
     def __init__(self, head: list[tuple[bytes, int]], shared: np.ndarray):
         self.number = {w: i for i, (w, _) in enumerate(head)}
-        self.entries = Entries(self.number)
         counts = np.zeros(SIZE)
         counts[: len(head)] = [n for _, n in head]
-        self.log_counts = np.log10(counts + 1)
         # A shared entry has the weight of its tokens, one more for each word, and one for all words that weren't seen.
         self.log_shared = np.log10(shared.sum(0) + 1.0)
         mass = np.append(counts, shared.sum(0) + 1.0).reshape(2 * CLASSES, PER)
@@ -197,12 +186,15 @@ class Maxent:
             self.word_bias = np.maximum(np.log(mass), -60).astype(np.float32)
         self.rows, self.weights = np.zeros((ROWS, 2 * CLASSES), np.float32), np.zeros((WEIGHTS, PER), np.float32)
 
-    def sequence(self, words: list[bytes]) -> np.ndarray:
-        """The entries of a text's words and its end; a number below SIZE is a word's own."""
-        entry = self.entries
-        found = [entry[w] for w in words]
-        found.append(self.number[END])
-        return np.array(found, np.int64)
+    def entries(self, words: list[bytes]) -> np.ndarray:
+        """The entry of each word; a number below SIZE is a word's own."""
+        own = self.number
+        return np.array([own[w] if w in own else shared_entry(w) for w in words], np.uint16)
+
+    def sequence(self, entries: np.ndarray, numbers: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The entries of the words and the end of each text, and where texts begin."""
+        ends = np.cumsum(lengths + 1) - 1
+        return with_ends(entries[numbers], ends, self.number[END]), ends - lengths
 
     def features(self, sequence: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each token: rows of the word before, of the word before that (a skip), and of both together. Texts begin
@@ -236,35 +228,59 @@ class Maxent:
 
     def log10s(self, sequence: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """log10 of the probability of each token's entry."""
-        features, cls = self.features(sequence, starts), sequence // PER
-        out = _log_of(self.class_scores(features), cls)
-        out += _log_of(self.word_scores(self.places(features, cls), cls), sequence % PER)
+        features, cls, out = self.features(sequence, starts), sequence // PER, np.empty(len(sequence))
+        places, entry = self.places(features, cls), sequence % PER
+        for k in _parts(len(sequence)):
+            out[k] = _log_of(self.class_scores([f[k] for f in features]), cls[k])
+            out[k] += _log_of(self.word_scores([p[k] for p in places], cls[k]), entry[k])
         return out / np.log(10)
 
     def update(self, sequence: np.ndarray, starts: np.ndarray, seen: dict) -> None:
         """One gradient step on the tokens. seen: squares of the gradients, and how often each parameter moved."""
         features, cls = self.features(sequence, starts), sequence // PER
-        places = self.places(features, cls)
-        error = _errors(self.class_scores(features), cls)
+        places, entry = self.places(features, cls), sequence % PER
+        error, inner = np.empty((len(sequence), 2 * CLASSES), np.float32), np.empty((len(sequence), PER), np.float32)
+        for k in _parts(len(sequence)):
+            error[k] = _errors(self.class_scores([f[k] for f in features]), cls[k])
         for f in features:
             found, times, g = _sums(error, f)
             squares = seen["row_squares"][found] + np.einsum("ij,ij->i", g, g) / g.shape[1]
             seen["row_squares"][found] = squares
             g *= (STEP / np.sqrt(squares))[:, None]
-            self.rows[found] -= g
+            _put(self.rows, found, np.subtract(_rows(self.rows, found), g, out=g))
             seen["row_times"][found] += times
-        error = _errors(self.word_scores(places, cls), sequence % PER)
+        for k in _parts(len(sequence)):
+            inner[k] = _errors(self.word_scores([p[k] for p in places], cls[k]), entry[k])
         for p in places:
-            found, times, g = _sums(error, p)
+            found, times, g = _sums(inner, p)
             squares = _rows(seen["weight_squares"], found)
             squares += g * g
-            seen["weight_squares"][found] = squares
+            _put(seen["weight_squares"], found, squares)
             g *= STEP
             g /= np.sqrt(squares, out=squares)
-            self.weights[found] -= g
+            _put(self.weights, found, np.subtract(np.take(self.weights, found, 0, out=squares, mode="clip"), g, out=g))
             seen["weight_times"][found] += times
 
 
+def with_ends(values: np.ndarray, ends: np.ndarray, end) -> np.ndarray:
+    """Values of the words of texts with one for the end of each, which stand at ends."""
+    out = np.empty(len(values) + len(ends), values.dtype)
+    word = np.ones(len(out), bool)
+    word[ends] = False
+    out[word], out[ends] = values, end
+    return out
+
+
+def _parts(n: int) -> list[slice]:
+    return [slice(k, min(n, k + AT_ONCE)) for k in range(0, n, AT_ONCE)]
+
+
+def _put(table: np.ndarray, places: np.ndarray, rows: np.ndarray) -> None:
+    """table[places] = rows, each row as one value."""
+    row = np.dtype((np.void, table.itemsize * table.shape[1]))
+    table.view(row)[:, 0][places] = rows.view(row)[:, 0]
+
+
 def _rows(table: np.ndarray, places: np.ndarray) -> np.ndarray:
     """table[places], for places that are there, without a check of each."""
     return np.take(table, places, 0, mode="clip")
@@ -286,18 +302,23 @@ def _added(table: np.ndarray, places, z: np.ndarray | None = None) -> np.ndarray
 
 def _sums(error: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The places that occur, how often, and the sums of the rows of each. Most places occur a few times: the first rows of
-    all are added up together, then the second ones, and so on, and what frequent places have beyond that by itself."""
+    all are added up together, then the second ones, and so on, and what frequent places have beyond that by itself.
+    Places with more rows come first, so that those with a k-th row are together."""
     order = np.argsort(at.astype(np.uint16), kind="stable")
     ordered = at[order]
     first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
     times = np.diff(np.append(first, len(at)))
-    sums, more = _rows(error, order[first]), np.flatnonzero(times > 1)
+    lacks = (TOGETHER - np.minimum(times, TOGETHER)).astype(np.uint8)
+    by = np.argsort(lacks, kind="stable")
+    first, times, having = first[by], times[by], np.cumsum(np.bincount(lacks, minlength=TOGETHER))
+    sums = _rows(error, order[first])
+    room = np.empty((having[TOGETHER - 2], error.shape[1]), error.dtype)
     for k in range(1, TOGETHER):
-        if not len(more):
+        m = having[TOGETHER - 1 - k]
+        if not m:
             break
-        sums[more] = _rows(sums, more) + _rows(error, order[first[more] + k])
-        more = more[times[more] > k + 1]
-    for i in more.tolist():
+        sums[:m] += np.take(error, order[first[:m] + k], 0, out=room[:m], mode="clip")
+    for i in np.flatnonzero(times[: having[0]] > TOGETHER).tolist():
         sums[i] += _rows(error, order[first[i] + TOGETHER : first[i] + times[i]]).sum(0)
     return ordered[first], times, sums
 
@@ -307,35 +328,51 @@ def fresh() -> dict:
     return {"row_squares": np.full(ROWS, 1e-4, np.float32), "row_times": np.zeros(ROWS), "weight_squares": np.full((WEIGHTS, PER), 1e-2, np.float32), "weight_times": np.zeros(WEIGHTS)}
 
 
+def _exponents(z: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The chosen entry of each row, and the sum of the row's exponentials, which take the place of z. Rows whose values
+    float32 has no exponentials of are shifted, all of z with them."""
+    each = np.arange(len(z))
+    picked = z[each, chosen]
+    if z.size and not (z.max() < HIGH and picked.min() > LOW):
+        z -= z.max(1, keepdims=True)
+        picked = z[each, chosen]
+    np.exp(z, out=z)
+    return picked, z @ np.ones(z.shape[1], z.dtype)
+
+
 def _log_of(z: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """The logarithm of each row's chosen entry of its softmax; z is used up."""
-    z -= z.max(1, keepdims=True)
-    picked = z[np.arange(len(z)), chosen].astype(np.float64)
-    return picked - np.log(np.exp(z, out=z).sum(1).astype(np.float64))
+    picked, total = _exponents(z, chosen)
+    return picked.astype(np.float64) - np.log(total.astype(np.float64))
 
 
 def _errors(z: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """The softmax of each row, less one at the chosen entry; z is used up."""
-    z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
+    _, total = _exponents(z, chosen)
+    z *= (1 / total)[:, None]
     z[np.arange(len(z)), chosen] -= 1
     return z
 
 
-def _sequences(model: Maxent, texts: pa.Array) -> Iterator[np.ndarray]:
-    return (model.sequence(tokens(t.as_py())) for t in texts)
+def _sequences(model: Maxent, batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """From blocks (own, numbers, trains, lengths): the sequence of each training text."""
+    for own, numbers, trains, lengths in zip(*batch.columns, strict=True):
+        lengths = lengths.values.to_numpy()
+        sequence, starts = model.sequence(model.entries(_own(own.as_py())), _numbers(numbers.as_py()), lengths)
+        for train, at, n in zip(trains.as_py(), starts.tolist(), lengths.tolist(), strict=True):
+            if train:
+                yield sequence[at : at + n + 1]
 
 
 def _batches(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.array([len(s) for s in found], np.int64)
-    return np.concatenate(found), np.cumsum(lengths) - lengths
+    return np.concatenate(found, dtype=np.int64), np.cumsum(lengths) - lengths
 
 
-def train(rows: DataFrame, head: list[tuple[bytes, int]], shared: np.ndarray, passes: int = 1) -> Maxent:
-    """Trains on the training rows of (id, h, train, text), all of them, each once in a pass."""
+def train(blocks: DataFrame, head: list[tuple[bytes, int]], shared: np.ndarray, passes: int = 1) -> Maxent:
+    """Trains on the training documents of word_blocks, all of them, each once in a pass."""
     model = Maxent(head, shared)
-    spark = rows.sparkSession
+    spark = blocks.sparkSession
     cuts = [np.linspace(0, n, CHUNKS + 1).astype(int) for n in (ROWS, WEIGHTS)]
     schema = "chunk int, part int, num binary, den binary"
 
@@ -368,7 +405,7 @@ def train(rows: DataFrame, head: list[tuple[bytes, int]], shared: np.ndarray, pa
                 held.clear()
 
             for batch in batches:
-                for s in _sequences(local, batch.column(0)):
+                for s in _sequences(local, batch):
                     held.append(s)
                     size += len(s)
                     if size >= TOKENS:
@@ -387,7 +424,7 @@ def train(rows: DataFrame, head: list[tuple[bytes, int]], shared: np.ndarray, pa
                 parts.append((c, part, num.astype(np.float32).tobytes(), den.astype(np.float32).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*parts, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["chunk", "part", "num", "den"])
 
-        texts = rows.where("train").select("text")
+        texts = blocks.where("bucket = -1").select("own", "numbers", "trains", "lengths")
         partial, tasks = texts.mapInArrow(tidied(run), schema), texts.rdd.getNumPartitions()
         while True:
             partial = partial.withColumn("group", F.floor(F.col("part") / FAN_IN)).groupBy("chunk", "group").applyInArrow(tidied(add_up), schema)
@@ -404,45 +441,40 @@ def train(rows: DataFrame, head: list[tuple[bytes, int]], shared: np.ndarray, pa
     return model
 
 
-def model_sums(rows: DataFrame, model: Maxent) -> DataFrame:
-    """For each row of (id, h, train, text): id, h, model (log10 of its words' entries), head_sum (of log10(count + 1) over
-    frequent words) and shared_sum (of the logarithm of what the entries of all other words weigh)."""
-    sent = rows.sparkSession.sparkContext.broadcast(model)
+def block_scores(blocks: DataFrame, counts: DataFrame, model: Maxent, buckets: int) -> DataFrame:
+    """For each document: id, train, n_words, known (words with a count), sum, of log10(count + 1) over its words, and full,
+    log10 of the text's probability: that of the entries of its words and its end, and of each word that isn't a frequent one
+    among those that share its entry."""
+    id_type = blocks.schema["ids"].dataType.elementType
+    sent = blocks.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
         model = sent.value
-        for batch in batches:
-            found, at = [], 0
-            # Texts are scored some at a time; a long one in parts, of which each knows the two words before it.
-            sums = np.zeros((3, batch.num_rows))
-
-            def score(first: int) -> None:
-                sequence, starts = _batches(found)
-                doc = first + np.repeat(np.arange(len(found)), np.diff(np.append(starts, len(sequence))))  # noqa: B023
-                logs = np.empty(len(sequence))
-                for k in range(0, len(sequence), 4 * TOKENS):
-                    low, upto = max(0, k - 2), min(len(sequence), k + 4 * TOKENS)
-                    inside = starts[(starts >= low) & (starts < upto)] - low
-                    logs[k:upto] = model.log10s(sequence[low:upto], inside)[k - low :]
-                head = (sequence < SIZE) & (sequence != model.number[END])
-                shared = np.where(sequence >= SIZE, model.log_shared[np.maximum(sequence, SIZE) - SIZE], 0)
-                for i, x in enumerate((logs, np.where(head, model.log_counts[np.minimum(sequence, SIZE - 1)], 0), shared)):
-                    sums[i] += np.bincount(doc, x, batch.num_rows)  # noqa: B023
-                found.clear()
-
-            size = 0
-            for i, s in enumerate(_sequences(model, batch.column(2))):
-                found.append(s)
-                size += len(s)
-                if size >= TOKENS:
-                    score(at)
-                    at, size = i + 1, 0
-            if found:
-                score(at)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2])], ["id", "h", "model", "head_sum", "shared_sum"])
-
-    schema = T.StructType([rows.schema["id"], T.StructField("h", T.LongType()), T.StructField("model", T.DoubleType()), T.StructField("head_sum", T.DoubleType()), T.StructField("shared_sum", T.DoubleType())])
-    return rows.select("id", "h", "text").mapInArrow(tidied(run), schema)
+        words = _own(left.column("own")[0].as_py())
+        numbers, lengths = _numbers(left.column("numbers")[0].as_py()), left.column("lengths")[0].values.to_numpy()
+        bucket = buckets_of(words, buckets)
+        chosen = np.argsort(bucket, kind="stable")
+        at_word, c = np.searchsorted(bucket[chosen], np.arange(buckets + 1)), np.zeros(len(words), np.int64)
+        for b, back in zip(right.column("bucket").to_pylist(), right.column("counts"), strict=True):
+            c[chosen[at_word[b] : at_word[b + 1]]] = np.frombuffer(back.as_py(), "<i8")
+        entries, logs = model.entries(words), np.log10(c + 1.0)
+        among = np.where(entries >= SIZE, logs - model.log_shared[np.maximum(entries, SIZE) - SIZE], 0)
+        sequence, starts = model.sequence(entries, numbers, lengths)
+        full = np.empty(len(sequence))
+        # Some tokens at a time, of which each knows the two before it.
+        for k in range(0, len(sequence), TOKENS):
+            low, upto = max(0, k - 2), min(len(sequence), k + TOKENS)
+            inside = starts[np.searchsorted(starts, low) : np.searchsorted(starts, upto)] - low
+            full[k:upto] = model.log10s(sequence[low:upto].astype(np.int64), inside)[k - low :]
+        ends = starts + lengths
+        full += with_ends(among[numbers], ends, 0)
+        sums = [np.add.reduceat(x, starts) for x in (with_ends((c > 0)[numbers], ends, False).astype(np.int64), with_ends(logs[numbers], ends, 0), full)]
+        flat = lambda x: left.column(x).combine_chunks().flatten()
+        return pa.table([flat("ids"), flat("trains"), flat("lengths"), *map(pa.array, sums)], ["id", "train", "n_words", "known", "sum", "full"])
+
+    schema = T.StructType([T.StructField("id", id_type), T.StructField("train", T.BooleanType()), T.StructField("n_words", T.LongType()), T.StructField("known", T.LongType()), T.StructField("sum", T.DoubleType()), T.StructField("full", T.DoubleType())])
+    left = blocks.where("bucket = -1").select("block", "own", "numbers", "ids", "trains", "lengths").groupBy("block")
+    return left.cogroup(counts.where("block is not null").select("block", "bucket", "counts").groupBy("block")).applyInArrow(tidied(run), schema)
 
 
 def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text: str = "text", passes: int = 1) -> DataFrame:
@@ -453,7 +485,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text: str =
     the maximum-entropy model. Repeated rows count as often as they are there. Without training rows, N and V are 0 and
     both scores are those of the empty model.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text)).alias("h"), F.coalesce(training, F.lit(False)).alias("train"), F.col(text).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(training, F.lit(False)).alias("train"), F.col(text).alias("text"))
     buckets = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     blocks = scratch_table(word_blocks(rows, buckets), "word-blocks")
     counts = scratch_table(bucket_counts(blocks), "word-counts")
@@ -469,13 +501,9 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text: str =
     for w, k in head:
         if w != END:  # frequent words have left the entries that they would share
             shared[:, shared_entry(w) - SIZE] -= k, 1
-    model = train(rows, head, shared, passes) if taught else Maxent(head, shared)
-    by_model = model_sums(rows, model).groupBy("id", "h").agg(*[F.first(c).alias(c) for c in ("model", "head_sum", "shared_sum")])
-    by_model = by_model.withColumnsRenamed({"id": "__id", "h": "__h"})
-    by_count = count_sums(blocks, counts)
-    both = by_count.join(by_model, (F.col("h") == F.col("__h")) & F.col("id").eqNullSafe(F.col("__id")))
+    model = train(blocks, head, shared, passes) if taught else Maxent(head, shared)
+    scored = block_scores(blocks, counts, model, buckets)
     n, v = n_words + taught, v_words + (1 if taught else 0)
     n_tokens = F.col("n_words") + 1
     base = F.col("sum") + F.log10(F.lit(taught + 1.0)) - n_tokens * F.log10(F.lit(float(n + v + 1)))
-    full = F.col("model") + (F.col("sum") - F.col("head_sum")) - F.col("shared_sum")
-    return both.select(F.col("id").alias(id_col), "train", n_tokens.alias("n_tokens"), (F.col("known") + (1 if taught else 0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), full.alias("score"))
+    return scored.select(F.col("id").alias(id_col), "train", n_tokens.alias("n_tokens"), (F.col("known") + (1 if taught else 0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), F.col("full").alias("score"))

@@ -273,3 +273,28 @@ def test_embeddings_of_any_size_and_repeated_ids(spark):
     got = Counter(tuple(r) for r in embedding.near_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
     # An id with two vectors comes twice, each time with what that vector is linked to.
     assert got == Counter([(1, 1, 1, True), (2, 1, 1, False), (1, 2, 1, True), (3, 2, 1, False), (4, 2, 1, False), (5, 0, 5, True), (None, 0, None, True)])
+
+
+def test_lm_score_against_a_plain_softmax(spark, monkeypatch):
+    texts = [None, "", " \t\n", "  The end\x0bof\x0cTHE  road ", "a\x1cb \x85 é ü Ünder a", "\n", "x" * 40]
+    texts += [" ".join(f"w{i * k % 1500}" for i in range(200)) for k in range(1, 40)]
+    texts.append(" ".join(f"w{i * i % 1700}" for i in range(2 * lm.TOKENS + 5)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept, train = [], lm.train
+    monkeypatch.setattr(lm, "train", lambda *a: kept.append(train(*a)) or kept[0])
+    got = {r.doc_id: r for r in lm.score(df, F.col("doc_id") % 7 != 2).collect()}
+    model, cut = kept[0], [(t or "").encode().lower().split() for t in texts]
+    c = Counter(w for i, ws in enumerate(cut) if i % 7 != 2 for w in ws)
+    assert sorted(got) == list(range(len(texts))) and model.rows.any() and model.weights.any()
+    shared = np.ones(lm.SIZE)  # what the words that share an entry weigh: their tokens, one for each of them, and one
+    for w, n in c.items():
+        if w not in model.number:
+            shared[lm.shared_entry(w) - lm.SIZE] += n + 1
+    for i, words in enumerate(cut):
+        sequence = np.array([*(model.number.get(w, lm.shared_entry(w)) for w in words), model.number[lm.END]])
+        features, cls, want = model.features(sequence, np.array([0])), sequence // lm.PER, 0.0
+        for scores, chosen in ((model.rows[list(features)].astype(float).sum(0) + model.class_bias, cls), (model.weights[model.places(features, cls)].astype(float).sum(0) + model.word_bias[cls], sequence % lm.PER)):
+            scores = scores - scores.max(1, keepdims=True)
+            want += (scores[np.arange(len(chosen)), chosen] - np.log(np.exp(scores).sum(1))).sum() / math.log(10)
+        want += sum(math.log10((c[w] + 1) / shared[lm.shared_entry(w) - lm.SIZE]) for w in words if w not in model.number)
+        assert got[i].n_tokens == len(sequence) and got[i].score == pytest.approx(want, abs=1e-4 * len(sequence))

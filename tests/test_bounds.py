@@ -1,8 +1,10 @@
 """What a task holds, what is shuffled and what comes to the driver don't grow faster than the tables."""
 
+import uuid
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from brightloom.llm import lm
@@ -36,3 +38,37 @@ def test_rows_gathered_some_at_a_time_give_the_same_sums():
         places, cls = [rng.integers(0, 500, n) for _ in range(3)], rng.integers(0, 40, n)
         assert np.array_equal(lm._added(table, places), table[places[0]] + table[places[1]] + table[places[2]])
         assert np.array_equal(lm._added(table, places, lm._rows(bias, cls)), bias[cls] + table[places[0]] + table[places[1]] + table[places[2]])
+
+
+def test_language_model_cuts_texts_into_words_once(spark):
+    df = spark.range(40).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("some words of"), F.col("id").cast("string")).alias("text"))
+    path = f"{spark.conf.get('spark.sql.warehouse.dir').removeprefix('file:')}/texts-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    got = lm.score(spark.read.parquet(path), F.col("doc_id") % 7 != 2)
+    assert got.count() == 40 and not [f for f in got.inputFiles() if "/texts-" in f]
+
+
+def test_sums_of_rows_by_place_and_softmax_of_any_values():
+    rng = np.random.default_rng(4)
+    for n, places in ((1, 1), (300, 7), (5000, 900), (5000, 5000)):
+        at, error = (rng.integers(0, places, n) ** 2 // places), rng.normal(size=(n, 6)).astype(np.float32)
+        found, times, sums = lm._sums(error, at)
+        want = {p: error[at == p].astype(float).sum(0) for p in np.unique(at)}
+        assert sorted(found) == sorted(want) and dict(zip(found.tolist(), times.tolist())) == Counter(at.tolist())
+        assert np.allclose(sums, [want[p] for p in found], atol=1e-4)
+    for shift in (0, 50, 200, -200, -1e4):
+        z, chosen = rng.normal(size=(50, 8)).astype(np.float32) * 3 + np.float32(shift), rng.integers(0, 8, 50)
+        e = np.exp(z.astype(float) - z.max(1, keepdims=True))
+        want = e / e.sum(1, keepdims=True)
+        assert np.allclose(lm._log_of(z.copy(), chosen), np.log(want[np.arange(50), chosen]), atol=1e-3)
+        assert np.allclose(lm._errors(z.copy(), chosen), want - np.eye(8)[chosen], atol=1e-3)
+
+
+def test_numbers_of_many_words_come_back_from_their_halves():
+    texts = [None, " Once  more\tonce ", "", " ".join(f"w{i}" for i in range(70_000)), "ONCE w7 w69999"]
+    words, numbers, lengths = lm.numbered(pa.array(texts))
+    numbers = lm._numbers(lm._packed((numbers & 65535).astype("<u2").tobytes() + (numbers >> 16).astype("<u2").tobytes()))
+    words = lm._own(lm._packed(b" ".join(words)))
+    cut = [(t or "").encode().lower().split() for t in texts]
+    assert lengths.tolist() == [len(c) for c in cut] and [words[i] for i in numbers] == sum(cut, []) and words[0] == b"once"
+    assert lm._own(lm._packed(b"")) == [] and not len(lm._numbers(lm._packed(b"")))
